@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("comments", "posts", "statistics", "monitoring", "accounts", "corpus", "ingest",
-         "streams", "measures")
+AREAS = ("comments",)
 
 
 def all_queries():
