@@ -42,9 +42,9 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str,
     counts = dict(counts or {"n": F.count(F.lit(1))})
     grouped = (df.where(F.col(value).isNotNull())
                .groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]))
-    cut = grouped.withColumn("_cuts", _cut_points(grouped, value, by))
-    cut = cut.withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))).drop("_cuts")
+    at = F.col(value).cast("double")
+    cut = (grouped.select("*", _cut_points(grouped, value, by).alias("_cuts"))
+           .select(*keys, value, *counts, F.size(F.filter("_cuts", lambda c: c < at)).alias("_range")))
     sizes = cut.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in counts])
     over_ranges = W.partitionBy(*(keys or [F.lit(0)]))
     offsets = sizes.select(
@@ -53,19 +53,16 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str,
                      F.lit(0)).alias(f"_{n}_off") for n in counts],
         *[F.sum(f"_{n}").over(over_ranges).alias(f"{n}_total") for n in counts])
     inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(*_BEFORE)
-    ranked = cut.join(offsets, [*keys, "_range"])
-    for n in counts:
-        ranked = ranked.withColumn(
-            f"{n}_before", F.col(f"_{n}_off") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    return ranked.select(*keys, value, *counts, *[f"{n}_before" for n in counts],
-                         *[f"{n}_total" for n in counts])
+    return cut.join(offsets, [*keys, "_range"]).select(
+        *keys, value, *counts,
+        *[(F.col(f"_{n}_off") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in counts],
+        *[f"{n}_total" for n in counts])
 
 
 def _label_filled(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    for k in keys:
-        if df.schema[k].dataType.simpleString() == "string":
-            df = df.withColumn(k, F.coalesce(F.col(k), F.lit("unknown")))
-    return df
+    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit("unknown")) for k in keys if k in texts}) \
+        if texts & set(keys) else df
 
 
 def long_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -89,11 +86,12 @@ def truncated_position(q: float):
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
-                     stats: Mapping[str, object]) -> DataFrame:
+                     stats: Mapping[str, object], means: bool = False) -> DataFrame:
     """Exact order statistics per group, in one pass for all metrics.
 
     ``stats`` maps a name to a quantile in [0, 1] or to a function of the group size giving a
-    0-based position. Output: keys, ``n_<metric>`` and ``<stat>_<metric>``.
+    0-based position. Output: keys, ``n_<metric>``, ``<stat>_<metric>`` and, on request,
+    ``mean_<metric>`` from the same table of distinct values.
     """
     keys = list(keys)
     ranked = rank_values(long_metrics(_label_filled(df, keys), keys, metrics),
@@ -108,6 +106,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     aggs = []
     for m in metrics:
         aggs.append(F.max(F.when(F.col("metric") == m, n)).alias(f"n_{m}"))
+        if means:
+            aggs.append(F.sum(F.when(F.col("metric") == m, F.col("value") * F.col("n"))).alias(f"_sum_{m}"))
         for s, p in pos.items():
             aggs.append(at(F.floor(p(n)), m).alias(f"_lo_{s}_{m}"))
             aggs.append(at(F.ceil(p(n)), m).alias(f"_hi_{s}_{m}"))
@@ -115,6 +115,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     cols = []
     for m in metrics:
         cols.append(F.coalesce(F.col(f"n_{m}"), F.lit(0)).alias(f"n_{m}"))
+        if means:
+            cols.append((F.col(f"_sum_{m}") / F.col(f"n_{m}")).alias(f"mean_{m}"))
         for s, p in pos.items():
             lo, hi, size = F.col(f"_lo_{s}_{m}"), F.col(f"_hi_{s}_{m}"), F.col(f"n_{m}")
             frac = p(size) - F.floor(p(size))
@@ -130,23 +132,20 @@ def number_rows(df: DataFrame, lead: Column, tie: str, name: str = "row_no",
     its own is cut further by ``tie``.
     """
     keys = list(keys)
-    d = df.withColumn("_lead", lead.cast("double")).withColumn("_tie", F.col(tie).cast("double"))
-    d = (d.withColumn("_lc", _cut_points(d, "_lead", None))
-          .withColumn("_tc", _cut_points(d, "_tie", None)))
+    d = df.withColumns({"_lead": lead.cast("double"), "_tie": F.col(tie).cast("double")})
+    d = d.select("*", _cut_points(d, "_lead", None).alias("_lc"), _cut_points(d, "_tie", None).alias("_tc"))
     on_cut = F.array_contains("_lc", F.col("_lead"))
-    d = (d.withColumn("_r", F.size(F.filter("_lc", lambda c: c < F.col("_lead"))) * 2
-                      + on_cut.cast("int"))
-          .withColumn("_s", F.when(on_cut, F.size(F.filter("_tc", lambda c: c < F.col("_tie"))))
-                      .otherwise(F.lit(0)))
-          .drop("_lc", "_tc"))
+    d = d.select(
+        *df.columns, "_lead", "_tie",
+        (F.size(F.filter("_lc", lambda c: c < F.col("_lead"))) * 2 + on_cut.cast("int")).alias("_r"),
+        F.when(on_cut, F.size(F.filter("_tc", lambda c: c < F.col("_tie")))).otherwise(F.lit(0)).alias("_s"))
     sizes = d.groupBy(*keys, "_r", "_s").agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_r", "_s").rowsBetween(*_BEFORE)
     offsets = sizes.select(*keys, "_r", "_s",
                            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
     inside = W.partitionBy(*keys, "_r", "_s").orderBy("_lead", "_tie")
-    return (d.join(offsets, [*keys, "_r", "_s"])
-             .withColumn(name, (F.col("_off") + F.row_number().over(inside)).cast("long"))
-             .drop("_lead", "_tie", "_r", "_s", "_off"))
+    return d.join(offsets, [*keys, "_r", "_s"]).select(
+        *df.columns, (F.col("_off") + F.row_number().over(inside)).cast("long").alias(name))
 
 
 def lag_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
@@ -163,14 +162,11 @@ def lag_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     carried = ends.select(*keys, "_chunk", F.lag("_end").over(
         W.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    d = d.withColumn("_first", F.row_number().over(inside) == 1)
-    for c in cols:
-        d = d.withColumn(f"_lag_{c}", F.lag(c).over(inside))
-    d = d.join(carried, [*keys, "_chunk"])
-    for c in cols:
-        d = d.withColumn(prefix + c, F.when(F.col("_first"), F.col(f"_carry.{c}"))
-                         .otherwise(F.col(f"_lag_{c}")))
-    return d.drop("_chunk", "_carry", "_first", *[f"_lag_{c}" for c in cols])
+    d = d.withColumns({"_first": F.row_number().over(inside) == 1,
+                       **{f"_lag_{c}": F.lag(c).over(inside) for c in cols}})
+    return d.join(carried, [*keys, "_chunk"]).select(*df.columns, *[
+        F.when(F.col("_first"), F.col(f"_carry.{c}")).otherwise(F.col(f"_lag_{c}")).alias(prefix + c)
+        for c in cols])
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

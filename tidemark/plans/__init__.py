@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("comments",)
+AREAS = ("comments", "posts", "statistics")
 
 
 def all_queries():
