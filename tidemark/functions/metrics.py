@@ -31,12 +31,17 @@ def parse_count(col: Column, mode: str = "search") -> Column:
     return F.when(hit, value).otherwise(F.lit(0).cast("long") if mode == "zero" else F.lit(None))
 
 
+def parse_int(col: Column) -> Column:
+    """First whole part of a number in the text, thousands separators removed; ``-`` is NULL."""
+    text = F.regexp_replace(F.coalesce(col, F.lit("")), r"[,+]", "")
+    return F.nullif(F.regexp_extract(text, r"(-?\d+)", 1), F.lit("")).cast("long")
+
+
 def parse_rate(col: Column) -> Column:
-    """``3.21%`` -> 0.0321; a bare number stays as it is; anything else is NULL."""
-    text = F.regexp_replace(F.coalesce(col, F.lit("")), r"[\s,]", "")
-    number = F.regexp_extract(text, r"^(-?\d+(?:\.\d+)?)%?$", 1)
-    return F.when(number == "", F.lit(None)).otherwise(
-        F.when(text.endswith("%"), number.cast("double") / 100).otherwise(number.cast("double")))
+    """``3.21%`` -> 0.0321; a bare number stays as it is; text without a number is NULL."""
+    text = F.replace(F.coalesce(col, F.lit("")), F.lit(","), F.lit(""))
+    number = F.nullif(F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
+    return F.when(F.contains(text, F.lit("%")), number / 100).otherwise(number)
 
 
 def format_count(col: Column) -> Column:
@@ -72,9 +77,9 @@ def engagement_ratios(df: DataFrame, likes: str, comments: str, shares: str, col
 def note_key(note_id: Column, title: Column, post_time: Column, digest: str = "sha1") -> Column:
     """``id:<id>`` where an id is known, else a 16-digit hash of title and time."""
     f = {"sha1": F.sha1, "md5": F.md5}[digest]
-    text = F.concat(F.coalesce(title, F.lit("")), F.lit("|"), F.coalesce(post_time, F.lit("")))
-    return F.when(F.coalesce(note_id, F.lit("")) != "", F.concat(F.lit("id:"), note_id)).otherwise(
-        F.concat(F.lit("h:"), F.substring(f(text), 1, 16)))
+    bare = [F.trim(F.coalesce(c, F.lit(""))) for c in (note_id, title, post_time)]
+    return F.when(~bare[0].isin("", "-"), F.concat(F.lit("id:"), bare[0])).otherwise(
+        F.concat(F.lit("h:"), F.substring(f(F.concat(bare[1], F.lit("|"), bare[2])), 1, 16)))
 
 
 def null_outliers(col: Column, at_most: float) -> Column:

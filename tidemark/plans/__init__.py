@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("comments", "posts", "statistics")
+AREAS = ("comments", "posts", "statistics", "monitoring")
 
 
 def all_queries():
