@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("comments", "posts", "statistics", "monitoring")
+AREAS = ("comments", "posts", "statistics", "monitoring", "accounts")
 
 
 def all_queries():

@@ -8,6 +8,7 @@ from tidemark.functions import metrics as M, rules as R, text as T
 from tidemark.operators import dedup as D, joins as J, monitor as Mo
 from tidemark.plans.posts import rounded
 from tidemark.plans.registry import query
+from tidemark.session import write_through
 
 ORDER = ["o_orderdate", "o_orderkey"]
 AS_OF = F.to_date(F.lit("2001-08-02"))
@@ -352,7 +353,7 @@ def stable_ids(t):
     nothing = items.limit(0).withColumn("source_id", F.lit(""))
     seen = J.watched(items, ["page_id"], t.labels.select(F.col("doc_id").alias("page_id")))
     ledger = D.allocate_ids(seen, nothing, "page_id", "code", "page_id").select("page_id", "code", "source_id")
-    out = D.allocate_ids(items, ledger.select("page_id", "code", "source_id"), "page_id", "code", "page_id")
+    out = D.allocate_ids(items, write_through(ledger, "ledger"), "page_id", "code", "page_id")
     return out.select("page_id", "code", "source_id", "is_new")
 
 
