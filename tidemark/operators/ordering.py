@@ -169,6 +169,16 @@ def lag_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
         for c in cols])
 
 
+def compute_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add costly columns that later filters must not evaluate again.
+
+    A filter on a projected column is pushed below the projection and repeats its expression for
+    every reference; a filter on generated columns is not.
+    """
+    row = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select("*", F.inline(row))
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                   name: str = "rank") -> DataFrame:
     """First k rows of each group; the rank filter is applied before the shuffle too."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("comments", "posts", "statistics", "monitoring", "accounts")
+AREAS = ("comments", "posts", "statistics", "monitoring", "accounts", "corpus", "ingest", "measures")
 
 
 def all_queries():
