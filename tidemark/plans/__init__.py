@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("comments", "posts", "statistics", "monitoring", "accounts", "corpus", "ingest", "measures")
+AREAS = ("comments", "posts", "statistics", "monitoring", "accounts", "corpus", "ingest", "streams",
+         "measures")
 
 
 def all_queries():
