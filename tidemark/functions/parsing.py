@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType
 
 from tidemark.functions import lexicons, metrics as M, rules as R, text as T
+from tidemark.operators.ordering import compute_once
 
 
 def parse_desc(df: DataFrame, col: str) -> DataFrame:
@@ -96,34 +98,48 @@ def deep_get(doc: Column, keys: Sequence[str], parents: Sequence[str], kind: str
     return F.coalesce(*[F.nullif(c, F.lit("")) if kind == "string" else c for c in places])
 
 
-#: fixed values: where a note payload keeps its parts
-NOTE_PARENTS = ["note", "", "note.interactInfo", "interactInfo"]
+#: fixed values: names a note payload uses for its parts
 NOTE_COUNTS = {
     "likes": ["likedCount", "likeCount", "likes"], "collects": ["collectedCount", "collectCount", "collects"],
     "comments_cnt": ["commentCount", "commentsCount"], "shares": ["shareCount", "sharedCount", "shares"],
 }
 NOTE_TIMES = ["time", "publishTime", "createTime", "lastUpdateTime"]
+NOTE_TEXTS = ["noteId", "id", "title", "desc", "content", "type", *NOTE_TIMES]
+
+
+def _note_schema() -> str:
+    counts = ",".join(f"{k}:string" for ks in NOTE_COUNTS.values() for k in ks)
+    texts = ",".join(f"{k}:string" for k in NOTE_TEXTS)
+    flat = (f"{texts},{counts},interactInfo:struct<{counts}>,user:struct<nickname:string>,"
+            "tagList:array<struct<name:string,title:string>>")
+    return f"struct<note:struct<{flat}>,{flat}>"
 
 
 def parse_note_detail(df: DataFrame, col: str, zone: str = "Asia/Shanghai") -> DataFrame:
-    """Nested note payload -> flat note; counts may carry units, times may be epoch (milli)seconds."""
-    d = df.withColumn("_d", F.try_parse_json(F.col(col)))
-    doc = F.col("_d")
-    counts = {n: M.parse_count(deep_get(doc, ks, list(reversed(NOTE_PARENTS)))) for n, ks in NOTE_COUNTS.items()}
-    raw = deep_get(doc, NOTE_TIMES, ["note", ""])
+    """Nested note payload -> flat note; counts may carry units, times may be epoch (milli)seconds.
+
+    The payload is parsed once with a declared schema; every field falls back from the inner note
+    to the outer document.
+    """
+    d = compute_once(df, _d=F.from_json(col, DataType.fromDDL(_note_schema())))
+
+    def field(*names: str, under: tuple[str, ...] = ("_d.note", "_d")) -> Column:
+        return F.coalesce(*[F.nullif(F.col(f"{u}.{n}"), F.lit("")) for u in under for n in names])
+
+    places = ("_d.note.interactInfo", "_d.interactInfo", "_d.note", "_d")
+    d = d.select("*", field(*NOTE_TIMES).alias("_t"), *[field(*ks, under=places).alias(f"_{n}") for n, ks in NOTE_COUNTS.items()])
+    raw = F.col("_t")
     num = F.when(raw.rlike(r"^\d+(\.\d+)?$"), raw.cast("double"))
     secs = F.when(num > 1e11, num / 1000).otherwise(num)
     local = F.date_format(F.from_utc_timestamp(F.timestamp_seconds(secs), zone), "yyyy-MM-dd HH:mm")
-    tags = F.coalesce(F.try_variant_get(doc, "$.note.tagList", "array<struct<name:string,title:string>>"),
-                      F.try_variant_get(doc, "$.tagList", "array<struct<name:string,title:string>>"))
+    tags = F.coalesce("_d.note.tagList", "_d.tagList")
     names = F.array_compact(F.transform(tags, lambda x: T.strip(F.coalesce(x["name"], x["title"]))))
     return d.withColumns({
-        "note_id": deep_get(doc, ["noteId", "id"], ["note", ""]), "title": T.strip(deep_get(doc, ["title"], ["note", ""])),
-        "content": T.strip(deep_get(doc, ["desc", "content"], ["note", ""])), **counts,
-        "publish_time": F.when(num.isNotNull(), local).otherwise(raw),
-        "author": deep_get(doc, ["nickname"], ["note.user", "user"]),
-        "tags": F.nullif(F.array_join(names, ","), F.lit("")), "note_type": deep_get(doc, ["type"], ["note", ""]),
-    }).drop("_d")
+        "note_id": field("noteId", "id"), "title": T.strip(field("title")), "content": T.strip(field("desc", "content")),
+        **{n: M.parse_count(F.col(f"_{n}")) for n in NOTE_COUNTS},
+        "publish_time": F.coalesce(local, raw), "author": field("nickname", under=("_d.note.user", "_d.user")),
+        "tags": F.nullif(F.array_join(names, ","), F.lit("")), "note_type": field("type"),
+    }).drop("_d", "_t", *[f"_{n}" for n in NOTE_COUNTS])
 
 
 def section(col: Column, heading: str) -> Column:

@@ -10,8 +10,12 @@ from tidemark.functions import lexicons
 from tidemark.functions.rules import has_any, matches, words_pattern
 
 
-def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+#: characters that count as space at the ends of a text
+SPACES = " \t\n\x0b\f\r\u3000\u00a0"
+
+
+def strip(col: Column | str) -> Column:
+    return F.btrim(col, F.lit(SPACES))
 
 
 @dataclass(frozen=True)

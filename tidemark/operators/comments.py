@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import rules as R, text as T
 from tidemark.functions.text import CommentRules
 from tidemark.operators.joins import contains_pairs
-from tidemark.operators.ordering import top_per_group
+from tidemark.operators.ordering import compute_once, top_per_group
 
 CJK_WORD = r"[一-鿿]{2,}|[a-zA-Z]{2,}"
 
@@ -47,9 +47,9 @@ def topic_assign(df: DataFrame, top_words: DataFrame, order: Sequence[str], k_wo
     """
     ranked = (top_words.orderBy(F.desc("n"), "word").limit(k_words)
               .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "word"))).alias("w")))
-    found = df.withColumn("_w", ranked.scalar()).withColumn("topic", F.coalesce(
-        F.get(F.filter("_w", lambda w: F.contains(F.lower(F.col("text")), w["word"])), F.lit(0))["word"],
-        F.lit(other))).drop("_w")
+    low = compute_once(df.withColumn("_w", ranked.scalar()), _low=F.lower("text"))
+    hit = F.get(F.filter("_w", lambda w: F.contains(F.col("_low"), w["word"])), F.lit(0))["word"]
+    found = compute_once(low, topic=F.coalesce(hit, F.lit(other))).drop("_w", "_low")
     sizes = found.groupBy("topic").agg(F.count(F.lit(1)).alias("n_texts"))
     samples = top_per_group(found.select("topic", *order, "text"), ["topic"],
                             [F.col(c) for c in order], k_samples, "sample_no")

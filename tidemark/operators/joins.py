@@ -9,9 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.operators.ordering import top_per_group
 
 
+def char_pieces(col: Column, n: int) -> Column:
+    """All n-character pieces of a text, in one linear scan."""
+    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def char_grams(col: Column, n: int) -> Column:
-    """All distinct n-character pieces of a text, in one linear scan."""
-    return F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return F.array_distinct(char_pieces(col, n))
 
 
 def contains_pairs(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, n: int = 3) -> DataFrame:
@@ -26,8 +30,8 @@ def contains_pairs(texts: DataFrame, key: str, text: str, names: DataFrame, name
     shared = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_df"))
     rare = (pieces.join(shared, "_piece").groupBy("_name")
             .agg(F.min_by("_piece", F.struct("_df", "_piece")).alias("_piece")))
-    grams = texts.select(key, F.explode(char_grams(F.col(text), n)).alias("_piece"))
-    cand = grams.join(rare, "_piece").select(key, "_name")
+    grams = texts.select(key, F.explode(char_pieces(F.col(text), n)).alias("_piece"))
+    cand = grams.join(rare, "_piece").select(key, "_name").distinct()
     return (cand.join(texts.select(key, F.col(text).alias("_text")).distinct(), key)
             .where(F.contains(F.col("_text"), F.col("_name")))
             .select(key, F.col("_name").alias(name)))

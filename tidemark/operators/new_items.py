@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.operators.ordering import lag_in_chunks, top_per_group
+from tidemark.session import write_through
 
 #: fixed values: depth of the head of a listing, age of a stale item, items released per run
 HEAD_WINDOW, STALE_DAYS, RELEASE_LIMIT = 8, 7, 5
@@ -86,19 +87,19 @@ def detect_by_quota(listings: DataFrame, totals: DataFrame, chunk: Column, limit
     fresh = first.where(F.col("first_run") > F.col("base_run")).join(
         growth.withColumnRenamed("run", "first_run"), ["account", "first_run"], "left")
     place = F.row_number().over(W.partitionBy("account", "first_run").orderBy("first_pos", "item"))
-    marked = fresh.withColumn("status", F.when(place <= F.coalesce("quota", F.lit(0)), "queued").otherwise("known"))
-    queued = marked.where("status = 'queued'").select("account", "item", "first_run", "second_run")
+    cols = ["account", "item", "first_run", "first_pos", "second_run", "status"]
+    decided = (fresh.withColumn("status", F.when(place <= F.coalesce("quota", F.lit(0)), "queued").otherwise("known")).select(*cols)
+               .unionByName(first.where(F.col("first_run") == F.col("base_run")).withColumn("status", F.lit("baseline")).select(*cols)))
+    decided = write_through(decided, "first-sightings")  # read four times below
+    queued = decided.where("status = 'queued'").select("account", "item", "first_run", "second_run")
     crowded = (queued.where("second_run is not null").groupBy("account", "second_run").agg(F.count(F.lit(1)).alias("n"))
                .where(F.col("n") > limit).select("account").distinct())
     simple = queued.join(crowded, "account", "left_anti").select("account", "item", F.col("second_run").alias("released_run"))
-    later = (listings.groupBy("account", "item", "run").agg(F.min("pos").alias("pos"))
-             .join(queued.join(crowded, "account", "left_semi").select("account", "item", "first_run"), ["account", "item"])
-             .where(F.col("run") > F.col("first_run")).select("account", "item", "run", "pos"))
+    later = (listings.join(queued.join(crowded, "account", "left_semi").select("account", "item", "first_run"), ["account", "item"])
+             .where(F.col("run") > F.col("first_run")).groupBy("account", "item", "run").agg(F.min("pos").alias("pos")))
     kinds = {f.name: f.dataType.simpleString() for f in listings.schema.fields}
     replayed = later.groupBy("account").applyInPandas(
         _release_in_order(limit), f"account {kinds['account']}, item {kinds['item']}, released_run {kinds['run']}")
     released = simple.where("released_run is not null").unionByName(replayed)
-    base = first.where(F.col("first_run") == F.col("base_run")).withColumn("status", F.lit("baseline"))
-    cols = ["account", "item", "first_run", "first_pos", "status"]
-    return (marked.select(*cols).unionByName(base.select(*cols)).join(released, ["account", "item"], "left")
+    return (decided.drop("second_run").join(released, ["account", "item"], "left")
             .withColumn("status", F.when(F.col("released_run").isNotNull(), "released").otherwise(F.col("status"))))

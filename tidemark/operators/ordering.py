@@ -16,20 +16,29 @@ from tidemark.session import shuffle_width
 _BEFORE = (W.unboundedPreceding, -1)
 
 
-def _cut_points(df: DataFrame, value: str, by: str | None) -> Column:
+def _cut_points(df: DataFrame, value: Column, by: str | None) -> Column:
     """Scalar subquery with the cut points of ``value`` (one array per ``by`` label).
 
     The labels are metric or comparison names fixed by the caller, so the map stays small.
     """
-    k = shuffle_width(df.sparkSession)
-    probs = F.array(*[F.lit(i / k) for i in range(1, k)])
-    cuts = F.percentile_approx(F.col(value).cast("double"), probs, F.lit(20 * k))
+    cuts = _cuts(df, value)
     if by is None:
         return df.agg(cuts.alias("c")).scalar()
     per = df.groupBy(by).agg(cuts.alias("c"))
     return per.agg(F.map_from_entries(F.collect_list(F.struct(by, "c")))).scalar()[F.col(by)]
 
 
+def _cuts(df: DataFrame, value: Column) -> Column:
+    k = shuffle_width(df.sparkSession)
+    probs = F.array(*[F.lit(i / k) for i in range(1, k)])
+    return F.percentile_approx(value.cast("double"), probs, F.lit(20 * k))
+
+
+def _below(cuts: str, value: Column) -> Column:
+    """Number of cut points below the value; never NULL, so that joins on it push no filter down."""
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
+
+
 def rank_values(df: DataFrame, keys: Sequence[str], value: str,
                 counts: Mapping[str, Column] | None = None, by: str | None = None) -> DataFrame:
     """One row per (keys, value) with its counts, the count before it and the group total.
@@ -40,11 +49,13 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     counts = dict(counts or {"n": F.count(F.lit(1))})
-    grouped = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]))
-    at = F.col(value).cast("double")
-    cut = (grouped.select("*", _cut_points(grouped, value, by).alias("_cuts"))
-           .select(*keys, value, *counts, F.size(F.filter("_cuts", lambda c: c < at)).alias("_range")))
+    for k in [*keys, value]:
+        df = df.where(F.col(k).isNotNull())
+    grouped = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
+    # The cut points read the counts too: the same shuffled table then serves all three uses of it.
+    used = F.when(sum((F.col(n) for n in counts), F.lit(0)) >= 0, F.col(value))
+    cut = (grouped.select("*", _cut_points(grouped, used, by).alias("_cuts"))
+           .select(*keys, value, *counts, _below("_cuts", F.col(value).cast("double")).alias("_range")))
     sizes = cut.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in counts])
     over_ranges = W.partitionBy(*(keys or [F.lit(0)]))
     offsets = sizes.select(
@@ -133,12 +144,11 @@ def number_rows(df: DataFrame, lead: Column, tie: str, name: str = "row_no",
     """
     keys = list(keys)
     d = df.withColumns({"_lead": lead.cast("double"), "_tie": F.col(tie).cast("double")})
-    d = d.select("*", _cut_points(d, "_lead", None).alias("_lc"), _cut_points(d, "_tie", None).alias("_tc"))
-    on_cut = F.array_contains("_lc", F.col("_lead"))
-    d = d.select(
-        *df.columns, "_lead", "_tie",
-        (F.size(F.filter("_lc", lambda c: c < F.col("_lead"))) * 2 + on_cut.cast("int")).alias("_r"),
-        F.when(on_cut, F.size(F.filter("_tc", lambda c: c < F.col("_tie")))).otherwise(F.lit(0)).alias("_s"))
+    both = d.agg(F.struct(_cuts(d, F.col("_lead")).alias("lead"), _cuts(d, F.col("_tie")).alias("tie")).alias("c")).scalar()
+    d = d.select("*", both.alias("_c")).select("*", F.col("_c.lead").alias("_lc"), F.col("_c.tie").alias("_tc"))
+    on_cut = F.coalesce(F.array_contains("_lc", F.col("_lead")), F.lit(False))
+    d = d.select(*df.columns, "_lead", "_tie", (_below("_lc", F.col("_lead")) * 2 + on_cut.cast("int")).alias("_r"),
+                 F.when(on_cut, _below("_tc", F.col("_tie"))).otherwise(F.lit(0)).alias("_s"))
     sizes = d.groupBy(*keys, "_r", "_s").agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_r", "_s").rowsBetween(*_BEFORE)
     offsets = sizes.select(*keys, "_r", "_s",

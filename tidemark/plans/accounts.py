@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as M, parsing as Pa, rules as R, text as T
 from tidemark.operators import accounts as A, entities as E, joins as J
+from tidemark.operators.ordering import compute_once
 from tidemark.plans.posts import docs, DOCS_SQL, rounded
 from tidemark.plans.registry import query
 
@@ -345,16 +346,27 @@ def extracted_links(t):
                           F.regexp_extract(u, r"/(\d+)", 1).alias("item_id"))
 
 
-@query("note_details", "U25 U26", """SELECT CAST(event_id AS VARCHAR) AS note_id, event_type AS title, CAST(floor(value) * 1000 AS BIGINT) AS likes, CAST(json_extract_string(props, '$.k') AS BIGINT) AS collects,
+@query("note_details", "U26", """SELECT CAST(event_id AS VARCHAR) AS note_id, event_type AS title, CAST(floor(value) * 1000 AS BIGINT) AS likes, CAST(json_extract_string(props, '$.k') AS BIGINT) AS collects,
   strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS publish_time, 'user ' || CAST(user_id AS VARCHAR) AS author, event_type || ',' || CAST(user_id AS VARCHAR) AS tags FROM events""")
 def note_details(t):
+    d = Pa.parse_note_detail(note_payloads(t), "payload")
+    return d.select("note_id", "title", "likes", "collects", "publish_time", "author", "tags")
+
+
+def note_payloads(t):
     e = t.events
     interact = F.struct(F.concat(F.format_string("%.1f", F.floor("value") / 10), F.lit("万")).alias("likedCount"), F.get_json_object("props", "$.k").alias("collectCount"))
     tag = F.array(F.struct(F.col("event_type").alias("name")), F.struct(F.col("user_id").cast("string").alias("name")))
     note = F.struct(F.col("event_id").cast("string").alias("noteId"), F.col("event_type").alias("title"), interact.alias("interactInfo"), tag.alias("tagList"),
                     F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.struct(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("nickname")).alias("user"))
-    d = Pa.parse_note_detail(e.select(F.to_json(F.struct(note.alias("note"))).alias("payload")), "payload")
-    return d.select("note_id", "title", "likes", "collects", "publish_time", "author", "tags")
+    return e.select("event_id", F.to_json(F.struct(note.alias("note"))).alias("payload"))
+
+
+@query("deep_values", "U25", """SELECT event_id, 'user ' || CAST(user_id AS VARCHAR) AS author, json_extract_string(props, '$.k') AS saves FROM events""")
+def deep_values(t):
+    d = compute_once(note_payloads(t), doc=F.try_parse_json(F.col("payload")))
+    return d.select("event_id", Pa.deep_get(F.col("doc"), ["nickName", "nickname"], ["user", "note.user"]).alias("author"),
+                    Pa.deep_get(F.col("doc"), ["collectCount"], ["note", "note.interactInfo"]).alias("saves"))
 
 
 @query("packed_descriptions", "U5", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE strftime(ts, '%M:%S') END AS duration, CAST(floor(value * 10) * 1000 AS BIGINT) AS play_count,

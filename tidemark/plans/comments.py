@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions import rules as R, text as T
 from tidemark.functions.text import CommentRules
 from tidemark.operators import comments as C
+from tidemark.operators.ordering import compute_once
 from tidemark.plans.registry import query
 
 ORDER = ["doc_id", "pos"]
@@ -182,8 +183,8 @@ _predicate_query("comment_validity", "F2", f"""(length(text) BETWEEN 2 AND 500 A
 SELECT dataset, doc_id, pos, text FROM c
 WHERE length(t) >= 2 AND NOT {_sql_has('t', FIXTURE.noise)} AND text IS NOT NULL""")
 def clean_comments(t):
-    return (lines(t).withColumn("text", T.clean_comment(F.col("text"), FIXTURE))
-            .where(F.col("text").isNotNull()).select("dataset", "doc_id", "pos", "text"))
+    cleaned = compute_once(lines(t), cleaned=T.clean_comment(F.col("text"), FIXTURE))
+    return cleaned.where("cleaned is not null").select("dataset", "doc_id", "pos", F.col("cleaned").alias("text"))
 
 
 @query("topic_board", "A8", f"""WITH {LINES},

@@ -10,6 +10,7 @@ from tidemark.operators.ordering import compute_once
 from tidemark.plans.posts import rounded
 from tidemark.plans.registry import query
 from tidemark.plans.statistics import compare_sql, tidy
+from tidemark.session import write_through
 from tidemark.sources import articles, conversations as Cv
 
 THEMES = {"license": ["License", "GNU"], "abuse": ["idiot", "worthless", "pathetic"], "money": ["$$$"], "table": [" | "]}
@@ -35,9 +36,10 @@ units AS (SELECT unit_id, type, title, themes, sources, text, [kw[i] FOR i IN ra
   list_distinct([c FOR c IN string_split(regexp_replace(title, '[^A-Za-z0-9]+', '', 'g'), '') IF c <> '']) AS chars FROM u0)"""
 
 
-def units(t):
+def units(t, *more):
     title = F.regexp_extract("text", r"^([^\n]*)", 1)
-    return t.documents.select(F.col("doc_id").alias("unit_id"), F.col("lang").alias("type"), title.alias("title"),
+    return t.documents.select(
+        *more, F.col("doc_id").alias("unit_id"), F.col("lang").alias("type"), title.alias("title"),
                               R.dictionary_labels(F.col("text"), THEMES).alias("themes"), F.array("source").alias("sources"),
                               Co.keyword_list([title], min_len=7).alias("keywords"))
 
@@ -71,7 +73,7 @@ def duplicate_candidates(t):
 
 @query("manual_pairs", "J12")
 def manual_pairs(t):
-    c = Co.duplicate_candidates(units(t), labels=("near", "synonym"))
+    c = write_through(Co.duplicate_candidates(units(t), labels=("near", "synonym")), "candidates")
     manual = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("conv_id").alias("a"), (F.col("conv_id") + F.col("n")).alias("b"))
     reviews = t.labels.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 20).alias("b"), F.lit("kept").alias("status"), F.lit("reviewed").alias("note"))
@@ -160,7 +162,7 @@ sc AS (SELECT unit_id, CAST({_score_sql()} + CASE WHEN type = 'de' THEN 2 ELSE 0
 
 
 def token_units(t):
-    u = units(t).join(t.documents.select(F.col("doc_id").alias("unit_id"), "text"), "unit_id")
+    u = units(t, "text")
     tok = lambda c: T.index_tokens(c, script="ㄱ")  # noqa: E731  (no n-gram script in these tables)
     return compute_once(u, title_t=tok(F.col("title")), themes_t=tok(F.array_join("themes", " ")), summary_t=tok(F.col("text")))
 

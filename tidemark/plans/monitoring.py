@@ -11,7 +11,10 @@ from tidemark.plans.registry import query
 from tidemark.session import write_through
 
 ORDER = ["o_orderdate", "o_orderkey"]
-AS_OF = F.to_date(F.lit("2001-08-02"))
+def as_of():
+    return F.to_date(F.lit("2001-08-02"))
+
+
 AS_OF_SQL = "DATE '2001-08-02'"
 
 
@@ -56,7 +59,7 @@ def trend_report(t):
   round(arg_max(o_totalprice, (o_orderdate, o_orderkey)) - arg_min(o_totalprice, (o_orderdate, o_orderkey)), 4) AS gain,
   CAST(min(o_orderdate) AS DATE) >= {AS_OF_SQL} - 1500 AS is_new FROM orders GROUP BY o_custkey""")
 def cross_day_growth(t):
-    g = Mo.growth(snaps(t), "o_custkey", "o_orderdate", ORDER, "o_totalprice", AS_OF, 1500)
+    g = Mo.growth(snaps(t), "o_custkey", "o_orderdate", ORDER, "o_totalprice", as_of(), 1500)
     return g.withColumn("gain", F.round("gain", 4))
 
 
@@ -96,7 +99,7 @@ def tiers(t):
     s = snaps(t).select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"),
                         F.floor(F.col("o_totalprice") / 200000).alias("cnt"))
     pins = t.customer.where("c_acctbal > 9500").select(F.col("c_custkey").alias("o_custkey"))
-    return Mo.auto_tier(s, "o_custkey", ["day", "o_orderkey"], "day", "cnt", F.year("day"), AS_OF, pins, a_idle=200, b_idle=500)
+    return Mo.auto_tier(s, "o_custkey", ["day", "o_orderkey"], "day", "cnt", F.year("day"), as_of(), pins, a_idle=200, b_idle=500)
 
 
 @query("auto_tier", "W7", f"WITH {_TIER} SELECT * FROM tier")
@@ -107,7 +110,7 @@ def auto_tier(t):
 @query("staggered_schedule", "W8", f"""WITH {_TIER}, k AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY observed_days, o_custkey) - 1 AS k FROM tier)
 SELECT o_custkey, tier, {AS_OF_SQL} + CAST(k % CASE tier WHEN 'S' THEN 1 WHEN 'A' THEN 3 ELSE 7 END AS INT) + 1 AS next_check FROM k""")
 def staggered_schedule(t):
-    d = Mo.staggered_schedule(tiers(t), "tier", F.col("observed_days"), "o_custkey", AS_OF)
+    d = Mo.staggered_schedule(tiers(t), "tier", F.col("observed_days"), "o_custkey", as_of())
     return d.select("o_custkey", "tier", "next_check")
 
 
@@ -268,7 +271,7 @@ def country_required_filter(t):
 
 @query("stale_posts", "F14", f"""SELECT o_orderkey, CAST(o_orderdate AS DATE) < {AS_OF_SQL} - 700 AS stale FROM orders""")
 def stale_posts(t):
-    return t.orders.select("o_orderkey", Mo.is_stale(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"), AS_OF, 700).alias("stale"))
+    return t.orders.select("o_orderkey", Mo.is_stale(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"), as_of(), 700).alias("stale"))
 
 
 @query("dirty_page_guard", "F15", """SELECT o_orderkey, c_custkey, lower(regexp_replace(c_name, '[^0-9A-Za-z]+', '', 'g')) = 'customer' || lpad(CAST(o_orderkey % 2000 AS VARCHAR), 9, '0') AS ok
