@@ -1,0 +1,94 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import corpus as Co, entities as E, joins as J
+
+
+def test_contains_pairs_is_brute_force(spark):
+    rnd = random.Random(3)
+    texts = [(i, "".join(rnd.choice("abc ") for _ in range(40))) for i in range(60)]
+    names = sorted({"".join(rnd.choice("abc ") for _ in range(rnd.randrange(2, 7))) for _ in range(60)})
+    pairs = J.contains_pairs(spark.createDataFrame(texts, "k long, t string"), "k", "t",
+                             spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    got = [tuple(r) for r in pairs.collect()]
+    want = {(k, n) for k, t in texts for n in names if len(n) >= 3 and n in t}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_merge_keeps_known_values(spark):
+    old = spark.createDataFrame([("n1", 5000, 800, "title", "2024-01-01"), ("n2", 1, None, "", None)], "id string, likes int, saves int, title string, day string")
+    new = spark.createDataFrame([("n1", None, None, "", None, 1), ("n1", None, 900, None, None, 2), ("n2", 3, None, "t2", None, 1), ("n3", 9, 9, "x", "d", 1)],
+                                "id string, likes int, saves int, title string, day string, at int")
+    got = {r["id"]: tuple(r)[1:] for r in J.merge_known(old, new, ["id"], ["at"]).collect()}
+    assert got == {"n1": (5000, 900, "title", "2024-01-01"), "n2": (3, None, "t2", None), "n3": (9, 9, "x", "d")}
+
+
+def test_recent_before_looks_back_five_days(spark):
+    d = spark.createDataFrame([("a", "2024-01-01", 1), ("a", "2024-01-06", 2), ("a", "2024-01-13", 3)], "k string, day string, v int").withColumn("day", F.to_date("day"))
+    got = {str(r["day"]): r["base_v"] for r in J.recent_before(d, d, ["k"], "day", "v", 5).collect()}
+    assert got == {"2024-01-01": None, "2024-01-06": 1, "2024-01-13": None}
+
+
+def test_canonical_chain(spark):
+    d = spark.createDataFrame([("世纪城",), ("安哥拉世纪城",), ("非洲安哥拉世纪城",), ("中国城",)], "name string")
+    got = dict(map(tuple, E.canonical_names(d).collect()))
+    assert got == {"世纪城": "非洲安哥拉世纪城", "安哥拉世纪城": "非洲安哥拉世纪城", "非洲安哥拉世纪城": "非洲安哥拉世纪城", "中国城": "中国城"}
+
+
+def test_components_of_a_long_chain(spark):
+    n = 40
+    nodes = spark.createDataFrame([(i,) for i in range(n + 3)], "node long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(n, n + 1)], "src long, dst long")
+    got = dict(map(tuple, E.connected_components(nodes, edges).collect()))
+    assert {got[i] for i in range(n)} == {0} and got[n] == got[n + 1] == n and got[n + 2] == n + 2
+
+
+def test_duplicate_candidates_is_brute_force(spark):
+    rnd = random.Random(8)
+    pick = lambda words, p: [w for w in words if rnd.random() < p]
+    units = [(i, rnd.choice("QO"), "".join(rnd.choice("甲乙丙丁戊己庚辛壬癸ab") for _ in range(rnd.randrange(0, 7))), pick(["t1", "t2"], .3),
+              pick(["k1", "k2", "k3"], .3), pick(["s1", "s2"], .3)) for i in range(90)]
+    df = spark.createDataFrame(units, "unit_id long, type string, title string, themes array<string>, keywords array<string>, sources array<string>")
+    want = {}
+    for a, b in itertools.combinations(units, 2):
+        if a[1] != b[1]:
+            continue
+        t, k, s = (len(set(x) & set(y)) for x, y in zip(a[3:], b[3:]))
+        ca, cb = set(a[2]), set(b[2])
+        sim = len(ca & cb) / max(len(ca), len(cb)) if ca and cb else 0.0
+        if (t and k) or (s and (t or k)) or (sim >= 0.35 and (t or k or s)):
+            want[(a[0], b[0])] = 3 * t + 2 * k + 2 * s + int(sim * 10 + 0.5)
+    got = {(r["a"], r["b"]): r["score"] for r in Co.duplicate_candidates(df).collect()}
+    assert got == want
+
+
+def test_salted_pairs_lose_nothing(spark):
+    d = spark.createDataFrame([("hot", i) for i in range(60)] + [("cold", i) for i in range(60, 64)], "key string, i long")
+    got = {tuple(r) for r in Co.salted_pairs(d, "key", "i", most=7).collect()}
+    assert got == set(itertools.combinations(range(60), 2)) | set(itertools.combinations(range(60, 64), 2))
+
+
+def test_rewrite_links_leaves_fences_alone(spark):
+    d = spark.createDataFrame([(1, "see QST-001 and ```QST-001``` end QST-0011")], "i long, t string")
+    links = spark.createDataFrame([("QST-001", "[[QST-001_x]]")], "id string, link string")
+    r = Co.rewrite_links(d, "i", "t", links, r"QST-\d+").first()
+    assert r["rewritten"] == "see [[QST-001_x]] and ```QST-001``` end QST-0011"
+
+
+def test_pair_audit(spark):
+    c = spark.createDataFrame([(1, 2, "x", "x", "conflict"), (3, 4, "x", "x", "conflict"), (5, 6, "q", "q", "layered"), (7, 8, "c", "o", "layered"), (9, 10, "c", "o", "layered")],
+                              "a long, b long, a_type string, b_type string, status string")
+    e = spark.createDataFrame([(1, 2, "conflict", "n"), (2, 1, "conflict", "n"), (3, 4, "conflict", "n"), (4, 3, "conflict", ""), (10, 9, "explains", "")], "src long, dst long, type string, note string")
+    got = {r["a"]: r["audit"] for r in Co.pair_audit(c, e, exempt=[("q", "q")]).collect()}
+    assert got == {1: "pass", 3: "missing", 5: "not required", 7: "missing", 9: "pass"}
+
+
+def test_assemble_prefers_linked_units(spark):
+    d = spark.createDataFrame([(1, "question", "a", ["t"], [0], 10), (2, "question", "b", ["u"], [0], 9), (3, "opinion", "c", ["t"], [1], 1), (4, "opinion", "d", ["z"], [0], 12)],
+                              "unit_id long, type string, title string, themes array<string>, targets array<long>, score long")
+    got = {(r["type"], r["unit_id"]): (r["is_main"], r["final_score"]) for r in Co.assemble(d, ["question", "opinion"], 2).collect()}
+    assert got == {("question", 1): (True, 10), ("question", 2): (False, 12), ("opinion", 3): (True, 25), ("opinion", 4): (False, 15)}
