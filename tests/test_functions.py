@@ -90,3 +90,18 @@ def test_parsers(spark):
 def test_front_matter_without_any(spark):
     r = Pa.front_matter(spark.createDataFrame([("plain text",)], "x string"), "x").first()
     assert (r["id"], r["themes"], r["relationships"], r["body"]) == (None, [], [], "plain text")
+
+
+def test_default_account_classes(spark):
+    from tidemark.operators import accounts as A
+
+    data = [("加纳物流", "专注非洲清关 海运 货代 出口"), ("环球小王", "旅行 旅拍 穷游 自驾游"), ("某报", "新闻门户 主流媒体"), ("路人", "hello")]
+    d = A.account_features(spark.createDataFrame(data, "nick string, sig string"), "nick", "sig", None, A.default_signals())
+    got = {r["nick"]: r["class"] for r in A.classify_account(d).collect()}
+    assert got == {"加纳物流": A.CLASSES["region_business"], "环球小王": A.CLASSES["travel"], "某报": A.CLASSES["media"], "路人": A.CLASSES["none"]}
+
+
+def test_anchored_service_defaults(spark):
+    rule = lambda c: Mo.anchored_service(c, L.STRONG_SERVICE, L.EXCLUDED_SERVICE, L.REGION_ANCHORS, L.CROSS_BORDER_SERVICE, L.CROSS_BORDER_CONTEXT)
+    texts = ["非洲清关专线", "杭州产业园招商", "国际海运订舱", "非洲酒店招商"]
+    assert column(spark, texts, rule) == [True, False, True, False]

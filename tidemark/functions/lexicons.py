@@ -130,3 +130,53 @@ PROJECT_NOISE_PREFIXES = ["就职于", "工作于", "就职", "工作", "专注"
 FOLLOWER_TIERS = ([(1000, "微小(<1K)"), (10000, "小(1K-1W)"), (100000, "中(1W-10W)"),
                    (1000000, "大(10W-100W)")], "超大(>100W)")
 TIER_CYCLE_DAYS = {"S": 1, "A": 3, "B": 7}
+
+# --- fixed values: broad title hooks (eight labels) ----------------------------------------------
+BROAD_HOOKS = [
+    ("疑问句", r"？|\?|吗|呢|吧|怎么样|如何|怎么"),
+    ("数字罗列", r"\d+个|\d+种|\d+万|\d+年|第\d|TOP\d|Top\d"),
+    ("警告避坑", r"坑|避坑|注意|千万别|警惕|骗局|血亏|亏了|踩雷"),
+    ("如何教你", r"如何|怎么|教你|手把手|秘籍|干货|攻略"),
+    ("对比反差", r"还是|vs|VS|对比|没想到|居然|其实"),
+    ("情绪强烈", r"暴利|赚翻|血赚|崩溃|太难了|绝了|炸了|必看"),
+    ("稀缺独家", r"独家|第一次|罕见|揭秘|内幕|真相|只有"),
+    ("时间紧迫", r"最新|刚刚|今天|昨天|紧急"),
+]
+
+# --- fixed values: service accounts --------------------------------------------------------------
+STRONG_SERVICE = ["物流", "货代", "清关", "海外仓", "专线", "海运", "空运", "供应链", "考察团", "招商", "产业园", "工业园",
+                  "落地服务", "公司注册", "代办", "对接", "商会", "带路", "出海服务", "双清", "服务中心", "安保联防"]
+EXCLUDED_SERVICE = ["民宿", "酒店", "宾馆", "旅馆", "睡衣", "选矿", "金矿", "农场", "养殖", "翻译社", "俱乐部", "黑杨", "商贸城", "媳妇",
+                    "跨国恋", "红宝石", "黄金矿业", "钻石", "工厂", "菏泽", "牡丹芍药", "孵化器", "时光机", "做证明题", "建材超市"]
+CROSS_BORDER_SERVICE = ["货代", "清关", "双清", "海外仓", "专线", "海运", "空运", "订舱", "报关", "考察团", "落地服务", "签证",
+                        "ECTN", "COC", "PVOC", "拼柜", "整柜"]
+CROSS_BORDER_CONTEXT = ["跨境", "外贸", "出口", "国际", "出海", "海外", "全球", "门到门", "到门"]
+REGION_ANCHORS = ["非洲", "中非", "北非", "西非", "东非", "南非", "撒哈拉"]
+
+# --- fixed values: account signals (word list, weight) --------------------------------------------
+MEDIA_SIGNATURES = [
+    (r"(官方账号|官方抖音|官方号|官方频道)", 80), (r"(新闻门户|主流媒体|新闻媒体|新闻网站|新闻客户端|新闻中心)", 85),
+    (r"(报业集团|传媒集团|广播电视台|新媒体集团|融媒体中心)", 85), (r"(党委机关报|党报|官方新闻|权威新闻)", 80),
+    (r"(互联网新闻信息|新闻采编|原创报道)", 70), (r"(省级媒体|市级媒体|国家级媒体|中央媒体)", 70), (r"(新闻频道|综合频道|新闻综合)", 65),
+]
+ENTERPRISE_NAMES = [
+    (r"(公司|集团|工厂|厂家|实业|企业|品牌|平台)$", 50),
+    (r"[一-鿿]{2,6}(贸易|物流|机械|食品|建材|服装|电子|化工|矿业|能源|农业|渔业|牧业|医药|汽车|房产|酒店|餐饮|旅游|教育|科技|信息|投资|金融|咨询|服务|传媒|文化|广告|设计)$", 60),
+]
+PERSONAL_WORDS = [(r"(本人|个人|私人|非官方|不代表)", 40), (r"(我是|我是一个|我叫|大家好我是)", 30), (r"(喜欢|爱好|热爱|梦想|兴趣)", 15)]
+DOMAIN_WORDS = {
+    "finance": [(["财经", "经济", "金融", "股票", "基金", "理财", "汇率", "美元", "美金", "人民币汇率"], 15),
+                (["投资", "赚钱", "变现", "营收", "月入", "年入", "盈利", "销售额", "订单"], 8)],
+    "trade": [(["外贸", "进出口", "出口", "进口", "跨境", "出海", "贸易"], 15),
+              (["清关", "报关", "货代", "批发", "采购", "供应", "货源", "选品", "物流", "货运", "海运", "空运", "供应链", "仓储"], 8)],
+    "travel": [(["旅行", "旅游", "旅拍", "背包客", "穷游", "环球旅行", "自驾游"], 15), (["自驾", "环球", "游世界", "探险", "户外", "在路上"], 8)],
+    "military": [(["军事", "军武", "军旅", "武器", "战争", "时政", "地缘政治"], 15), (["局势", "国防", "军队", "部队", "战场", "作战", "特种兵"], 8)],
+    "knowledge": [(["科普", "百科", "冷知识", "奇闻", "揭秘", "探索未知"], 15), (["科学", "科技", "人文", "纪录片", "课堂", "讲解", "教学", "学习"], 8)],
+    "lifestyle": [(["美妆", "穿搭", "时尚", "美食", "做饭", "宠物", "健身", "减肥", "瑜伽", "母婴", "育儿", "星座", "情感"], 10)],
+}
+NICKNAME_WORDS = {
+    "entertainment": (["搞笑", "段子", "沙雕", "娱乐", "追剧", "剧场", "短剧", "电影", "影视", "综艺", "剪辑", "混剪", "解说"], 25, 10),
+    "sports": (["体育", "足球", "篮球", "nba", "cba", "英超", "西甲", "中超", "电竞", "游戏", "世界杯", "欧洲杯"], 25, 10),
+}
+CREATOR_WORDS = ["商务合作", "商务", "星图", "合作私信", "合作微信", "合作联系", "合作洽谈", "接广", "接单", "品牌合作", "品牌推广", "mcn", "达人", "博主"]
+REGION_CONTEXT = ["撒哈拉", "中非", "东非", "西非", "北非", "驻华大使馆"]

@@ -145,18 +145,30 @@ def sentences(col: Column, terminators: str = r"[。！？!?\n]+") -> Column:
                     lambda s: s != "")
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, for use inside array expressions."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def index_tokens(col: Column, script: str = r"\p{IsHan}", sizes: tuple = (2, 3), min_len: int = 2) -> Column:
     """Distinct lower-case parts of two characters or more, plus n-grams of parts in the script."""
-    parts = F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), rf"[^{script}a-z0-9]+"),
-                     lambda p: p != "")
-    whole = F.filter(parts, lambda p: F.length(p) >= min_len)
-    dense = F.filter(parts, lambda p: p.rlike(rf"^[{script}]+$"))
+    parts = F.split(F.lower(F.coalesce(col, F.lit(""))), rf"[^{script}a-z0-9]+")
+
+    def whole(ps: Column) -> Column:
+        return F.filter(ps, lambda p: F.length(p) >= min_len)
 
-    def grams(n: int) -> Column:
+    if not sizes:
+        return F.array_distinct(whole(parts))
+
+    def grams(dense: Column, n: int) -> Column:
         return F.flatten(F.transform(F.filter(dense, lambda p: F.length(p) >= n), lambda p: F.transform(
             F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substr(p, i, F.lit(n)))))
 
-    return F.array_distinct(F.concat(whole, *[grams(n) for n in sizes]))
+    def all_tokens(ps: Column) -> Column:
+        dense = F.filter(ps, lambda p: p.rlike(rf"^[{script}]+$"))
+        return F.concat(whole(ps), bind(dense, lambda d: F.concat(*[grams(d, n) for n in sizes])))
+
+    return F.array_distinct(bind(parts, all_tokens))
 
 
 def title_chars(col: Column, keep: str = r"\p{IsHan}A-Za-z0-9") -> Column:

@@ -197,3 +197,14 @@ def original_sound(music_title: Column, music_author: Column, nickname: Column)
 
 def tier_medians(df: DataFrame, tier: str, metrics: Sequence[str]) -> DataFrame:
     return order_statistics(df, [tier], metrics, {"median": 0.5})
+
+
+def default_signals(region_direct: Sequence[str] = ("非洲",), whitelist: Sequence[str] = ()) -> Signals:
+    """Signals from the default word lists; place names and the media list are the caller's."""
+    lists = {"media": [("text", *r) for r in lexicons.MEDIA_SIGNATURES], "enterprise": [("nick", *r) for r in lexicons.ENTERPRISE_NAMES],
+             "personal": [("text", *r) for r in lexicons.PERSONAL_WORDS]}
+    return Signals(
+        identity={k: [(where, p) for where, p, _ in v] for k, v in lists.items()},
+        identity_weights={k: {p: w for _, p, w in v} for k, v in lists.items()}, whitelist=whitelist,
+        domains=lexicons.DOMAIN_WORDS, by_field=lexicons.NICKNAME_WORDS, region_direct=region_direct,
+        region_context=lexicons.REGION_CONTEXT, creator=lexicons.CREATOR_WORDS)

@@ -72,16 +72,18 @@ def reconcile(projects: DataFrame, accounts: DataFrame, refs: DataFrame, manual:
 def split_conflicts(accounts: DataFrame, text: Column, refs: DataFrame, countries: Sequence[str]) -> DataFrame:
     """Flag accounts whose text names another country and neither the entity nor its country.
 
-    ``accounts`` has ``canonical``; ``refs`` has canonical, country and key.
+    ``accounts`` has account and canonical; ``refs`` has canonical, country and key.
     """
-    keys = refs.groupBy("canonical").agg(F.first("country").alias("_rc"), F.collect_set("key").alias("_keys"))
-    d = accounts.join(keys, "canonical", "left").withColumn("_t", text)
-    own = F.exists("_keys", lambda k: (F.length(k) >= 3) & F.contains(F.col("_t"), k))
+    d = accounts.withColumn("_t", text)
+    country = refs.groupBy("canonical").agg(F.first("country").alias("_rc"))
+    own = (contains_pairs(d.select("account", "_t"), "account", "_t", refs, "key", 3)
+           .join(refs.select("key", "canonical").distinct(), "key").select("account", "canonical").distinct().withColumn("_own", F.lit(True)))
+    d = d.join(country, "canonical", "left").join(own, ["account", "canonical"], "left")
     named = [(F.contains(F.col("_t"), F.lit(c)), F.contains(F.col("_rc"), F.lit(c)) | F.contains(F.lit(c), F.col("_rc"))) for c in countries]
     same, other = F.contains(F.col("_t"), F.col("_rc")), F.lit(False)
     for hit, fits in named:
         same, other = same | (hit & fits), other | (hit & ~fits)
-    return d.withColumn("conflict", F.coalesce(~F.coalesce(own, F.lit(False)) & ~same & other, F.lit(False))).drop("_rc", "_keys", "_t")
+    return d.withColumn("conflict", F.coalesce(F.col("_own").isNull() & ~same & other, F.lit(False))).drop("_rc", "_own", "_t")
 
 
 def reassign(accounts: DataFrame, text: str, refs: DataFrame, n: int = 3) -> DataFrame:

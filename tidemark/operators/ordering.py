@@ -193,7 +193,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
                   name: str = "rank") -> DataFrame:
     """First k rows of each group; the rank filter is applied before the shuffle too."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= k)
+    # The filter is on the bare rank: a cast before it would keep Spark from limiting map-side.
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
 
 
 def grouped_medians(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

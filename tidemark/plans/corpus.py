@@ -163,7 +163,7 @@ sc AS (SELECT unit_id, CAST({_score_sql()} + CASE WHEN type = 'de' THEN 2 ELSE 0
 
 def token_units(t):
     u = units(t, "text")
-    tok = lambda c: T.index_tokens(c, script="ㄱ")  # noqa: E731  (no n-gram script in these tables)
+    tok = lambda c: T.index_tokens(c, script="", sizes=())  # noqa: E731  (no n-gram script in these tables)
     return compute_once(u, title_t=tok(F.col("title")), themes_t=tok(F.array_join("themes", " ")), summary_t=tok(F.col("text")))
 
 
@@ -181,7 +181,7 @@ f AS (SELECT unit_id, {_TOK.format(c='title')} AS a, {_TOK.format(c="array_to_st
 s AS (SELECT query_id, unit_id, len(list_intersect(a, tokens)) * 8 + len(list_intersect(b, tokens)) * 4 + len(list_intersect(c, tokens)) * 2 + len(list_intersect(list_distinct(list_concat(a, b, c)), tokens)) AS score FROM q, f)
 SELECT query_id, unit_id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS BIGINT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
 def recall(t):
-    q = t.benchmark.select(F.col("item_id").alias("query_id"), T.index_tokens(F.col("text"), script="ㄱ").alias("tokens"))
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), T.index_tokens(F.col("text"), script="", sizes=()).alias("tokens"))
     return Co.rank_for_queries(q, token_units(t), FIELDS, 5)
 
 
@@ -241,7 +241,7 @@ sz AS (SELECT source, sum(n) AS total FROM tf GROUP BY 1), idf AS (SELECT word,
 w AS (SELECT source, word, n, df, CAST(floor(n / total * ln((SELECT count(*) FROM documents) / df) * 1000000) AS BIGINT) AS weight FROM tf JOIN sz USING (source) JOIN idf USING (word))
 SELECT source, word, CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, weight, CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, word) AS BIGINT) AS rank FROM w QUALIFY rank <= 30""")
 def keyword_tfidf(t):
-    return Co.tfidf_keywords(t.documents, "source", "doc_id", "text", r"\p{L}{3,}")
+    return Co.tfidf_keywords(t.documents, "source", "text", r"\p{L}{3,}")
 
 
 STYLE = (r"(?i)\bnot\b", r"(that|which|und|que)", r"\d+\.\d+")
