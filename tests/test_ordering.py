@@ -89,3 +89,26 @@ def test_baseline_modes(spark):
     top = Mo.breakouts(d.withColumn("saves", F.lit(1000)), base, "u", "likes", "saves").orderBy(F.desc("multiple")).first()
     assert round(top["multiple"], 1) == 16.7 and top["save_ratio"] == pytest.approx(0.2)
     assert Mo.recent_baseline(d, "u", ["i"], "likes", 4).first()["baseline"] == 400  # upper middle of the last four
+
+
+def test_batches_and_ids_of_text_keys(spark):
+    from tidemark.operators import dedup as D, monitor as Mo
+
+    urls = [f"https://x/{i * 7919 % 100003:06d}" for i in range(300)]
+    d = spark.createDataFrame([(u, "A" if i % 3 else "B") for i, u in enumerate(urls)], "url string, code string").repartition(4)
+    got = {r["url"]: (r["row_no"], r["batch"]) for r in Mo.batch_numbers(d.select("url"), "url", 10).collect()}
+    assert got == {u: (i + 1, i // 10 + 1) for i, u in enumerate(sorted(urls))}
+    ledger = spark.createDataFrame([(urls[0], "B", "SRC-B-007"), ("gone", "A", "SRC-A-002")], "url string, code string, source_id string")
+    ids = {r["url"]: r["source_id"] for r in D.allocate_ids(d, ledger, "url", "code", "url").collect()}
+    new_b = sorted(u for i, u in enumerate(urls) if i % 3 == 0 and i)
+    assert ids[urls[0]] == "SRC-B-007" and [ids[u] for u in new_b[:2]] == ["SRC-B-008", "SRC-B-009"]
+    assert len(set(ids.values())) == 300 and min(v for v in ids.values() if "-A-" in v) == "SRC-A-003"
+
+
+def test_long_change_feed_is_cut_into_parts(spark):
+    from tidemark.operators import monitor as Mo
+
+    d = spark.createDataFrame([("a", 1, f"v{i}") for i in range(25)] + [("b", 1, "v1")], "u string, run int, item string").withColumn("likes", F.lit(1))
+    feed = Mo.change_feed(d, ["u", "run"], "item", ["likes"], part_size=10).collect()
+    assert sorted((r["u"], r["n_items"]) for r in feed) == [("a", 5), ("a", 10), ("a", 10), ("b", 1)]
+    assert {x["item"] for r in feed if r["u"] == "a" for x in r["items"]} == {f"v{i}" for i in range(25)}

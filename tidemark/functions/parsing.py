@@ -186,7 +186,3 @@ def front_matter(df: DataFrame, col: str, scalars: Sequence[str] = ("id", "type"
     out["body"] = F.regexp_replace(text, r"^---\n(?s:.*?)\n---\n?", "")
     return d.withColumns(out).drop("_fm")
 
-
-def label_map(col: Column, table: Mapping[str, Iterable[str]]) -> Column:
-    """Dictionary labels of a text, as an array."""
-    return R.dictionary_labels(col, table)

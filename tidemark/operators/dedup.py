@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.joins import unseen
-from tidemark.operators.ordering import number_rows
+from tidemark.operators.ordering import number_rows, text_code
 
 
 def best_version(df: DataFrame, keys: Sequence[str], score: Column, tie: Sequence[str]) -> DataFrame:
@@ -35,7 +35,9 @@ def allocate_ids(items: DataFrame, ledger: DataFrame, path: str, code: str, orde
     number = F.regexp_extract("source_id", r"-(\d+)$", 1).cast("long")
     highest = ledger.groupBy(code).agg(F.max(number).alias("_top"))
     known = items.join(kept, path)
-    fresh = number_rows(unseen(items, [path], ledger), F.col(order), order, "_no", [code])
+    text = items.schema[order].dataType.simpleString() == "string"
+    lead = text_code(F.col(order)) if text else F.col(order)
+    fresh = number_rows(unseen(items, [path], ledger), lead, order, "_no", [code])
     fresh = fresh.join(highest, code, "left").withColumn("_n", F.coalesce("_top", F.lit(0)) + F.col("_no"))
     new_id = F.concat_ws("-", F.lit(prefix), F.col(code), F.lpad(
         F.col("_n").cast("string"), F.greatest(F.lit(width), F.length(F.col("_n").cast("string"))), F.lit("0")))

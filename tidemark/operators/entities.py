@@ -6,14 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions import rules as R
-from tidemark.operators.joins import char_grams, contains_pairs, unseen
+from tidemark.operators.joins import contains_pairs, unseen
 from tidemark.operators.ordering import top_per_group
 from tidemark.session import write_through
 
-__all__ = ["canonical_names", "reconcile", "split_conflicts", "reassign", "connected_components", "merge_leads",
-           "reference_status", "backfill", "project_registry", "char_grams"]
-
 
 def canonical_names(names: DataFrame, name: str = "name", n: int = 3) -> DataFrame:
     """Every name with the longest other name that contains it; itself when there is none."""
@@ -171,6 +167,3 @@ def project_registry(accounts: DataFrame, projects: Column, country: str, kind:
                                                                   lambda x: x["a"]), ",").alias("head_accounts"))
     return sizes.join(listed, "project")
 
-
-def labels_of(text: Column, table: Mapping[str, Sequence[str]]) -> Column:
-    return R.dictionary_labels(text, table)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.operators.ordering import lag_in_chunks, rank_values
+from tidemark.operators.ordering import lag_in_chunks
 from tidemark.operators.stats import two_sided_p
 
 #: fixed values: rows per variant by baseline rate and relative lift
@@ -90,6 +90,3 @@ def referral_reward_cap(df: DataFrame, segment: str, customer: str, revenue: str
     return per.groupBy(segment).agg(F.count(F.lit(1)).alias("n_customers"), F.avg("_ltv").alias("ltv")) \
         .withColumn("reward_cap", F.col("ltv") * margin - target_cac)
 
-
-__all__ = ["required_rows", "ab_readout", "price_curves", "price_points", "utm_parse", "utm_rollup", "duplicate_events",
-           "referral_reward_cap", "rank_values"]

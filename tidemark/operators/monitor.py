@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidemark.functions import rules as R
 from tidemark.functions.lexicons import TIER_CYCLE_DAYS
 from tidemark.operators.joins import latest_and_previous, latest_rows
-from tidemark.operators.ordering import lag_in_chunks, number_rows, order_statistics, top_per_group
+from tidemark.operators.ordering import lag_in_chunks, number_rows, order_statistics, text_code, top_per_group
 
 
 def follower_delta(snapshots: DataFrame, account: str, order: Sequence[str], value: str, ok: Column) -> DataFrame:
@@ -130,7 +130,8 @@ def seeded_sample(df: DataFrame, row_id: str, n: int, seed: str = "42") -> DataF
 
 def batch_numbers(pending: DataFrame, order: str, size: int = 10) -> DataFrame:
     """Pending rows numbered and cut into batches, without a global sort in one task."""
-    out = number_rows(pending, F.col(order), order, "row_no")
+    text = pending.schema[order].dataType.simpleString() == "string"
+    out = number_rows(pending, text_code(F.col(order)) if text else F.col(order), order, "row_no")
     return out.withColumn("batch", F.floor((F.col("row_no") - 1) / size) + 1)
 
 
@@ -142,7 +143,9 @@ def budgeted_queue(df: DataFrame, run: Sequence[str], order: Column, row_id: str
 
 def change_feed(items: DataFrame, run: Sequence[str], item: str, payload: Sequence[str], part_size: int = 1000) -> DataFrame:
     """Per run and account the changed items as one nested list, long lists in numbered parts."""
-    numbered = number_rows(items.select(*run, item, *payload), F.col(item), item, "_no", run)
+    # Numbered by a hash of the item (52 bits, exact as a double), so that any kind of id will do.
+    d = items.select(*run, item, *payload).withColumn("_h", F.shiftright(F.xxhash64(item), 12))
+    numbered = number_rows(d, F.col("_h"), item, "_no", run)
     numbered = numbered.withColumn("part", F.floor((F.col("_no") - 1) / part_size))
     return numbered.groupBy(*run, "part").agg(
         F.count(F.lit(1)).alias("n_items"),

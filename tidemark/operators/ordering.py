@@ -139,11 +139,11 @@ def number_rows(df: DataFrame, lead: Column, tie: str, name: str = "row_no",
                 keys: Sequence[str] = ()) -> DataFrame:
     """1-based row number by (lead, tie) inside each group, without sorting a group in one task.
 
-    ``lead`` and ``tie`` are numeric; ``tie`` is unique. A lead value that fills a whole range on
-    its own is cut further by ``tie``.
+    ``lead`` is numeric and ``tie`` unique. A lead value that fills a whole range on its own is cut
+    further by a numeric ``tie``. To number texts, lead with ``text_code`` and tie with the text.
     """
     keys = list(keys)
-    d = df.withColumns({"_lead": lead.cast("double"), "_tie": F.col(tie).cast("double")})
+    d = df.withColumns({"_lead": lead.cast("double"), "_tie": F.col(tie).try_cast("double")})
     both = d.agg(F.struct(_cuts(d, F.col("_lead")).alias("lead"), _cuts(d, F.col("_tie")).alias("tie")).alias("c")).scalar()
     d = d.select("*", both.alias("_c")).select("*", F.col("_c.lead").alias("_lc"), F.col("_c.tie").alias("_tc"))
     on_cut = F.coalesce(F.array_contains("_lc", F.col("_lead")), F.lit(False))
@@ -153,17 +153,22 @@ def number_rows(df: DataFrame, lead: Column, tie: str, name: str = "row_no",
     ahead = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_r", "_s").rowsBetween(*_BEFORE)
     offsets = sizes.select(*keys, "_r", "_s",
                            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*keys, "_r", "_s").orderBy("_lead", "_tie")
+    inside = W.partitionBy(*keys, "_r", "_s").orderBy("_lead", tie)
     return d.join(offsets, [*keys, "_r", "_s"]).select(
         *df.columns, (F.col("_off") + F.row_number().over(inside)).cast("long").alias(name))
 
 
+def text_code(col: Column, skip: int = 0) -> Column:
+    """Number that follows the binary order of texts, from six bytes after a common beginning."""
+    return F.conv(F.rpad(F.hex(F.substr(F.encode(col, "UTF-8"), F.lit(skip + 1), F.lit(6))), 12, "0"), 16, 10).cast("double")
+
+
 def lag_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                   cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """``lag`` per key with the key's history cut into chunks of the order (a month, an hour).
 
     Every chunk is sorted on its own; only the last row of each chunk is carried to the next one.
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``; keys and order must not be NULL.
     """
     keys, order, cols = list(keys), list(order), list(cols)
     d = df.withColumn("_chunk", chunk)

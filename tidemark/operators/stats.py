@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions import rules as R
 from tidemark.operators.ordering import (long_metrics, number_rows, order_statistics, rank_values,
                                          truncated_position)
 
@@ -251,8 +250,3 @@ def findings_board(findings: DataFrame) -> DataFrame:
         "dimension", "n_a", "n_b", "n_c", "n_f", F.col("b.finding").alias("best"),
         F.col("b.cohens_d").alias("best_d"), F.col("b.p_value").alias("best_p"), F.col("b.grade").alias("best_grade"))
 
-
-def label_counts(df: DataFrame, labels: R.Rules, text: str) -> DataFrame:
-    """Rows per label of a multi-label rule table."""
-    return (df.select(F.explode(R.all_labels(F.col(text), labels)).alias("label"))
-            .groupBy("label").agg(F.count(F.lit(1)).alias("n")))

@@ -95,7 +95,3 @@ def window_keywords(counts: DataFrame, session: str, k: int = 5) -> DataFrame:
     """Top words of every window; also the shape of a micro-batch, which holds whole windows."""
     return top_per_group(counts, [session, "start", "end"], [F.desc("n"), F.asc("word")], k, "rank")
 
-
-def normalize_late(df: DataFrame, ts: str, watermark: Column) -> DataFrame:
-    """Rows older than the watermark, to be counted by the caller."""
-    return df.where(F.col(ts) < watermark)
