@@ -71,7 +71,12 @@ def duplicate_candidates(t):
     return rounded(Co.duplicate_candidates(units(t), labels=("near", "synonym")), "similarity")
 
 
-@query("manual_pairs", "J12")
+@query("manual_pairs", "J12", f"""WITH {_PAIRS}, man AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT conv_id AS a, conv_id + count(*) AS b FROM conversations GROUP BY conv_id)),
+ex AS (SELECT man.a, man.b, -1 AS score, 'by hand' AS candidate_type FROM man JOIN units x ON x.unit_id = man.a JOIN units y ON y.unit_id = man.b
+  WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.a = man.a AND cand.b = man.b)),
+al AS (SELECT a, b, score, candidate_type FROM cand UNION ALL SELECT a, b, score, candidate_type FROM ex)
+SELECT candidate_type, CASE WHEN doc_id IS NULL THEN 'pending' ELSE 'kept' END AS status, CAST(count(*) AS BIGINT) AS n, CAST(max(score) AS BIGINT) AS top_score
+FROM al LEFT JOIN labels ON doc_id = a AND doc_id + 20 = b GROUP BY 1, 2""")
 def manual_pairs(t):
     c = write_through(Co.duplicate_candidates(units(t), labels=("near", "synonym")), "candidates")
     manual = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
