@@ -98,7 +98,7 @@ def reassign(accounts: DataFrame, text: str, refs: DataFrame, n: int = 3) -> Dat
     return moved.withColumns({"moved_to": to, "final": F.coalesce(to, F.col("canonical"))}).drop("_own", "_to")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """Smallest node of each connected component, by neighbour minimum and pointer jumping.
 
     Every round is written to the shared folder, which keeps the plan short and survives a lost
@@ -107,7 +107,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = write_through(both.where("src <> dst").distinct(), "edges")
     labels = write_through(nodes.select(node, F.col(node).alias("label")).distinct(), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (both.join(labels.select(F.col(node).alias("dst"), "label"), "dst").groupBy(F.col("src").alias(node))
                 .agg(F.min("label").alias("_near")))
         step = labels.join(near, node, "left").select(
@@ -118,7 +118,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
         labels = new.select(node, "label")
         if new.where("label <> _old").limit(1).count() == 0:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def merge_leads(leads: DataFrame, name: str = "name", account: str = "account", n: int = 4) -> DataFrame:
