@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from tidemark.llm import decontaminate, html_text, licenses, line_dedup, ngram_join, packing, quality, secrets, sharding, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    into = "secrets"
+    d = secrets.find_secrets(table(spark, sf_dir, "documents"), into=into, keep=["doc_id"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    return d.select("doc_id", *[f"{into}.n_{k}" for k in secrets.KINDS[:3]],
+                    F.sha2(listed(F.filter(f"{into}.spans", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
+                    listed(F.col(f"{into}.spans")).alias("spans"), f"{into}.n_novel")
+
+
 @query()
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after line deduplication, and the number of lines removed."""
@@ -36,6 +47,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, into="n_removed").select("doc_id", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
 
 
+@query()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard and place; counts of shards differ by one at most."""
+    d = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # words by the folded class, as lists; windows as texts with the words joined by a space
 _FOLDED = r"""list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
@@ -88,6 +113,56 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (~quality.fails(bits, quality.POLICIES["v1"])).alias("kept"), bits.alias("failed_bits"))
 
 
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries that the pages themselves give: every host is listed, removed and listed again, by its pages' ids.
+
+    Hosts with a word of the trade are on ``spam``, others on ``review``; the first folder of each host is on ``folder``.
+    """
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    entry = lambda name, pattern, action, n: F.struct(name.alias("list"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("dated"))
+    p = pages.select("page_id", html_text.host_of(F.col("url")).alias("host"), html_text.path_of(F.col("url")).alias("path")).where("host <> ''")
+    hosts = p.groupBy("host").agg(F.min("page_id").alias("i"), F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("host").rlike("spam|pills|casino|cheap|farm"), F.lit("spam")).otherwise(F.lit("review"))
+    first, span = F.pmod(F.col("i") * 7, F.lit(300)), 20 + F.pmod(F.col("n"), F.lit(60))
+    by_host = hosts.select(F.inline(F.array(entry(name, F.col("host"), "add", first), entry(name, F.col("host"), "remove", first + span),
+                                            entry(name, F.col("host"), "add", first + span + 40))))
+    folder = F.concat("host", F.lit("/"), F.get(F.split("path", "/"), F.lit(1)), F.lit("/"))
+    folders = p.where(F.size(F.split("path", "/")) > 2).groupBy(folder.alias("pattern")).agg(F.min("page_id").alias("i"))
+    start = F.pmod(F.col("i") * 11, F.lit(300))
+    by_folder = folders.select(F.inline(F.array(entry(F.lit("folder"), F.col("pattern"), "add", start), entry(F.lit("folder"), F.col("pattern"), "remove", start + 45))))
+    return by_host.unionByName(by_folder)
+
+
+@query(r"""
+WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+  regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, DATE '2024-01-01' + cast(page_id * 37 % 365 AS int) AS fetched FROM pages),
+h AS (SELECT host, min(page_id) AS i, count(*) AS n FROM p WHERE host <> '' GROUP BY host),
+hh AS (SELECT host, CASE WHEN regexp_matches(host, 'spam|pills|casino|cheap|farm') THEN 'spam' ELSE 'review' END AS list,
+  DATE '2024-01-01' + cast(i * 7 % 300 AS int) AS d, cast(20 + n % 60 AS int) AS s FROM h),
+f AS (SELECT host || '/' || string_split(path, '/')[2] || '/' AS pattern, min(page_id) AS i FROM p WHERE host <> '' AND len(string_split(path, '/')) > 2 GROUP BY 1),
+ff AS (SELECT pattern, DATE '2024-01-01' + cast(i * 11 % 300 AS int) AS d FROM f),
+v AS (SELECT list, host AS pattern, d AS since, d + s AS until FROM hh UNION ALL SELECT list, host, d + s + 40, DATE '9999-12-31' FROM hh
+  UNION ALL SELECT 'folder', pattern, d, d + 45 FROM ff),
+m AS (SELECT page_id, list_sort(list(DISTINCT list)) AS lists FROM p JOIN v ON fetched >= since AND fetched < until
+  AND (host = pattern OR ends_with(host, '.' || pattern) OR (contains(pattern, '/') AND starts_with(host || path, pattern))) GROUP BY page_id)
+SELECT page_id, url, fetched, coalesce(array_to_string(lists, ','), '') AS lists, cast(coalesce(len(lists), 0) AS bigint) AS n_lists,
+  NOT coalesce(list_contains(lists, 'spam'), false) AS allowed FROM p LEFT JOIN m USING (page_id)""")
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as a capture of some day of 2024, with the lists that held its URL on that day."""
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int"))
+    captures = pages.select("page_id", "url", fetched.alias("fetched"))
+    d = url_lists.active_lists(captures, dated_entries(pages))
+    return d.select("page_id", "url", "fetched", F.array_join("lists", ",").alias("lists"), F.size("lists").cast("long").alias("n_lists"),
+                    (~F.array_contains("lists", "spam")).alias("allowed"))
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
