@@ -17,8 +17,9 @@ from tidemark.session import write_through
 #: Fixed phrases and labels; every consecutive occurrence of the words counts.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Words of a hash; diagonals this near are one; the share of a template's words that a span must hold.
-GRAM, NEAR, COVERED = 2, 4, 0.6
+#: Words of a hash; diagonals this near are one; the share of a template's words that a span must hold, and the
+#: words below which it must hold them all, as short notices differ in a single word.
+GRAM, NEAR, COVERED, SHORT = 2, 4, 0.6, 12
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,8 @@ def spans(found: DataFrame, near: int = NEAR, covered: float = COVERED) -> DataF
     per = grouped.groupBy(*doc, "tlen", "_g").agg(
         F.min("pos").alias("start"), F.max("pos").alias("_end"), F.countDistinct("tpos").alias("votes"))
     share = (F.col("votes") + GRAM - 1) / F.col("tlen")
-    return per.select(*doc, "start", (F.col("_end") + GRAM).alias("stop"), F.least(share, F.lit(1.0)).alias("score")).where(F.col("score") >= covered)
+    return per.select(*doc, "start", (F.col("_end") + GRAM).alias("stop"), F.least(share, F.lit(1.0)).alias("score"), "tlen") \
+        .where(F.col("score") >= F.when(F.col("tlen") < SHORT, 1.0).otherwise(covered)).drop("tlen")
 
 
 def phrases(found: DataFrame, base: list[int]) -> DataFrame:

@@ -24,7 +24,7 @@ BEFORE, AROUND = 48, 2048
 #: Parts of those words; a text without any of them has no sensitive place.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "client", "signature", "session")
 
-#: Candidates: long runs of the characters that keys are written in. Words of one case without a digit are none.
+#: Candidates: long runs of the characters that keys are written in, with a digit or a sign of base64 among them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 
 #: Marginal compressed bytes for each byte of the candidate from which it is new.
@@ -89,7 +89,7 @@ def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, int]]) -
                 continue
             seen = stop
             run = whole[0].strip("=.-_/")
-            if len(run) < 16 or not any(c.isdigit() for c in run) and (run.islower() or run.isupper() or run.istitle()):
+            if len(run) < 16 or not any(c in "0123456789+/=" for c in whole[0]):
                 continue
             if any(a <= start and stop <= b for a, _, b in base):
                 continue
