@@ -112,3 +112,26 @@ def test_long_change_feed_is_cut_into_parts(spark):
     feed = Mo.change_feed(d, ["u", "run"], "item", ["likes"], part_size=10).collect()
     assert sorted((r["u"], r["n_items"]) for r in feed) == [("a", 5), ("a", 10), ("a", 10), ("b", 1)]
     assert {x["item"] for r in feed if r["u"] == "a" for x in r["items"]} == {f"v{i}" for i in range(25)}
+
+
+def test_null_keys_are_groups(spark):
+    """No row and no group is lost when its key is NULL, and NULL does not merge with a text key."""
+    rows = [(None if i % 4 == 0 else "unknown" if i % 4 == 1 else f"k{i % 4}", float(i % 7), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double, id long")
+    numbered = O.number_rows(df, F.col("v"), "id", "no", ["k"]).collect()
+    assert len(numbered) == 40
+    for key in {r[0] for r in rows}:
+        assert sorted(r.no for r in numbered if r.k == key) == list(range(1, 11))
+    stat = O.order_statistics(df, ["k"], ["v"], {"median": 0.5}).collect()
+    assert {r.k for r in stat} == {r[0] for r in rows} and all(r.n_v == 10 for r in stat)
+    lagged = O.lag_in_chunks(df, ["k"], ["id"], F.floor(F.col("id") / 10), ["id"]).collect()
+    assert len(lagged) == 40 and all(r.prev_id == (r.id - 4 if r.id >= 4 else None) for r in lagged)
+
+
+def test_urls_and_hot_values_are_numbered(spark):
+    rows = [(f"https://example.org/common/path/{i:05d}", 7.0 if i % 3 else float(i), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "url string, v double, id long")
+    by_url = O.number_rows(df, O.text_code(F.col("url")), "url", "no").orderBy("no").collect()
+    assert [r.url for r in by_url] == sorted(r[0] for r in rows) and [r.no for r in by_url] == list(range(1, 3001))
+    by_value = O.number_rows(df, F.col("v"), "id", "no").orderBy("no").collect()
+    assert [r.id for r in by_value] == [i for _, _, i in sorted(rows, key=lambda r: (r[1], r[2]))]

@@ -34,9 +34,17 @@ def _cuts(df: DataFrame, value: Column) -> Column:
     return F.percentile_approx(value.cast("double"), probs, F.lit(20 * k))
 
 
-def _below(cuts: str, value: Column) -> Column:
-    """Number of cut points below the value; never NULL, so that joins on it push no filter down."""
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
+def _below(cuts: str, value: Column, spark) -> Column:
+    """Number of cut points below the value, by binary search; never NULL, so that joins on it push no filter down."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(shuffle_width(spark).bit_length()))])
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(F.col(cuts), at + step - 1) < value, step).otherwise(0)), F.lit(0))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], plain: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Join on columns of one name, where NULL keys meet NULL keys; ``plain`` columns are never NULL."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, *plain]})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(k) == F.col(f"_r_{k}") for k in plain]
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in [*keys, *plain]])
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], value: str,
@@ -44,18 +52,16 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str,
     """One row per (keys, value) with its counts, the count before it and the group total.
 
     ``counts`` names aggregates to carry (default ``n`` = rows). For each name ``c`` the result has
-    ``c``, ``c_before`` (sum over smaller values of the group) and ``c_total``. Keys must not be
-    NULL; NULL values are left out, as in any order statistic.
+    ``c``, ``c_before`` (sum over smaller values of the group) and ``c_total``. A NULL key is a group;
+    NULL values are left out, as in any order statistic.
     """
     keys = list(keys)
     counts = dict(counts or {"n": F.count(F.lit(1))})
-    for k in [*keys, value]:
-        df = df.where(F.col(k).isNotNull())
-    grouped = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
+    grouped = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
     # The cut points read the counts too: the same shuffled table then serves all three uses of it.
     used = F.when(sum((F.col(n) for n in counts), F.lit(0)) >= 0, F.col(value))
     cut = (grouped.select("*", _cut_points(grouped, used, by).alias("_cuts"))
-           .select(*keys, value, *counts, _below("_cuts", F.col(value).cast("double")).alias("_range")))
+           .select(*keys, value, *counts, _below("_cuts", F.col(value).cast("double"), df.sparkSession).alias("_range")))
     sizes = cut.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in counts])
     over_ranges = W.partitionBy(*(keys or [F.lit(0)]))
     offsets = sizes.select(
@@ -64,18 +70,12 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str,
                      F.lit(0)).alias(f"_{n}_off") for n in counts],
         *[F.sum(f"_{n}").over(over_ranges).alias(f"{n}_total") for n in counts])
     inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(*_BEFORE)
-    return cut.join(offsets, [*keys, "_range"]).select(
+    return join_on(cut, offsets, keys, ["_range"]).select(
         *keys, value, *counts,
         *[(F.col(f"_{n}_off") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in counts],
         *[f"{n}_total" for n in counts])
 
 
-def _label_filled(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-    return df.withColumns({k: F.coalesce(F.col(k), F.lit("unknown")) for k in keys if k in texts}) \
-        if texts & set(keys) else df
-
-
 def long_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Unpivot numeric columns to (keys, metric, value)."""
     return df.select(*keys, F.explode(F.array(*[
@@ -105,7 +105,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     ``mean_<metric>`` from the same table of distinct values.
     """
     keys = list(keys)
-    ranked = rank_values(long_metrics(_label_filled(df, keys), keys, metrics),
+    ranked = rank_values(long_metrics(df, keys, metrics),
                          [*keys, "metric"], "value", by="metric")
     pos = {s: (p if callable(p) else quantile_position(p)) for s, p in stats.items()}
     n, lo_row = F.col("n_total"), F.col("n_before")
@@ -140,21 +140,22 @@ def number_rows(df: DataFrame, lead: Column, tie: str, name: str = "row_no",
     """1-based row number by (lead, tie) inside each group, without sorting a group in one task.
 
     ``lead`` is numeric and ``tie`` unique. A lead value that fills a whole range on its own is cut
-    further by a numeric ``tie``. To number texts, lead with ``text_code`` and tie with the text.
+    further by a numeric ``tie``. To number texts, lead with ``text_code`` and tie with the text. A NULL key
+    is a group, and a NULL lead comes first.
     """
     keys = list(keys)
     d = df.withColumns({"_lead": lead.cast("double"), "_tie": F.col(tie).try_cast("double")})
     both = d.agg(F.struct(_cuts(d, F.col("_lead")).alias("lead"), _cuts(d, F.col("_tie")).alias("tie")).alias("c")).scalar()
     d = d.select("*", both.alias("_c")).select("*", F.col("_c.lead").alias("_lc"), F.col("_c.tie").alias("_tc"))
     on_cut = F.coalesce(F.array_contains("_lc", F.col("_lead")), F.lit(False))
-    d = d.select(*df.columns, "_lead", "_tie", (_below("_lc", F.col("_lead")) * 2 + on_cut.cast("int")).alias("_r"),
-                 F.when(on_cut, _below("_tc", F.col("_tie"))).otherwise(F.lit(0)).alias("_s"))
+    d = d.select(*df.columns, "_lead", "_tie", (_below("_lc", F.col("_lead"), df.sparkSession) * 2 + on_cut.cast("int")).alias("_r"),
+                 F.when(on_cut, _below("_tc", F.col("_tie"), df.sparkSession)).otherwise(F.lit(0)).alias("_s"))
     sizes = d.groupBy(*keys, "_r", "_s").agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_r", "_s").rowsBetween(*_BEFORE)
     offsets = sizes.select(*keys, "_r", "_s",
                            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
     inside = W.partitionBy(*keys, "_r", "_s").orderBy("_lead", tie)
-    return d.join(offsets, [*keys, "_r", "_s"]).select(
+    return join_on(d, offsets, keys, ["_r", "_s"]).select(
         *df.columns, (F.col("_off") + F.row_number().over(inside)).cast("long").alias(name))
 
 
@@ -168,7 +169,8 @@ def lag_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     """``lag`` per key with the key's history cut into chunks of the order (a month, an hour).
 
     Every chunk is sorted on its own; only the last row of each chunk is carried to the next one.
-    ``chunk`` must not decrease along ``order``; keys and order must not be NULL.
+    ``chunk`` must not decrease along ``order``. A NULL key is a history of its own, and rows of a NULL
+    chunk come before all others.
     """
     keys, order, cols = list(keys), list(order), list(cols)
     d = df.withColumn("_chunk", chunk)
@@ -179,7 +181,7 @@ def lag_in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     d = d.withColumns({"_first": F.row_number().over(inside) == 1,
                        **{f"_lag_{c}": F.lag(c).over(inside) for c in cols}})
-    return d.join(carried, [*keys, "_chunk"]).select(*df.columns, *[
+    return join_on(d, carried, [*keys, "_chunk"]).select(*df.columns, *[
         F.when(F.col("_first"), F.col(f"_carry.{c}")).otherwise(F.col(f"_lag_{c}")).alias(prefix + c)
         for c in cols])
 

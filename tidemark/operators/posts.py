@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import rules as R, text as T
-from tidemark.operators.ordering import (long_metrics, number_rows, order_statistics, rank_values,
+from tidemark.operators.ordering import (join_on, long_metrics, number_rows, order_statistics, rank_values,
                                          top_per_group)
 
 
@@ -128,13 +128,13 @@ def group_rollup(df: DataFrame, key: str, author: str, metrics: Sequence[str], t
     out = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(author).alias("n_authors"),
                              *[F.avg(m).alias(f"avg_{m}") for m in metrics])
     if ratios:
-        out = out.join(order_statistics(d, [key], list(ratios), {"median": 0.5})
-                       .select(key, *[f"median_{r}" for r in ratios]), key)
+        out = join_on(out, order_statistics(d, [key], list(ratios), {"median": 0.5})
+                      .select(key, *[f"median_{r}" for r in ratios]), [key], how="left")
     if type_col:
         per = d.groupBy(key, type_col).agg(F.count(F.lit(1)).alias("_n"))
         top = top_per_group(per, [key], [F.desc("_n"), F.col(type_col)], k_types, "_r")
-        out = out.join(top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.struct("_r", F.col(type_col).cast("string").alias("t")))), lambda s: s["t"]), ",").alias("top_types")), key)
+        out = join_on(out, top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.struct("_r", F.col(type_col).cast("string").alias("t")))), lambda s: s["t"]), ",").alias("top_types")), [key])
     return out
 
 
@@ -183,7 +183,7 @@ def structure_matrix(df: DataFrame, account: str, unit: str, likes: str, saves:
     med = order_statistics(d, [account, unit], [likes, "save_ratio"], {"median": 0.5})
     fallback = d.groupBy(account).agg(
         (F.count_if(F.col(unit) == default) * 1.0 / F.count(F.lit(1))).alias("fallback_share"))
-    return (med.join(fallback, account).select(
+    return (join_on(med, fallback, [account]).select(
         account, unit, F.col(f"n_{likes}").alias("n"), F.col(f"median_{likes}").alias("median_likes"),
         F.col("median_save_ratio").alias("median_save_ratio"), "fallback_share")
         .withColumn("alarm", F.col("fallback_share") > alarm))
@@ -197,7 +197,7 @@ def top_third_structure(df: DataFrame, account: str, likes: str, row_id: str, me
     sizes = df.groupBy(account).agg(F.count(F.lit(1)).alias("_n"))
     numbered = number_rows(df.select(account, likes, row_id, *[m for m in metrics if m != likes]),
                            -F.col(likes), row_id, "_pos", [account])
-    best = numbered.join(sizes, account).where(
+    best = join_on(numbered, sizes, [account]).where(
         F.col("_pos") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 3)))
     return best.groupBy(account).agg(F.count(F.lit(1)).alias("n_top"),
                                      *[F.avg(m).alias(f"avg_{m}") for m in metrics])

@@ -52,6 +52,6 @@ def write_through(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession, at_most: int = 256) -> int:
-    """Number of value ranges to split an ordered job into."""
-    return max(8, min(at_most, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+def shuffle_width(spark: SparkSession) -> int:
+    """Number of value ranges to split an ordered job into: the session's shuffle partitions, 8 at least."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
