@@ -60,7 +60,7 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = 17, blocks: int |
     An empty table stays empty.
     """
     spark = rows.sparkSession
-    blocks = blocks or 4 * shuffle_width(spark, 1 << 20)
+    blocks = blocks or 4 * shuffle_width(spark)
     number, block, at, shard, part = (fresh(rows, x) for x in ("_number", "_block", "_at", "shard", "_part"))
     d = write_through(rows.withColumn(number, F.monotonically_increasing_id()), "rows")
     d = d.withColumn(block, F.pmod(_random(F.col(number), seed, "block"), F.lit(blocks)).cast("int"))
