@@ -87,7 +87,7 @@ def replay_quota(rows, totals, limit):
             elif known[item] == "queued" and item not in released and out < limit:
                 released[item], out = run, out + 1
         base.add(run)
-        prev = totals[run] if totals[run] is not None else prev
+        prev = totals[run]
     return {i: ("released" if i in released else s, released.get(i)) for i, s in known.items()}
 
 
@@ -100,7 +100,7 @@ def test_quota_matches_a_replay(spark, limit):
         grow = rnd.choice([0, 0, 1, 3])
         total += grow
         items = [f"r{run}_{k}" for k in range(grow + rnd.choice([0, 0, 2]))] + items
-        totals[run] = total
+        totals[run] = None if run == 5 else total
         rows += [("a", run, i, p) for p, i in enumerate(items[:14])]
     df = spark.createDataFrame(rows, "account string, run bigint, item string, pos bigint")
     tot = spark.createDataFrame([("a", r, t) for r, t in totals.items()], "account string, run bigint, total bigint")
@@ -155,6 +155,23 @@ def test_stateful_new_items_over_batches(spark, mode):
         assert {f"n{i}" for i in range(8)} <= at(5, "ready")
 
 
+@pytest.mark.parametrize("mode", ["head", "quota"])
+def test_a_run_in_two_batches_loses_nothing(spark, mode):
+    """The second part of a run is not a replay: of the baseline too."""
+    totals = {1: 10, 2: 13, 3: 13, 4: 14, 5: 14}
+    rows = {run: [r for r in listing_rows(RUNS, totals) if r[1] == run] for run, _ in RUNS}
+    whole = [rows[run] for run, _ in RUNS]
+    split = [part for run, _ in RUNS for part in (rows[run][:4], rows[run][4:] + rows[run][:2])]
+    events = []
+    for label, batches in (("whole", whole), ("split", split)):
+        frame, path = file_stream(spark, batches, SCHEMA, f"t-{label}-{mode}")
+        events.append(sorted((r["run"], r["item"], r["event"]) for r in run_stream(spark, detect_new_items(frame, mode), path).collect()))
+    if mode == "quota":
+        assert events[0] == events[1]
+    else:  # an open item of a later part is reported as open by the first part, once
+        assert events[0] == events[1] and len(set(events[1])) == len(events[1])
+
+
 def test_done_items_leave_the_backlog(spark):
     batches = [[r for r in listing_rows(RUNS[:3]) if r[1] == run] for run in (1, 2, 3)]
     batches.append([("acc", 4, "n0", 0, None, "done"), ("acc", 4, "n1", 0, None, "listing")])

@@ -3,6 +3,9 @@
 The values below are fixed values: results on the platform's own data depend on them.
 """
 
+# --- fixed value: what the title of an original sound says
+ORIGINAL_SOUND = "创作的原声"
+
 # --- fixed values: comment cleaning -----------------------------------------------------------
 COMMENT_NOISE = ["京公网安备", "备案号", "立即领取", "快乐大本营", "大学生免费用",
                  "我的喜欢", "充钻石", "进入全屏", "播放中", "退出全屏"]

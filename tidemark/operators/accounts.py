@@ -190,9 +190,12 @@ def role_of(nick: Column, sig: Column, operator: Column | None = None, official:
 
 
 def original_sound(music_title: Column, music_author: Column, nickname: Column) -> Column:
-    """The sound belongs to the author when its title or author names them."""
-    has = F.contains(F.coalesce(music_title, F.lit("")), nickname) | F.contains(F.coalesce(music_author, F.lit("")), nickname)
-    return F.when(nickname.isNotNull() & (nickname != ""), has).otherwise(F.lit(False))
+    """The title names the author with an @, the sound's author contains the nickname, or the title says so.
+
+    Unknown texts count as empty; an empty nickname is contained in any author.
+    """
+    title, author, nick = (F.coalesce(c, F.lit("")) for c in (music_title, music_author, nickname))
+    return F.contains(title, F.concat(F.lit("@"), nick)) | F.contains(author, nick) | F.contains(title, F.lit(lexicons.ORIGINAL_SOUND))
 
 
 def tier_medians(df: DataFrame, tier: str, metrics: Sequence[str]) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.operators.ordering import top_per_group
 
 
+#: Names that ``contains_pairs`` sends to every executor (some 20 MB) before it shuffles both sides instead.
+SENT_NAMES = 100_000
+
+
 def char_pieces(col: Column, n: int) -> Column:
     """All n-character pieces of a text, in one linear scan."""
     return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
@@ -23,7 +27,9 @@ def contains_pairs(texts: DataFrame, key: str, text: str, names: DataFrame, name
 
     A text that contains a name contains every n-character piece of it. Each name is looked up by
     the one of its pieces that fewest names share, so names with a common prefix do not meet in one
-    join key; candidates are then verified on the whole text.
+    join key; candidates are then verified on the whole text. Up to ``SENT_NAMES`` names are sent to
+    the executors, so the pieces of the corpus meet them where they are read and only matches are
+    shuffled; more names are joined by a shuffle of both sides.
     """
     ns = names.where(F.length(name) >= n).select(F.col(name).alias("_name")).distinct()
     pieces = ns.select("_name", F.explode(char_grams(F.col("_name"), n)).alias("_piece"))
@@ -31,10 +37,12 @@ def contains_pairs(texts: DataFrame, key: str, text: str, names: DataFrame, name
     rare = (pieces.join(shared, "_piece").groupBy("_name")
             .agg(F.min_by("_piece", F.struct("_df", "_piece")).alias("_piece")))
     grams = texts.select(key, F.explode(char_pieces(F.col(text), n)).alias("_piece"))
+    if ns.limit(SENT_NAMES + 1).count() <= SENT_NAMES:
+        rare = F.broadcast(rare)
     cand = grams.join(rare, "_piece").select(key, "_name").distinct()
-    return (cand.join(texts.select(key, F.col(text).alias("_text")).distinct(), key)
+    return (cand.join(texts.select(key, F.col(text).alias("_text")), key)
             .where(F.contains(F.col("_text"), F.col("_name")))
-            .select(key, F.col("_name").alias(name)))
+            .select(key, F.col("_name").alias(name)).distinct())
 
 
 def longest_contained(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, n: int = 3) -> DataFrame:

@@ -49,15 +49,18 @@ def detect_by_head(listings: DataFrame, head: int = HEAD_WINDOW, published: Data
 
 
 def retry_backlog(decided: DataFrame, done: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs in which a confirmed item still has to be reported: from its confirmation until its details arrived.
+    """Confirmed items and the runs in which they still had to be reported, as one interval for each item.
 
-    ``done``: account, item, run of the successful fetch; ``runs``: account, run.
+    ``done``: account, item, run of the successful fetch; ``runs``: account, run. ``first_open`` is the confirming
+    run, ``last_open`` the run of the details or, if they never arrived, the account's last run; every run after the
+    first is a retry. An item that stays open for ever is still one row.
     """
-    open_items = (decided.where("status = 'confirmed'").select("account", "item", "second_run")
-                  .join(done.select("account", "item", F.col("run").alias("done_run")), ["account", "item"], "left"))
-    return (open_items.join(runs, "account")
-            .where((F.col("run") >= F.col("second_run")) & (F.col("done_run").isNull() | (F.col("run") <= F.col("done_run"))))
-            .select("account", "item", "run", (F.col("run") > F.col("second_run")).alias("is_retry")))
+    ends = runs.groupBy("account").agg(F.max("run").alias("_final"))
+    fetched = done.groupBy("account", "item").agg(F.min("run").alias("_done"))
+    d = (decided.where("status = 'confirmed'").select("account", "item", F.col("second_run").alias("first_open"))
+         .join(fetched, ["account", "item"], "left").join(ends, "account"))
+    return d.select("account", "item", "first_open", F.coalesce("_done", "_final").alias("last_open"),
+                    F.col("_done").isNotNull().alias("arrived")).where("last_open >= first_open")
 
 
 def _release_in_order(limit: int):
@@ -78,10 +81,9 @@ def detect_by_quota(listings: DataFrame, totals: DataFrame, chunk: Column, limit
     A queued id is released on its next sighting, at most ``limit`` per account and run in listing
     order. Only accounts in which a run would go over the limit are replayed run by run, and only
     with their queued items; for all others the second sighting is the release.
-    ``totals``: account, run, total (NULL = unknown).
+    ``totals``: account, run, total. An unknown total (NULL) in a run or in the one before allows nothing.
     """
-    known = totals.where(F.col("total").isNotNull())
-    growth = lag_in_chunks(known, ["account"], ["run"], chunk, ["total"]).select(
+    growth = lag_in_chunks(totals, ["account"], ["run"], chunk, ["total"]).select(
         "account", "run", F.greatest(F.coalesce(F.col("total") - F.col("prev_total"), F.lit(0)), F.lit(0)).alias("quota"))
     first = _sightings(listings).join(_first_runs(listings), "account")
     fresh = first.where(F.col("first_run") > F.col("base_run")).join(

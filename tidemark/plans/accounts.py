@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import metrics as M, parsing as Pa, rules as R, text as T
+from tidemark.functions import lexicons, metrics as M, parsing as Pa, rules as R, text as T
 from tidemark.operators import accounts as A, entities as E, joins as J
 from tidemark.operators.ordering import compute_once
 from tidemark.plans.posts import docs, DOCS_SQL, rounded
@@ -128,13 +128,17 @@ def account_roles(t):
     return docs(t).select("doc_id", A.role_of(F.col("title"), F.col("body"), F.col("lang"), "(?i)license", "[|]", "[$]", "idiot|worthless|ment").alias("role"))
 
 
-@query("original_sound", "U27", """SELECT o_orderkey, contains('sound of Customer#000000' || right(CAST(o_orderkey AS VARCHAR), 3), left(c_name, 15) || right(c_name, 3)) AS is_original
+@query("original_sound", "U27", """SELECT o_orderkey, contains('sound of @Customer#000000' || right(CAST(o_orderkey AS VARCHAR), 3), '@' || left(c_name, 15) || right(c_name, 3))
+  OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS is_original
 FROM orders JOIN customer ON o_custkey = c_custkey""")
 def original_sound(t):
-    d = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
-    music = F.concat(F.lit("sound of Customer#000000"), F.expr("right(cast(o_orderkey as string), 3)"))
+    """The title may name the customer or carry the fixed phrase; every fifth order has the customer as the sound's author."""
+    d = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    title = F.concat(F.lit("sound of @Customer#000000"), F.expr("right(cast(o_orderkey as string), 3)"),
+                     F.when(F.col("o_orderkey") % 7 == 0, lexicons.ORIGINAL_SOUND).otherwise(""))
     nick = F.concat(F.expr("left(c_name, 15)"), F.expr("right(c_name, 3)"))
-    return d.select("o_orderkey", A.original_sound(music, F.lit(None).cast("string"), nick).alias("is_original"))
+    author = F.when(F.col("o_orderkey") % 5 == 0, F.concat("o_orderpriority", nick))
+    return d.select("o_orderkey", A.original_sound(title, author, nick).alias("is_original"))
 
 
 @query("normalized_names", "U19", r"""SELECT c_custkey, lower(regexp_replace(regexp_replace(regexp_replace(CAST(c_custkey AS VARCHAR) || c_name || '(' || c_mktsegment || ')', '^\d+(\.\d+)?', ''), '[(][^)]*[)]', '', 'g'), '[^A-Za-z0-9]+', '', 'g')) AS name FROM customer""")
@@ -165,41 +169,41 @@ def clean_seeds(t):
     return t.part.select("p_partkey", Pa.clean_seed(F.col("p_name"), ["plate", "gear", "rod"], ["red plate"], ["old"]).alias("seed"))
 
 
-@query("canonical_names", "G3", """WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT p_name || ' ' || p_brand FROM part WHERE p_size > 25),
+@query("canonical_names", "G3", """WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT p_name || ' ' || p_brand FROM part),
 c AS (SELECT a.name, b.name AS long FROM n a JOIN n b ON a.name <> b.name AND contains(b.name, a.name) QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY length(b.name) DESC, b.name) = 1)
 SELECT n.name, coalesce(c.long, n.name) AS canonical FROM n LEFT JOIN c USING (name)""")
 def canonical_names(t):
     p = t.part
     names = (p.select(F.col("p_name").alias("name")).unionByName(p.select(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("name")))
-             .unionByName(p.where("p_size > 25").select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))).distinct())
+             .unionByName(p.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))).distinct())
     return E.canonical_names(names)
 
 
-@query("longest_key", "J8", """WITH k AS (SELECT DISTINCT p_name AS key FROM part WHERE p_size = 50 UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part WHERE p_size = 49),
+@query("longest_key", "J8", """WITH k AS (SELECT DISTINCT p_name AS key FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part),
 t AS (SELECT p_partkey, p_brand || ' ' || p_name || ' ' || p_type AS text FROM part)
 SELECT p_partkey, key FROM t JOIN k ON contains(text, key) AND length(key) >= 3 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC, key) = 1""")
 def longest_key(t):
     p = t.part
-    keys = p.where("p_size = 50").select(F.col("p_name").alias("key")).unionByName(
-        p.where("p_size = 49").select(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("key"))).distinct()
+    keys = p.select(F.col("p_name").alias("key")).unionByName(
+        p.select(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("key"))).distinct()
     return J.longest_contained(p.select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("text")), "p_partkey", "text", keys, "key")
 
 
-_PROJ = """acc AS (SELECT p_partkey AS account, p_name AS nickname, p_type || ' ' || p_brand AS sig, p_brand || ' ' || split_part(p_name, ' ', 2) AS project FROM part WHERE p_size < 30),
+_PROJ = """acc AS (SELECT p_partkey AS account, p_name AS nickname, p_type || ' ' || p_brand AS sig, p_brand || ' ' || split_part(p_name, ' ', 2) AS project FROM part),
 proj AS (SELECT p_brand || ' ' || split_part(p_name, ' ', 2) AS project, min(p_type) AS country FROM part GROUP BY 1),
-refs AS (SELECT canonical, min(country) OVER (PARTITION BY canonical) AS country, key FROM (SELECT DISTINCT p_name AS canonical, p_type AS country, p_name AS key FROM part WHERE p_size = 50 AND p_retailprice < 920
-  UNION SELECT DISTINCT p_name, p_type, split_part(p_name, ' ', 2) FROM part WHERE p_size = 49 AND p_retailprice < 925) GROUP BY canonical, country, key)"""
+refs AS (SELECT canonical, min(country) OVER (PARTITION BY canonical) AS country, key FROM (SELECT DISTINCT p_name AS canonical, p_type AS country, p_name AS key FROM part
+  UNION SELECT DISTINCT p_name, p_type, split_part(p_name, ' ', 2) FROM part) GROUP BY canonical, country, key)"""
 
 
 def project_frames(t):
     p = t.part
     noun = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
     project = F.concat_ws(" ", "p_brand", noun)
-    acc = p.where("p_size < 30").select(F.col("p_partkey").alias("account"), F.col("p_name").alias("nickname"),
+    acc = p.select(F.col("p_partkey").alias("account"), F.col("p_name").alias("nickname"),
                                         F.concat_ws(" ", "p_type", "p_brand").alias("sig"), project.alias("project"))
     proj = p.groupBy(project.alias("project")).agg(F.min("p_type").alias("country"))
-    raw = (p.where("p_size = 50 and p_retailprice < 920").select(F.col("p_name").alias("canonical"), "p_type", F.col("p_name").alias("key"))
-           .unionByName(p.where("p_size = 49 and p_retailprice < 925").select(F.col("p_name").alias("canonical"), "p_type", noun.alias("key"))))
+    raw = (p.select(F.col("p_name").alias("canonical"), "p_type", F.col("p_name").alias("key"))
+           .unionByName(p.select(F.col("p_name").alias("canonical"), "p_type", noun.alias("key"))))
     country = raw.groupBy("canonical").agg(F.min("p_type").alias("country"))
     return acc, proj, raw.select("canonical", "key").distinct().join(country, "canonical")
 
@@ -249,17 +253,17 @@ def reassigned_accounts(t):
 
 def lead_frame(t):
     """Leads named by a word pair; an account stands behind all parts of one price."""
-    p = t.part.where("p_size > 40")
+    p = t.part
     return p.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.floor(F.col("p_retailprice") * 10).alias("account")) \
         .unionByName(p.select(F.col("p_name").alias("name"), (-F.col("p_partkey")).alias("account")))
 
 
-@query("merge_leads", "G6", """WITH RECURSIVE leads AS (SELECT p_name || ' ' || p_brand AS name, CAST(floor(p_retailprice * 10) AS BIGINT) AS account FROM part WHERE p_size > 40
-  UNION SELECT p_name, -p_partkey FROM part WHERE p_size > 40),
+@query("merge_leads", "G6", """WITH RECURSIVE leads AS (SELECT p_name || ' ' || p_brand AS name, CAST(floor(p_retailprice * 10) AS BIGINT) AS account FROM part
+  UNION SELECT p_name, -p_partkey FROM part),
 n AS (SELECT DISTINCT name FROM leads), e AS (SELECT a.name AS s, b.name AS d FROM n a JOIN n b ON a.name <> b.name AND length(b.name) >= 4 AND contains(a.name, b.name)
   UNION SELECT a.name, b.name FROM leads a JOIN leads b USING (account) WHERE a.name <> b.name),
-u AS (SELECT s, d FROM e UNION SELECT d, s FROM e), reach AS (SELECT name, name AS r FROM n UNION SELECT reach.name, u.d FROM reach JOIN u ON u.s = reach.r),
-c AS (SELECT name, min(r) AS label FROM reach GROUP BY name)
+u AS (SELECT s, d FROM e UNION SELECT d, s FROM e), c(name, label) USING KEY (name) AS (SELECT name, name AS label FROM n
+  UNION (SELECT u.s, min(c.label) FROM c JOIN u ON u.d = c.name JOIN recurring.c AS o ON o.name = u.s WHERE c.label < o.label GROUP BY u.s))
 SELECT name, first_value(name) OVER (PARTITION BY label ORDER BY length(name) DESC, name) AS merged FROM c""")
 def merge_leads(t):
     return E.merge_leads(lead_frame(t).distinct())
@@ -273,13 +277,13 @@ def reference_status(t):
     return E.reference_status(refs, m, t.part.where("p_size = 1").select(F.col("p_name").alias("canonical")))
 
 
-@query("backfill_accounts", "G8", """WITH e AS (SELECT p_name AS canonical, p_partkey AS account FROM part WHERE p_size > 40), f AS (SELECT p_name, p_partkey, p_type, p_brand FROM part WHERE p_size > 35)
+@query("backfill_accounts", "G8", """WITH e AS (SELECT p_name AS canonical, p_partkey AS account FROM part WHERE p_size > 40), f AS (SELECT p_name, p_partkey, p_type, p_brand FROM part)
 SELECT canonical, account, CAST(NULL AS VARCHAR) AS role, false AS is_new FROM e UNION ALL
 SELECT p_name, p_partkey, CASE WHEN regexp_matches(p_name || ' ' || p_type, 'LARGE') THEN 'official' WHEN regexp_matches(p_type, 'SMALL') OR regexp_matches(p_name || ' ' || p_type, 'rod') THEN 'tenant' WHEN regexp_matches(p_name || ' ' || p_type, 'red') THEN 'personal' ELSE 'unknown' END, true
 FROM f WHERE p_partkey NOT IN (SELECT account FROM e)""")
 def backfill_accounts(t):
     e = t.part.where("p_size > 40").select(F.col("p_name").alias("canonical"), F.col("p_partkey").alias("account"))
-    f = t.part.where("p_size > 35").select(F.col("p_name").alias("canonical"), F.col("p_partkey").alias("account"), F.col("p_type").alias("sig"))
+    f = t.part.select(F.col("p_name").alias("canonical"), F.col("p_partkey").alias("account"), F.col("p_type").alias("sig"))
     out = E.backfill(e, f, A.role_of(F.col("canonical"), F.col("sig"), None, "LARGE", "SMALL", "rod", "red"))
     return out.select("canonical", "account", "role", "is_new")
 
@@ -319,12 +323,12 @@ def parsed_rates(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(M.parse_rate(txt), 9).alias("rate"))
 
 
-@query("formatted_counts", "U3", """SELECT o_orderkey, CASE WHEN o_totalprice * 1000 >= 100000000 THEN printf('%.1f', round(o_totalprice * 1000 / 1e7) / 10) || '亿' ELSE printf('%.1f', round(o_totalprice * 1000 / 1e3) / 10) || '万' END AS shown FROM orders WHERE o_totalprice >= 10
+@query("formatted_counts", "U3", """SELECT o_orderkey, CASE WHEN o_totalprice * 1000 >= 100000000 THEN printf('%.1f', round(o_totalprice * 1000 / 1e7) / 10) || '亿' ELSE printf('%.1f', round(o_totalprice * 1000 / 1e3) / 10) || '万' END AS shown FROM orders
 UNION ALL SELECT o_orderkey, regexp_replace(CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS VARCHAR), '(\\d)(\\d{3})$', '\\1,\\2') FROM orders""")
 def formatted_counts(t):
     v, s = F.col("o_totalprice") * 1000, F.floor(F.col("o_totalprice") / 100)
     big = F.when(v >= 1e8, F.round(v / 1e7) * 1e7).otherwise(F.round(v / 1e3) * 1e3)
-    return (t.orders.where("o_totalprice >= 10").select("o_orderkey", M.format_count(big).alias("shown"))
+    return (t.orders.select("o_orderkey", M.format_count(big).alias("shown"))
             .unionByName(t.orders.select("o_orderkey", M.format_count(s).alias("shown"))))
 
 

@@ -49,15 +49,16 @@ def keyword_lists(t):
     return units(t).select("unit_id", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("shared_themes", "D5", f"""WITH {UNITS_SQL}, p AS (SELECT source, max(doc_id) AS b, min(doc_id) AS a FROM documents GROUP BY source)
-SELECT p.source, array_to_string(list_sort(list_intersect(x.themes, y.themes)), '|') AS shared FROM p JOIN units x ON x.unit_id = a JOIN units y ON y.unit_id = b""")
+@query("shared_themes", "D5", f"""WITH {UNITS_SQL}, p AS (SELECT source, min(doc_id) AS a FROM documents GROUP BY source)
+SELECT y.unit_id, array_to_string(list_sort(list_intersect(x.themes, y.themes)), '|') AS shared FROM units y JOIN p ON p.source = y.sources[1] JOIN units x ON x.unit_id = a""")
 def shared_themes(t):
     u = units(t).select("unit_id", "themes", F.col("sources")[0].alias("source"))
-    d = u.groupBy("source").agg(F.min_by("themes", "unit_id").alias("x"), F.max_by("themes", "unit_id").alias("y"))
-    return d.select("source", F.array_join(F.array_sort(F.array_intersect("x", "y")), "|").alias("shared"))
+    heads = u.groupBy("source").agg(F.min_by("themes", "unit_id").alias("head"))
+    return u.join(heads, "source").select("unit_id", F.array_join(F.array_sort(F.array_intersect("head", "themes")), "|").alias("shared"))
 
 
-_PAIRS = f"""{UNITS_SQL}, pr AS (SELECT a.unit_id AS a, b.unit_id AS b, a.type, list_intersect(a.themes, b.themes) AS st, list_intersect(a.keywords, b.keywords) AS sk,
+# pairs need selective keys: a theme and a source count together with the beginning of the title
+_PAIRS = f"""{UNITS_SQL.replace("units AS (SELECT unit_id, type, title, themes, sources,", "units AS (SELECT unit_id, type, title, [x || '/' || left(title, 12) FOR x IN themes] AS themes, [sources[1] || '/' || left(title, 12)] AS sources,")}, pr AS (SELECT a.unit_id AS a, b.unit_id AS b, a.type, list_intersect(a.themes, b.themes) AS st, list_intersect(a.keywords, b.keywords) AS sk,
   list_intersect(a.sources, b.sources) AS ss, CASE WHEN len(a.chars) = 0 OR len(b.chars) = 0 THEN 0.0 ELSE len(list_intersect(a.chars, b.chars)) / greatest(len(a.chars), len(b.chars)) END AS sim
   FROM units a JOIN units b ON a.type = b.type AND a.unit_id < b.unit_id),
 cand AS (SELECT a, b, type, array_to_string(list_sort(st), ' | ') AS shared_themes, array_to_string(list_sort(sk), ' | ') AS shared_keywords, array_to_string(ss, ' | ') AS shared_sources,
@@ -66,9 +67,14 @@ cand AS (SELECT a, b, type, array_to_string(list_sort(st), ' | ') AS shared_them
   WHERE (len(st) >= 1 AND len(sk) >= 1) OR (len(ss) >= 1 AND (len(st) >= 1 OR len(sk) >= 1)) OR (sim >= 0.35 AND (len(st) >= 1 OR len(sk) >= 1 OR len(ss) >= 1)))"""
 
 
+def pair_units(t):
+    start = F.substring("title", 1, 12)
+    return units(t).withColumns({"themes": F.transform("themes", lambda x: F.concat_ws("/", x, start)), "sources": F.transform("sources", lambda x: F.concat_ws("/", x, start))})
+
+
 @query("duplicate_candidates", "G1 J11", f"WITH {_PAIRS} SELECT * FROM cand")
 def duplicate_candidates(t):
-    return rounded(Co.duplicate_candidates(units(t), labels=("near", "synonym")), "similarity")
+    return rounded(Co.duplicate_candidates(pair_units(t), labels=("near", "synonym")), "similarity")
 
 
 @query("manual_pairs", "J12", f"""WITH {_PAIRS}, man AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT conv_id AS a, conv_id + count(*) AS b FROM conversations GROUP BY conv_id)),
@@ -78,7 +84,7 @@ al AS (SELECT a, b, score, candidate_type FROM cand UNION ALL SELECT a, b, score
 SELECT candidate_type, CASE WHEN doc_id IS NULL THEN 'pending' ELSE 'kept' END AS status, CAST(count(*) AS BIGINT) AS n, CAST(max(score) AS BIGINT) AS top_score
 FROM al LEFT JOIN labels ON doc_id = a AND doc_id + 20 = b GROUP BY 1, 2""")
 def manual_pairs(t):
-    c = write_through(Co.duplicate_candidates(units(t), labels=("near", "synonym")), "candidates")
+    c = write_through(Co.duplicate_candidates(pair_units(t), labels=("near", "synonym")), "candidates")
     manual = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("conv_id").alias("a"), (F.col("conv_id") + F.col("n")).alias("b"))
     reviews = t.labels.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 20).alias("b"), F.lit("kept").alias("status"), F.lit("reviewed").alias("note"))
@@ -138,7 +144,7 @@ def source_routes(t):
 
 
 _CH = f"""c0 AS (SELECT doc_id, list_concat([p FOR p IN [regexp_replace(replace(q, chr(10), ' '), '^\\s+|\\s+$', '', 'g') FOR q IN regexp_split_to_array(text, '\\n{{2,}}')] IF length(p) >= 16 AND length({strip_sql('p')}) >= 60 AND NOT regexp_matches(p, '^Of ')],
-  [l FOR l IN [regexp_replace(k, '^\\s+|\\s+$', '', 'g') FOR k IN string_split(text, chr(10))] IF l <> '' AND NOT regexp_matches(l, '^Of ') AND length({strip_sql('l')}) >= 30]) AS raw FROM documents WHERE lang = 'de'),
+  [l FOR l IN [regexp_replace(k, '^\\s+|\\s+$', '', 'g') FOR k IN string_split(text, chr(10))] IF l <> '' AND NOT regexp_matches(l, '^Of ') AND length({strip_sql('l')}) >= 30]) AS raw FROM documents),
 c1 AS (SELECT doc_id, [{strip_sql('r')} FOR r IN raw] AS cs FROM c0), c2 AS (SELECT doc_id, [cs[i] FOR i IN range(1, len(cs) + 1) IF list_position(cs, cs[i]) = i][1:12] AS cs FROM c1),
 c3 AS (SELECT doc_id, CAST(generate_subscripts(cs, 1) AS BIGINT) AS chunk_no, unnest(cs) AS chunk FROM c2),
 c4 AS (SELECT *, [s FOR s IN [regexp_replace(q, '^\\s+|\\s+$', '', 'g') FOR q IN regexp_split_to_array({strip_sql('chunk')}, '[。！？!?.]')] IF s <> ''] AS ss FROM c3), c5 AS (SELECT doc_id, chunk_no, chunk, coalesce(ss[1], {strip_sql('chunk')}) AS ti FROM c4)"""
@@ -146,7 +152,7 @@ c4 AS (SELECT *, [s FOR s IN [regexp_replace(q, '^\\s+|\\s+$', '', 'g') FOR q IN
 
 @query("chunked_collections", "G11", f"""WITH {_CH} SELECT doc_id, chunk_no, chunk, CASE WHEN length(ti) <= 28 THEN ti ELSE regexp_replace(substring(ti, 1, 28), '^\\s+|\\s+$', '', 'g') || '……' END AS chunk_title FROM c5""")
 def chunked_collections(t):
-    return Co.chunk_collection(t.documents.where("lang = 'de'"), "doc_id", "text", skip="^Of ")
+    return Co.chunk_collection(t.documents, "doc_id", "text", skip="^Of ")
 
 
 PRIMARY, QUERY = ["license", "under", "the"], ["public", "than", "und", "theand"]
@@ -190,7 +196,23 @@ def recall(t):
     return Co.rank_for_queries(q, token_units(t), FIELDS, 5)
 
 
-@query("assembled_units", "G14")
+def _assembled_sql():
+    """One main unit per type in order, its bonus added to the later types, then the best others."""
+    steps, points, bonus = [], "0", {"en": (18, 6), "de": (10, 5), "fr": (20, 6)}
+    for k in ("en", "de", "fr", "es"):
+        used = [b for b in ("en", "de", "fr") if b != k and ("en", "de", "fr", "es").index(b) < ("en", "de", "fr", "es").index(k)]
+        steps.append(f"""p_{k} AS (SELECT x.*, x.score{points[1:]} AS main_score FROM asm x {' '.join(f'LEFT JOIN m_{b} ON true' for b in used)} WHERE x.type = '{k}'),
+m_{k} AS (SELECT unit_id AS id_{k}, themes AS th_{k} FROM p_{k} ORDER BY main_score DESC, title, unit_id LIMIT 1),
+f_{k} AS (SELECT unit_id, type, title, score, unit_id = id_{k} AS is_main, CASE WHEN unit_id = id_{k} THEN main_score ELSE score + CASE WHEN len(list_intersect(themes, th_{k})) > 0 THEN 0 ELSE 3 END END AS final_score FROM p_{k}, m_{k})""")
+        if k in bonus:
+            points += f" + CASE WHEN list_contains([x.unit_id + 20, x.unit_id - 20], id_{k}) THEN {bonus[k][0]} ELSE 0 END + CASE WHEN len(list_intersect(x.themes, th_{k})) > 0 THEN {bonus[k][1]} ELSE 0 END"
+    return f"""WITH {UNITS_SQL}, tk AS (SELECT unit_id, type, title, themes, {_TOK.format(c='title')} AS title_t, {_TOK.format(c="array_to_string(themes, ' ')")} AS themes_t, {_TOK.format(c='text')} AS summary_t FROM units),
+asm AS (SELECT * FROM (SELECT unit_id, type, title, themes, CAST({_score_sql()} AS BIGINT) AS score FROM tk) WHERE score > 0), {', '.join(steps)},
+al AS ({' UNION ALL '.join(f'SELECT * FROM f_{k}' for k in ('en', 'de', 'fr', 'es'))})
+SELECT unit_id, type, score, is_main, CAST(final_score AS BIGINT) AS final_score, CAST(row_number() OVER (PARTITION BY type ORDER BY is_main DESC, final_score DESC, title, unit_id) AS BIGINT) AS rank FROM al QUALIFY rank <= 3"""
+
+
+@query("assembled_units", "G14", _assembled_sql())
 def assembled_units(t):
     scored = Co.rank_units(token_units(t), FIELDS, PRIMARY, QUERY)
     scored = scored.withColumn("targets", F.array(F.col("unit_id") + 20, F.col("unit_id") - 20))
@@ -198,7 +220,12 @@ def assembled_units(t):
     return Co.assemble(scored, ["en", "de", "fr", "es"], 3, bonus).select("unit_id", "type", "score", "is_main", "final_score", "rank")
 
 
-@query("rewritten_links", "G17")
+# ids of these tables are plain words, so an occurrence is a whole run of word characters with no bracket or bar before it
+@query("rewritten_links", "G17", r"""WITH k AS (SELECT id FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS id FROM conversations) GROUP BY id HAVING count(*) >= 2),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+m AS (SELECT r, CAST(count(DISTINCT id) AS INT) AS n FROM (SELECT r, unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS id FROM d) JOIN k USING (id) GROUP BY r),
+o AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(regexp_replace(text, '[\[\]|][A-Za-z0-9_]+', ' ', 'g'), '[A-Za-z0-9_]+')) AS id FROM d) JOIN k USING (id) GROUP BY r)
+SELECT doc_id, coalesce(m.n, 0) AS n_links, length(text) + 4 * coalesce(o.n, 0) AS n_chars FROM d LEFT JOIN m USING (r) LEFT JOIN o USING (r)""")
 def rewritten_links(t):
     words = t.conversations.select(F.explode(T.words(F.col("text"), r"[A-Z][a-z]{6,}")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     links = words.where("n >= 2").select("id", F.concat(F.lit("[["), "id", F.lit("]]")).alias("link"))
@@ -207,9 +234,9 @@ def rewritten_links(t):
 
 
 @query("session_timeline", "G18", r"""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS step, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS newest,
-  regexp_extract(text, '^([^.]*)', 1) AS entry FROM conversations""")
+  text AS entry FROM conversations""")
 def session_timeline(t):
-    d = Co.session_timeline(t.conversations.select("conv_id", "turn", "text"), "conv_id", "turn", F.regexp_extract("text", r"^([^.]*)", 1))
+    d = Co.session_timeline(t.conversations.select("conv_id", "turn", "text"), "conv_id", "turn", F.col("text"))
     return d.select("conv_id", "turn", "step", "newest", "entry")
 
 
@@ -365,9 +392,9 @@ def flat_conversations(t):
 
 
 @query("transcripts", "S10", """SELECT conv_id AS session_id, CAST(count(*) AS BIGINT) AS n_segments, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(len([s FOR s IN regexp_split_to_array(text, '[。！？!?\\n]+') IF regexp_replace(s, '^\\s+|\\s+$', '', 'g') <> ''])) AS BIGINT) AS n_sentences
-FROM conversations WHERE role <> 'system' GROUP BY conv_id""")
+FROM conversations GROUP BY conv_id""")
 def transcripts(t):
-    seg = t.conversations.where("role <> 'system'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("segment_idx"), "text")
+    seg = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("segment_idx"), "text")
     return Cv.transcript_stats(Cv.read_transcripts(seg))
 
 

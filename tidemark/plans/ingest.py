@@ -62,21 +62,20 @@ def comment_sets(t):
 
 @query("metric_csv_ingest", "S3", """SELECT 'id:' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS note_key, l_returnflag || ', "' || l_linestatus || '"' AS title,
   CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS imp, round(l_discount, 9) AS cover_ctr, CAST(l_quantity AS BIGINT) AS like_cnt, CAST(NULL AS BIGINT) AS danmaku FROM lineitem
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) = 1 AND count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1""")
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity > 25 DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1""")
 def metric_csv_ingest(t):
-    li = t.lineitem
-    from pyspark.sql import Window as W
-
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    once = li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("_c")).where("_c = 1")
-    rows = li.join(once, ["l_orderkey", "l_linenumber"]).select(
-        key.alias("_id"), F.concat("l_returnflag", F.lit(', "'), "l_linestatus", F.lit('"')).alias("标题"),
-        F.when(F.col("l_returnflag") == "R", "-").otherwise(F.format_number(F.floor("l_extendedprice"), 0)).alias("曝光"),
-        F.concat(F.round(F.col("l_discount") * 100).cast("int"), F.lit("%")).alias("封面点击率"), F.col("l_quantity").cast("int").cast("string").alias("点赞"))
-    path = scratch_path(t.spark, "metrics")
-    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    d = files.ingest_metrics(files.read_metric_csv(t.spark, path), F.lit("2024-01-01"))
-    return rounded(d.select("note_key", "title", "imp", "cover_ctr", "like_cnt", "danmaku"), "cover_ctr")
+    """Two exports, one after the other: a note's later row replaces the earlier, and the second file the first."""
+    key, stored = F.concat_ws("-", "l_orderkey", "l_linenumber"), None
+    for part in (t.lineitem.where("l_quantity <= 25"), t.lineitem.where("l_quantity > 25")):
+        rows = part.select(
+            key.alias("_id"), F.concat("l_returnflag", F.lit(', "'), "l_linestatus", F.lit('"')).alias("标题"),
+            F.when(F.col("l_returnflag") == "R", "-").otherwise(F.format_number(F.floor("l_extendedprice"), 0)).alias("曝光"),
+            F.concat(F.round(F.col("l_discount") * 100).cast("int"), F.lit("%")).alias("封面点击率"), F.col("l_quantity").cast("int").cast("string").alias("点赞"),
+            "l_partkey", "l_suppkey", "l_extendedprice")
+        path = scratch_path(t.spark, "metrics")
+        rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        stored = files.ingest_metrics(files.read_metric_csv(t.spark, path), F.lit("2024-01-01"), stored, order=["l_partkey", "l_suppkey", "l_extendedprice"])
+    return rounded(stored.select("note_key", "title", "imp", "cover_ctr", "like_cnt", "danmaku"), "cover_ctr")
 
 
 @query("metric_payloads", "S12", """SELECT CAST(event_id AS VARCHAR) AS note_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS post_time, CAST(floor(value) AS BIGINT) AS imp,
@@ -89,10 +88,16 @@ def metric_payloads(t):
     return rounded(d.select("note_id", "post_time", "imp", "cover_ctr_pct", "like_cnt", "view_seconds"), "cover_ctr_pct")
 
 
-@query("source_files", "S7")
+@query("source_files", "S7", """SELECT CASE WHEN source IN ('src0', 'src1') THEN 'facts' ELSE 'other' END AS source_type, CASE WHEN source IN ('src0', 'src1') THEN 'FACT' ELSE 'MISC' END AS code,
+  source AS folder, CAST(count(*) AS BIGINT) AS n_rows FROM documents GROUP BY source""")
 def source_files(t):
-    d = files.source_scan(t.spark, t.path, ["parquet"], [("(lineitem|orders)", "facts", "FACT"), ("(documents|pages)", "texts", "TEXT")], ("other", "MISC"))
-    return d.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "source_type", "code")
+    """Every document's source is a folder of files; the listing is joined with the rows of the files."""
+    path = scratch_path(t.spark, "sources")
+    t.documents.select("source", "doc_id", "n_chars").write.partitionBy("source").parquet(path)
+    tail = lambda c: F.regexp_extract(c, r"(/source=.+)$", 1).alias("_file")
+    listed = files.source_scan(t.spark, path, ["parquet"], [("/source=src[01]/", "facts", "FACT")], ("other", "MISC")).select("source_type", "code", tail("path"))
+    rows = t.spark.read.parquet(path).groupBy(tail("_metadata.file_path"), F.col("source").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    return listed.join(rows, "_file").groupBy("source_type", "code", "folder").agg(F.sum("n").alias("n_rows"))
 
 
 @query("exported_sheets", "S8", """SELECT 'countries' AS sheet, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS n FROM customer UNION ALL SELECT 'segments', CAST(count(DISTINCT c_mktsegment) AS BIGINT) FROM customer

@@ -120,11 +120,11 @@ def tier_distribution(t):
     return rounded(Mo.tier_distribution(tiers(t), "tier"), "daily_load")
 
 
-@query("cumulative_daily", "W9", """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' AND value > 150 GROUP BY 1),
+@query("cumulative_daily", "W9", """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1),
 c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), greatest((SELECT max(day) FROM d), DATE '2024-02-05'), INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT day, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(sum(coalesce(n, 0)) OVER (ORDER BY day) AS BIGINT) AS total FROM c LEFT JOIN d USING (day)""")
 def cumulative_daily(t):
-    return Mo.cumulative_daily(t.events.where("event_type = 'signup' and value > 150"), "ts", F.to_date(F.lit("2024-02-05")))
+    return Mo.cumulative_daily(t.events, "ts", F.to_date(F.lit("2024-02-05")))
 
 
 @query("rank_blocks", "T1", """(SELECT l_orderkey * 10 + l_linenumber AS row_id, l_extendedprice AS value, 'top' AS block, 'l_extendedprice' AS metric FROM lineitem ORDER BY value DESC, row_id LIMIT 15)
@@ -148,9 +148,9 @@ def seeded_sample(t):
 
 
 @query("batch_number", "T5", """SELECT page_id, CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS row_no,
-  CAST((row_number() OVER (ORDER BY page_id) - 1) // 10 + 1 AS BIGINT) AS batch FROM pages WHERE NOT contains(url, 'spam')""")
+  CAST((row_number() OVER (ORDER BY page_id) - 1) // 10 + 1 AS BIGINT) AS batch FROM pages""")
 def batch_number(t):
-    return Mo.batch_numbers(t.pages.where(~F.contains("url", F.lit("spam"))).select("page_id"), "page_id", 10)
+    return Mo.batch_numbers(t.pages.select("page_id"), "page_id", 10)
 
 
 @query("budgeted_queue", "T6", """SELECT event_id, CAST(ts AS DATE) AS run, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS BIGINT) AS queue_pos,
@@ -161,9 +161,9 @@ def budgeted_queue(t):
 
 
 @query("change_feed", "S9", """SELECT user_id, CAST(ts AS DATE) AS run, CAST(count(*) AS BIGINT) AS n_items,
-  string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS item_ids, max(value) AS best FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""")
+  string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS item_ids, max(value) AS best FROM events GROUP BY 1, 2""")
 def change_feed(t):
-    e = t.events.where("event_type = 'purchase'").select("user_id", F.to_date("ts").alias("run"), "event_id", "value")
+    e = t.events.select("user_id", F.to_date("ts").alias("run"), "event_id", "value")
     f = Mo.change_feed(e, ["user_id", "run"], "event_id", ["value"])
     return f.select("user_id", "run", "n_items", F.array_join(F.transform("items", lambda x: x["event_id"].cast("string")), ",").alias("item_ids"),
                     F.array_max(F.transform("items", lambda x: x["value"])).alias("best"))
@@ -235,11 +235,11 @@ def previous_day_inherit(t):
     return J.inherit_labels(t.customer.select("c_custkey", "c_name"), prev, "c_name", ["grade"])
 
 
-@query("recent_fallback", "J10", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS density FROM events WHERE event_type = 'error' GROUP BY 1, 2)
+@query("recent_fallback", "J10", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS density FROM events GROUP BY 1, 2)
 SELECT a.user_id, a.day, a.density, b.day AS base_day, b.density AS base_density FROM d a LEFT JOIN d b ON a.user_id = b.user_id AND b.day BETWEEN a.day - 5 AND a.day - 1
 QUALIFY row_number() OVER (PARTITION BY a.user_id, a.day ORDER BY b.day DESC) = 1""")
 def recent_fallback(t):
-    d = t.events.where("event_type = 'error'").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("density"))
+    d = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("density"))
     return J.recent_before(d, d, ["user_id"], "day", "density", 5)
 
 

@@ -20,17 +20,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    @property
-    def documents(self) -> DataFrame:
-        """Texts, spread over the cores when the files have fewer splits than that.
-
-        Text work is bound by the processor, and one small file is one split. A table with enough
-        splits is read as it is.
-        """
-        df = self.spark.read.parquet(f"{self.path}/documents.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, "doc_id")
-
 
 def query(name: str, survey: str, sql: str | None = None):
     """Register ``fn(t: Tables) -> DataFrame`` under ``name``; ``survey`` lists inventory ids."""

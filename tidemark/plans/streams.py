@@ -121,9 +121,11 @@ def window_keywords(t):
     return d.select("session_id", wall("start"), wall("end"), "word", "n", "rank")
 
 
-@query("live_topic_windows", "R5 W11", f"""WITH {_WORDS} SELECT * FROM top WHERE "end" <= (SELECT max(ts) FROM msg WHERE msg_type = 'chat') - INTERVAL 10 MINUTE""")
+@query("live_topic_windows", "R5 W11", f"WITH {_WORDS} SELECT * FROM top")
 def live_topic_windows(t):
-    d = finished(t, _chat_words(event_stream(t)), "topics", lambda b: Me.window_keywords(b, "session_id"))
+    """All windows: those the watermark closed, and at the end of the stream those that were still open."""
+    counts = finished(t, _chat_words(event_stream(t)), "topics", mode="update")
+    d = Me.window_keywords(Me.latest_counts(counts, ["session_id", "start", "end", "word"]), "session_id")
     return d.select("session_id", wall("start"), wall("end"), "word", "n", "rank")
 
 
@@ -187,8 +189,9 @@ def stale_new_items(t):
 
 
 @query("retry_backlog", "R8", f"""WITH {_LIST}, done AS (SELECT account, item, run AS done_run FROM r WHERE k = 3)
-SELECT hd.account, hd.item, rr.run, rr.run > second_run AS is_retry FROM hd LEFT JOIN done ON done.account = hd.account AND done.item = hd.item JOIN (SELECT DISTINCT account, run FROM l) rr ON rr.account = hd.account
-WHERE status = 'confirmed' AND rr.run >= second_run AND (done_run IS NULL OR rr.run <= done_run)""")
+SELECT hd.account, hd.item, second_run AS first_open, max(rr.run) AS last_open, done_run IS NOT NULL AS arrived
+FROM hd LEFT JOIN done ON done.account = hd.account AND done.item = hd.item JOIN (SELECT DISTINCT account, run FROM l) rr ON rr.account = hd.account
+WHERE status = 'confirmed' AND rr.run >= second_run AND (done_run IS NULL OR rr.run <= done_run) GROUP BY hd.account, hd.item, second_run, done_run""")
 def retry_backlog(t):
     ls = listings(t)
     from pyspark.sql import Window as W
@@ -198,7 +201,21 @@ def retry_backlog(t):
     return Ni.retry_backlog(Ni.detect_by_head(ls, 2), third, ls.select("account", "run").distinct())
 
 
-@query("new_items_by_quota", "R6")
+# one release in a run: the runs of an account are replayed with the list of the items released so far
+_QUOTA = f"""WITH RECURSIVE {_LIST}, rn AS (SELECT account, run, row_number() OVER (PARTITION BY account ORDER BY run) AS k FROM (SELECT DISTINCT account, run FROM l)),
+g AS (SELECT account, run, count(*) AS quota FROM l GROUP BY ALL),
+fr AS (SELECT f.*, base_run, row_number() OVER (PARTITION BY f.account, first_run ORDER BY first_pos, f.item) <= CASE WHEN first_run > base_run THEN quota ELSE 0 END AS ok
+  FROM f JOIN b USING (account) JOIN g ON g.account = f.account AND g.run = first_run),
+c AS (SELECT l.account, k, l.run, l.item, pos FROM l JOIN fr ON fr.account = l.account AND fr.item = l.item AND ok AND l.run > first_run JOIN rn ON rn.account = l.account AND rn.run = l.run),
+z AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS gone, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS DATE) AS run FROM l
+  UNION ALL SELECT z.account, rn.k, CASE WHEN min(c.item) IS NULL THEN z.gone ELSE list_append(z.gone, arg_min(c.item, (c.pos, c.item))) END, arg_min(c.item, (c.pos, c.item)), rn.run
+  FROM z JOIN rn ON rn.account = z.account AND rn.k = z.k + 1 LEFT JOIN c ON c.account = z.account AND c.k = rn.k AND NOT list_contains(z.gone, c.item) GROUP BY z.account, rn.k, z.gone, rn.run)
+SELECT fr.account, fr.item, first_run, first_pos, z.run AS released_run,
+  CASE WHEN z.run IS NOT NULL THEN 'released' WHEN first_run = base_run THEN 'baseline' WHEN ok THEN 'queued' ELSE 'known' END AS status
+FROM fr LEFT JOIN z ON z.account = fr.account AND z.item = fr.item"""
+
+
+@query("new_items_by_quota", "R6", _QUOTA)
 def new_items_by_quota(t):
     ls = listings(t)
     from pyspark.sql import Window as W

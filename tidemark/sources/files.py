@@ -78,8 +78,11 @@ def read_metric_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_metrics(raw: DataFrame, day: Column, stored: DataFrame | None = None, headers: Mapping[str, str] = METRIC_HEADERS,
-                   digest: str = "sha1") -> DataFrame:
-    """Localized metric rows to typed snapshot rows; the same (date, note) replaces the stored one."""
+                   digest: str = "sha1", order: Sequence[str] = ()) -> DataFrame:
+    """Localized metric rows to typed snapshot rows; the same (date, note) replaces the stored one.
+
+    Of rows with one key the last by the columns ``order`` stays, then by content, so arrival decides nothing.
+    """
     d = raw.withColumnsRenamed({k: v for k, v in headers.items() if k in raw.columns})
     for c in headers.values():
         if c not in d.columns:
@@ -90,7 +93,9 @@ def ingest_metrics(raw: DataFrame, day: Column, stored: DataFrame | None = None,
         day.alias("snapshot_date"), M.note_key(F.col("note_id"), F.col("title"), F.col("post_time"), digest).alias("note_key"),
         text("note_id").alias("note_id"), text("title").alias("title"), text("post_time").alias("post_time"),
         M.parse_rate(F.col("cover_ctr")).alias("cover_ctr"), text("view_time_avg").alias("view_time_avg"),
-        *[M.parse_int(F.col(c)).alias(c) for c in numbers]).dropDuplicates(["snapshot_date", "note_key"])
+        *[M.parse_int(F.col(c)).alias(c) for c in numbers], F.struct(*[F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(order)], F.lit(0).alias("none")).alias("_order"))
+    columns = [c for c in rows.columns if c not in ("snapshot_date", "note_key", "_order")]
+    rows = rows.groupBy("snapshot_date", "note_key").agg(F.max(F.struct("_order", *columns)).alias("r")).select("snapshot_date", "note_key", *[f"r.{c}" for c in columns])
     return rows if stored is None else replace_rows(stored, rows, ["snapshot_date", "note_key"])
 
 

@@ -82,7 +82,11 @@ def session_lifecycle(df: DataFrame, session: str = "session_id", ts: str = "tim
 
 def window_words(df: DataFrame, session: str, ts: str, text: str, pattern: str, minutes: int = 5, delay: str = "10 minutes",
                  stop_words: Sequence[str] = ()) -> DataFrame:
-    """Word counts per session and tumbling window; on a stream closed windows only."""
+    """Word counts per session and tumbling window.
+
+    On a stream the append mode gives closed windows only; the update mode gives every change, so that a
+    reader of ``latest_counts`` also has the windows that were open when the stream ended.
+    """
     d = df.withWatermark(ts, delay) if df.isStreaming else df
     words = d.select(session, ts, F.explode(T.words(F.col(text), pattern)).alias("word"))
     if stop_words:
@@ -91,6 +95,11 @@ def window_words(df: DataFrame, session: str, ts: str, text: str, pattern: str,
     return counts.select(session, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "word", "n")
 
 
+def latest_counts(batches: DataFrame, keys: Sequence[str], n: str = "n", batch: str = "batch_id") -> DataFrame:
+    """The newest count of each key from the batches of an update stream."""
+    return batches.groupBy(*keys).agg(F.max_by(n, batch).alias(n))
+
+
 def window_keywords(counts: DataFrame, session: str, k: int = 5) -> DataFrame:
     """Top words of every window; also the shape of a micro-batch, which holds whole windows."""
     return top_per_group(counts, [session, "start", "end"], [F.desc("n"), F.asc("word")], k, "rank")

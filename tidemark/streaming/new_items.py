@@ -25,60 +25,74 @@ class NewItemProcessor(StatefulProcessor):
         self.mode, self.head, self.limit = mode, head, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.account = handle.getValueState("account", "last_run bigint, total bigint")
-        self.items = handle.getMapState("items", "item string", "seen int, notified int")
+        self.account = handle.getValueState("account", "base_run bigint, last_run bigint, total bigint, before bigint, queued int, ready int")
+        self.items = handle.getMapState("items", "item string", "seen int, notified int, run bigint")
+        self.open = handle.getMapState("open", "item string", "run bigint")  # confirmed items whose details have not arrived
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows), ignore_index=True).sort_values(["run", "pos", "item"])
         out: list[tuple] = []
         for run, part in data.groupby("run", sort=True):
-            last = self.account.get()
             for item in part.loc[part["kind"] == "done", "item"]:
                 if self.items.containsKey((item,)):
-                    seen, _ = self.items.getValue((item,))
-                    self.items.updateValue((item,), (int(seen), 1))
+                    seen, _, last = self.items.getValue((item,))
+                    self.items.updateValue((item,), (int(seen), 1, last))
+                    if self.open.containsKey((item,)):
+                        self.open.removeKey((item,))
                     out.append((item, run, "reported"))
             listing = part[part["kind"] == "listing"].drop_duplicates("item")
-            if listing.empty or (last is not None and int(run) <= int(last[0])):
-                continue  # a replayed run changes nothing
-            total = listing["total"].iloc[0]
-            total = None if pd.isna(total) else int(total)
-            out += self._listing(int(run), listing, total, last)
-            self.account.update((int(run), total if total is not None else (last[1] if last is not None else None)))
+            if not listing.empty:
+                out += self._listing(int(run), listing)
         if out:
             yield pd.DataFrame([(key[0], i, int(r), e) for i, r, e in out], columns=["account", "item", "run", "event"])
 
-    def _listing(self, run: int, listing: pd.DataFrame, total, last) -> list[tuple]:
-        out, ready, queued = [], 0, 0
-        quota = 0
-        if last is not None and last[1] is not None and total is not None:
-            quota = max(0, total - int(last[1]))
-        listed = set(listing["item"])
-        if self.mode == "head" and last is not None:
-            for (item,), (seen, notified) in list(self.items.iterator()):
-                if int(seen) >= 2 and not int(notified) and item not in listed:
+    def _listing(self, run: int, listing: pd.DataFrame) -> list[tuple]:
+        """Events of a run's listing or of a further part of it. Items already seen in the run, and older runs, are replays."""
+        known = [int(t) for t in listing["total"] if not pd.isna(t)]
+        total, state = (known[0] if known else None), self.account.get()
+        if state is None:
+            base, last, before, queued, ready = run, run, None, 0, 0
+        else:
+            base, last, stored, before, queued, ready = state
+            if run < last:
+                return []
+            if run == last:
+                total = stored if stored is not None else total
+            else:
+                before, queued, ready = stored, 0, 0
+        out = []
+        # an unknown total, now or in the run before, allows nothing
+        quota = max(0, total - int(before)) if total is not None and before is not None else 0
+        if self.mode == "head" and state is not None and run > last:
+            listed = set(listing["item"])
+            for (item,), _ in list(self.open.iterator()):
+                if item not in listed:
+                    seen, notified, _ = self.items.getValue((item,))
+                    self.items.updateValue((item,), (int(seen), int(notified), run))
                     out.append((item, run, "ready"))
         for item, pos in zip(listing["item"], listing["pos"]):
             if self.items.containsKey((item,)):
-                seen, notified = (int(x) for x in self.items.getValue((item,)))
-                if notified:
+                seen, notified, at = (int(x) for x in self.items.getValue((item,)))
+                if notified or at == run:
                     continue
                 free = self.mode == "head" or ready < self.limit
                 if free:
                     ready += 1
                     out.append((item, run, "ready"))
-                done = 1 if self.mode == "quota" and free else 0
-                self.items.updateValue((item,), (seen + 1, done))
-            elif last is None:
-                self.items.updateValue((item,), (2, 1))
+                    if self.mode == "head":
+                        self.open.updateValue((item,), (run,))
+                self.items.updateValue((item,), (seen + 1, 1 if self.mode == "quota" and free else 0, run))
+            elif run == base:
+                self.items.updateValue((item,), (2, 1, run))
                 out.append((item, run, "baseline"))
             elif (self.mode == "head" and pos < self.head) or (self.mode == "quota" and queued < quota):
                 queued += 1
-                self.items.updateValue((item,), (1, 0))
+                self.items.updateValue((item,), (1, 0, run))
                 out.append((item, run, "queued"))
             else:
-                self.items.updateValue((item,), (2, 1))
+                self.items.updateValue((item,), (2, 1, run))
                 out.append((item, run, "deep_position" if self.mode == "head" else "known"))
+        self.account.update((base, run, total, before, queued, ready))
         return out
 
     def close(self) -> None:
