@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.llm.words import slices
+from tidemark.session import shuffle_width
 
 #: Elements without content, elements whose content is not markup, and elements that are never article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,47 +174,71 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def _ranges(pages: DataFrame, key: Column) -> DataFrame:
+    """``pages`` with ``part`` (a range of keys) and ``beside``: whether the row only stands beside that range.
+
+    Cuts are drawn by a hash of the keys and only balance the ranges. The first and last page of every range are copied
+    to the ranges before and after it, so neighbours meet whatever the cuts are. Cuts and range ends are a few rows
+    for each shuffle partition, never more.
+    """
+    width = shuffle_width(pages.sparkSession)
+    drawn = F.xxhash64(key)
+    sample = pages.groupBy(F.pmod(drawn, F.lit(8 * width)).alias("s")).agg(F.min(F.struct(drawn.alias("h"), key.alias("k"))).alias("m"))
+    cuts = sample.agg(F.filter(F.array_sort(F.collect_list("m.k")), lambda k, i: i % 8 == 7).alias("c")).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(width.bit_length()))])
+    d = pages.withColumn("key", key).withColumn("_cuts", cuts)
+    d = d.withColumn("part", F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(F.col("_cuts"), at + step - 1) < F.col("key"), step).otherwise(0))).drop("_cuts")
+    order = W.partitionBy(F.lit(0)).orderBy("part")  # one row for each range
+    ends = d.groupBy("part").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).select(
+        "part", "_low", "_high", F.lag("part").over(order).alias("_before"), F.lead("part").over(order).alias("_after"))
+    place = lambda part, beside, when=None: F.when(F.lit(True) if when is None else when & part.isNotNull(), F.struct(part.alias("part"), F.lit(beside).alias("beside")))
+    places = F.array_compact(F.array(place(F.col("part"), False), place(F.col("_before"), True, F.col("key") == F.col("_low")), place(F.col("_after"), True, F.col("key") == F.col("_high"))))
+    return d.join(F.broadcast(ends), "part").select(*[c for c in d.columns if c != "part"], F.inline(places))
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every page.
 
     Pages are dealt by ranges of (host, path), so a host with many pages is many partitions; in each they are read
     in order and a page is aligned with the one before or after it on its host, whichever path is nearer
-    (ties: the one before). A page alone on its host in its range has no neighbour. Three pages are held at a time.
-    NULL and empty html has an empty text; a page without a host has no neighbour; repeated rows are pages.
+    (ties: the one before). A page without lines and a copy of the page itself are no neighbours. Three pages are held at
+    a time. NULL and empty html has an empty text; a page without a host has no neighbour; repeated rows are pages.
     """
     src = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), host_of(F.col(f"`{url}`")).alias("host"),
                        path_of(F.col(f"`{url}`")).alias("path"), F.col(f"`{html}`").alias("html"))
-    ids = src.select("page_id", "url").schema
+    dealt = _ranges(src, F.struct("host", "path", "page_id")).select("page_id", "url", "host", "path", "part", "beside", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: deque = deque(maxlen=3)  # the page before, the page, the page after
+        kinds = None
 
         def made(before, page, after):
-            near = [x for x in (before, page, after) if x is not None and x is not page and page[2] and x[2] == page[2]]
+            """The result of a page, unless it only stands beside the range."""
+            if page[5]:
+                return []
+            near = [x for x in (before, after) if x is not None and page[2] and x[2] == page[2] and x[4] == page[4] and x[6] and x[6] != page[6]]
             best = max(near, key=lambda x: _alike(x[3], page[3]), default=None)
-            text, shared = main_text(page[4], best and best[4])
-            return page[0], page[1], text, len(text), shared
+            text, shared = main_text(page[6], best and best[6])
+            return [(page[0], page[1], text, len(text), shared)]
 
         def batch_of(rows):
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["page_id", "url", "text", "n_chars", "n_shared"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "url", "text", "n_chars", "n_shared"])
 
-        kinds = None
         for batch in batches:
             kinds = (batch.column(0).type, pa.string(), pa.string(), pa.int64(), pa.int64())
-            keys = [batch.column(i).to_pylist() for i in range(4)]
+            keys = [batch.column(i).to_pylist() for i in range(6)]
             rows, done = [], 0
-            for part in slices(batch.column(4)):
-                for k, data in zip(range(done, done + len(part)), part):
+            for part in slices(batch.column(6)):
+                for k, data in enumerate(part, done):
                     window.append((*(c[k] for c in keys), lines((data or b"").decode("utf-8", "replace"))))
                     if len(window) > 1:
-                        rows.append(made(window[0] if len(window) == 3 else None, window[-2], window[-1]))
+                        rows += made(window[0] if len(window) == 3 else None, window[-2], window[-1])
                 done += len(part)
             if rows:
                 yield batch_of(rows)
-        if window:
-            yield batch_of([made(window[-2] if len(window) > 1 else None, window[-1], None)])
+        if window and (rows := made(window[-2] if len(window) > 1 else None, window[-1], None)):
+            yield batch_of(rows)
 
-    kind = ids["page_id"].dataType.simpleString()
-    return (src.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    kind = src.schema["page_id"].dataType.simpleString()
+    return (dealt.repartition("part").sortWithinPartitions("part", "host", "path", "page_id", "beside")
             .mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_shared long"))
