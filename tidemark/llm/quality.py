@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.words import fresh
+from tidemark.operators.ordering import compute_once
 
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
@@ -119,5 +120,7 @@ def ablations(ledgers: DataFrame, policies: Sequence[Policy], bits: str = "faile
 
 def kept_documents(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
     """The documents that fail no rule of the policy, with their own columns."""
-    into = fresh(docs, "_ledger")
-    return ledger(docs, into=into).where(~fails(F.col(f"{into}.failed"), policy)).drop(into)
+    into, out = fresh(docs, "_ledger"), fresh(docs, "_rejected")
+    # a filter on the ledger itself would be pushed below its steps, with all their expressions in it
+    judged = compute_once(ledger(docs, into=into), **{out: fails(F.col(f"{into}.failed"), policy)})
+    return judged.where(~F.col(out)).drop(into, out)
