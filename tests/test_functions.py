@@ -105,3 +105,31 @@ def test_anchored_service_defaults(spark):
     rule = lambda c: Mo.anchored_service(c, L.STRONG_SERVICE, L.EXCLUDED_SERVICE, L.REGION_ANCHORS, L.CROSS_BORDER_SERVICE, L.CROSS_BORDER_CONTEXT)
     texts = ["非洲清关专线", "杭州产业园招商", "国际海运订舱", "非洲酒店招商"]
     assert column(spark, texts, rule) == [True, False, True, False]
+
+
+def test_account_scores_follow_the_rules(spark):
+    """Hand-made accounts: verification text, name patterns and the place of a listed name in a nickname."""
+    from tidemark.operators import accounts as A
+
+    rows = [("某某日报", "", "", 90), ("海边小店", "", "某某广播电视台", 90), ("海边小店", "", "某某市政府办公室", 85), ("海边小店", "", "某某有限公司", 0),
+            ("观察者网", "", "", 80), ("观察者网国际", "", "", 75), ("小小观察者网", "", "", 70), ("关于观察者网的很多事", "", "", 0), ("路人", "我们是主流媒体", "", 85)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, nick string, sig string, verify string, want long")
+    got = A.account_features(df, "nick", "sig", "verify", A.default_signals(whitelist=["观察者网"])).orderBy("id").collect()
+    assert [r.media_score for r in got] == [r[3] for r in rows]
+    assert got[3].enterprise_score == 80 and got[2].enterprise_score == 0
+
+
+def test_default_words_of_the_page_are_no_comments(spark):
+    from tidemark.functions import text as T
+
+    df = spark.createDataFrame([("播放中",), ("点击加载更多 x",), ("这个港口很大",)], "t string")
+    got = [r.r for r in df.select(T.is_ui_residue(F.col("t"), T.CommentRules()).alias("r")).collect()]
+    assert got[0] and not got[2]
+
+
+def test_original_sound_has_three_rules(spark):
+    from tidemark.operators import accounts as A
+
+    rows = [("@小王的歌", "", "小王", True), ("小王的歌", "", "小王", False), ("", "歌手小王", "小王", True), ("某人创作的原声", "", "小王", True), ("", "谁", "", True), (None, None, "小王", False)]
+    df = spark.createDataFrame(rows, "t string, a string, n string, w boolean")
+    assert all(r.g == r.w for r in df.select("w", A.original_sound(F.col("t"), F.col("a"), F.col("n")).alias("g")).collect())

@@ -9,6 +9,26 @@ ORIGINAL_SOUND = "创作的原声"
 # --- fixed values: comment cleaning -----------------------------------------------------------
 COMMENT_NOISE = ["京公网安备", "备案号", "立即领取", "快乐大本营", "大学生免费用",
                  "我的喜欢", "充钻石", "进入全屏", "播放中", "退出全屏"]
+#: words of the page's own controls: a comment that contains one is none
+CONTROL_WORDS = [
+    "许可证", "备案", "举报", "电话", "邮箱", "京ICP", "©", "版权", "算法", "饭圈", "广播", "网络文化", "互联网", "药品", "器械",
+    "宗教", "投诉", "客服", "登录", "注册", "搜索", "首页", "电子营业执照", "广告投放", "友情链接", "站点地图", "加入我们",
+    "联系我们", "用户服务协议", "隐私政策", "账号找回", "抖音电商", "观看历史", "连播", "我的作品", "点击加载更多", "放映厅",
+    "阅读全文", "短视频", "直播", "下载抖音", "创作者学习中心", "创作者中心", "作者赞过", "听抖音", "AI抖音", "读屏",
+    "在线状态", "隐私设置", "热门：", "大家都在搜", "作品数据", "稍后再看", "网页全屏", "进入全屏", "高清", "清屏", "倍速",
+    "画质", "弹幕", "音效", "字幕", "暂停", "静音", "下载抖音精选", "人服证字", "网络谣言", "曝光台",
+    "壁纸", "重播", "投稿", "充钻石", "客户端", "截图", "小窗模式", "抢首评", "暂无评论", "暂无会话", "全部评论", "我的收藏", "我的喜欢",
+    "我的预约", "我的订单", "认证徽章", "视频管理", "推荐视频", "店铺账号", "章节要点", "见面会内容", "AI音乐创作", "拖动视频",
+    "留下你的精彩评论", "大学生免费用", "3个月会员", "免费领取会员", "会员免费领", "开通会员", "会员权益", "立即开通", "首月优惠",
+    "短剧", "通知", "消息", "狗杂", "30天内", "7天内", "90天内", "我的", "朋友", "用户", "下一章", "结语", "引言",
+]
+#: labels of the player: a comment that is one of them is none
+PLAYER_WORDS = [
+    "播放中", "暂停", "全屏", "倍速", "画质", "弹幕", "发送", "评论", "点赞", "收藏", "分享", "转发", "推荐", "关注",
+    "展开", "收起", "精选", "作者", "回复", "下载", "自动播放", "静音", "音量", "竖屏", "横屏", "拖动", "进度",
+    "上滑", "下滑", "实时", "连麦", "加号", "拍摄", "道具", "音乐", "原声", "合拍", "剪映", "话题", "定位", "经验",
+    "3s 后播放", "3s 后播放下一个视频", "3s 后循环播放当前视频",
+]
 RELATIVE_TIME_ROW = r"^\d+\s?(小时|分钟|天)前.*$"
 RELATIVE_TIME_PLACE = r"^\d+(小时|分钟|天|周|月|年)前(·\S+)?$"
 REPLY_FOLD = r"^(展开|收起)\d*条?回复"
@@ -157,6 +177,13 @@ CROSS_BORDER_CONTEXT = ["跨境", "外贸", "出口", "国际", "出海", "海
 REGION_ANCHORS = ["非洲", "中非", "北非", "西非", "东非", "南非", "撒哈拉"]
 
 # --- fixed values: account signals (word list, weight) --------------------------------------------
+MEDIA_NAMES = [
+    (r"^[一-鿿·]{1,6}(新闻|日报|晚报|时报|商报|快报|周报|早报|导报|都市报|发布|发布厅|卫视|电视台|广播|融媒|融媒体|在线|头条|快讯|资讯|要闻|新闻网)$", 90),
+    (r"^(外交部|商务部|国务院|海关总署|教育部|国防部)", 90), (r"办公厅$", 85), (r"^[一-鿿]{2,4}网$", 60),
+]
+MEDIA_VERIFIED = r"广播电视台|报社|报业|日报|新闻|传媒集团|融媒体|卫视|电视台|官方账号|官方抖音"
+ENTERPRISE_VERIFIED = r"公司|集团|企业|实业|工厂|银行|保险|证券|基金"
+AUTHORITY_VERIFIED = r"政府|局|委|部|办"
 MEDIA_SIGNATURES = [
     (r"(官方账号|官方抖音|官方号|官方频道)", 80), (r"(新闻门户|主流媒体|新闻媒体|新闻网站|新闻客户端|新闻中心)", 85),
     (r"(报业集团|传媒集团|广播电视台|新媒体集团|融媒体中心)", 85), (r"(党委机关报|党报|官方新闻|权威新闻)", 80),
@@ -171,15 +198,22 @@ DOMAIN_WORDS = {
     "finance": [(["财经", "经济", "金融", "股票", "基金", "理财", "汇率", "美元", "美金", "人民币汇率"], 15),
                 (["投资", "赚钱", "变现", "营收", "月入", "年入", "盈利", "销售额", "订单"], 8)],
     "trade": [(["外贸", "进出口", "出口", "进口", "跨境", "出海", "贸易"], 15),
-              (["清关", "报关", "货代", "批发", "采购", "供应", "货源", "选品", "物流", "货运", "海运", "空运", "供应链", "仓储"], 8)],
+              (["清关", "报关", "货代", "批发", "采购", "供应", "货源", "选品", "物流", "货运", "海运", "空运", "供应链", "仓储"], 8),
+              (["公司", "集团", "企业", "实业", "工厂", "厂家", "车间", "生产", "加工", "制造", "产业园", "工业园", "开发区", "品牌", "平台", "产品"], 5),
+              (["老板", "创始人", "合伙人", "总经理", "董事长", "ceo", "总裁", "创业者"], 5),
+              (["经营", "运营", "主营", "从事", "深耕", "专注", "销售", "出售", "招商", "加盟", "合作"], 5)],
     "travel": [(["旅行", "旅游", "旅拍", "背包客", "穷游", "环球旅行", "自驾游"], 15), (["自驾", "环球", "游世界", "探险", "户外", "在路上"], 8)],
-    "military": [(["军事", "军武", "军旅", "武器", "战争", "时政", "地缘政治"], 15), (["局势", "国防", "军队", "部队", "战场", "作战", "特种兵"], 8)],
-    "knowledge": [(["科普", "百科", "冷知识", "奇闻", "揭秘", "探索未知"], 15), (["科学", "科技", "人文", "纪录片", "课堂", "讲解", "教学", "学习"], 8)],
-    "lifestyle": [(["美妆", "穿搭", "时尚", "美食", "做饭", "宠物", "健身", "减肥", "瑜伽", "母婴", "育儿", "星座", "情感"], 10)],
+    "military": [(["军事", "军武", "军旅", "武器", "战争", "时政", "地缘政治"], 15),
+                 (["局势", "国防", "军队", "部队", "战场", "作战", "特种兵", "国际关系", "国际局势", "国际新闻", "地缘"], 8)],
+    "knowledge": [(["科普", "百科", "冷知识", "奇闻", "揭秘", "探索未知"], 15),
+                  (["科学", "科技", "地理知识", "历史知识", "人文", "纪录片", "课堂", "讲解", "教学", "学习", "知识分享"], 8)],
+    "lifestyle": [(["美妆", "穿搭", "时尚", "美食", "做饭", "宠物", "健身", "减肥", "瑜伽", "母婴", "育儿", "星座", "情感", "恋爱", "种草", "好物", "vlog"], 10)],
 }
 NICKNAME_WORDS = {
-    "entertainment": (["搞笑", "段子", "沙雕", "娱乐", "追剧", "剧场", "短剧", "电影", "影视", "综艺", "剪辑", "混剪", "解说"], 25, 10),
-    "sports": (["体育", "足球", "篮球", "nba", "cba", "英超", "西甲", "中超", "电竞", "游戏", "世界杯", "欧洲杯"], 25, 10),
+    "entertainment": (["搞笑", "段子", "沙雕", "娱乐", "追剧", "剧场", "短剧", "电影", "影视", "影业", "综艺", "剪辑", "混剪", "解说", "剧情", "好剧", "新剧"], 25, 10),
+    "sports": (["体育", "足球", "篮球", "nba", "cba", "英超", "西甲", "中超", "电竞", "游戏", "王者荣耀", "和平精英", "英雄联盟", "lpl", "kpl", "解说员",
+                "世界杯", "欧洲杯"], 25, 10),
 }
-CREATOR_WORDS = ["商务合作", "商务", "星图", "合作私信", "合作微信", "合作联系", "合作洽谈", "接广", "接单", "品牌合作", "品牌推广", "mcn", "达人", "博主"]
+CREATOR_WORDS = ["商务合作", "商务", "星图", "合作私信", "合作请私", "合作v", "合作微信", "合作wx", "合作vx", "合作联系", "合作洽谈", "接广", "接单", "接合作",
+                 "品牌合作", "品牌推广", "招募", "招聘", "招人", "剪辑", "文案", "写手", "mcn", "达人", "博主"]
 REGION_CONTEXT = ["撒哈拉", "中非", "东非", "西非", "北非", "驻华大使馆"]

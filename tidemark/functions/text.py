@@ -24,8 +24,8 @@ class CommentRules:
 
     script: str = r"[一-鿿]"
     noise: tuple = tuple(lexicons.COMMENT_NOISE)
-    control_words: tuple = ()
-    exact_words: tuple = ()
+    control_words: tuple = tuple(lexicons.CONTROL_WORDS)
+    exact_words: tuple = tuple(lexicons.PLAYER_WORDS)
     prefixes: tuple = ("发布时间", "下载", "大家都在搜")
     relative_time_row: str = lexicons.RELATIVE_TIME_ROW
     relative_time: str = lexicons.RELATIVE_TIME_PLACE

@@ -45,6 +45,18 @@ class Signals:
     creator: Sequence[str] = ()
 
 
+def whitelist_score(nick: Column, names: Sequence[str]) -> Column:
+    """80 for a listed name, 75 for one with at most four more characters after it, 70 for one after at most three."""
+    # fixed values: the weights, the lengths and the characters that do not count after a name
+    score = F.lit(0)
+    for w in names:
+        at = F.instr(nick, w)
+        after = F.btrim(F.substr(nick, F.lit(len(w) + 1)), F.lit("-_·. "))
+        score = F.greatest(score, F.when((at == 1) & (F.length(after) <= 4), 75).when(
+            at.between(1, 4) & (at + len(w) - 1 == F.length(nick)), 70).otherwise(0))
+    return F.when(nick.isin(*names), 80).otherwise(score).cast("long")
+
+
 def account_features(df: DataFrame, nick: str, sig: str, verify: str | None, s: Signals,
                      official: Column | None = None) -> DataFrame:
     """Identity, domain, region and creator scores of an account, all as sums of weighted hits.
@@ -76,8 +88,7 @@ def account_features(df: DataFrame, nick: str, sig: str, verify: str | None, s:
     if official is not None:
         out["media_score"] = out["media_score"] + F.when(official, F.lit(100).cast("long")).otherwise(F.lit(0).cast("long"))
     if s.whitelist:
-        exact = F.col("_n").isin(*[w.lower() for w in s.whitelist])
-        out["media_score"] = F.greatest(out["media_score"], F.when(exact, F.lit(80).cast("long")).otherwise(F.lit(0).cast("long")))
+        out["media_score"] = F.greatest(out["media_score"], whitelist_score(F.col("_n"), [w.lower() for w in s.whitelist]))
     out["personal_score"] = out["personal_score"] + F.when(creators >= 2, 30).when(creators >= 1, 15).otherwise(0).cast("long")
     for name, lists in s.domains.items():
         out[f"{name}_score"] = R.weigh(F.col("_t"), lists)
@@ -204,7 +215,11 @@ def tier_medians(df: DataFrame, tier: str, metrics: Sequence[str]) -> DataFrame:
 
 def default_signals(region_direct: Sequence[str] = ("非洲",), whitelist: Sequence[str] = ()) -> Signals:
     """Signals from the default word lists; place names and the media list are the caller's."""
-    lists = {"media": [("text", *r) for r in lexicons.MEDIA_SIGNATURES], "enterprise": [("nick", *r) for r in lexicons.ENTERPRISE_NAMES],
+    authority = rf"(?s)^(?!.*(?:{lexicons.ENTERPRISE_VERIFIED})).*(?:{lexicons.AUTHORITY_VERIFIED})"
+    company = rf"(?s)^(?!.*(?:{lexicons.MEDIA_VERIFIED})).*(?:{lexicons.ENTERPRISE_VERIFIED})"
+    lists = {"media": [("verify", lexicons.MEDIA_VERIFIED, 90), ("verify", authority, 85), *[("nick", *r) for r in lexicons.MEDIA_NAMES],
+                       *[("text", *r) for r in lexicons.MEDIA_SIGNATURES]],
+             "enterprise": [("verify", company, 80), *[("nick", *r) for r in lexicons.ENTERPRISE_NAMES]],
              "personal": [("text", *r) for r in lexicons.PERSONAL_WORDS]}
     return Signals(
         identity={k: [(where, p) for where, p, _ in v] for k, v in lists.items()},
