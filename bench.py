@@ -15,6 +15,7 @@ HEADLINE = [
     "spearman_matrix", "trend_report", "auto_tier", "recent_baseline", "coalesce_upsert", "latest_and_previous",
     "account_features", "reconcile_entities", "duplicate_candidates", "recall", "plain_text", "html_articles",
     "normalized_messages", "window_keywords", "anchored_windows", "new_items_by_head", "ab_segments",
+    "merge_leads", "manual_pairs", "new_items_by_quota", "canonical_names",
 ]
 
 
@@ -25,7 +26,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("tidemark-bench", f"local[{cpus}]", spark__ui__enabled="false",
-                          spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g")
+                          spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
+                          spark__tidemark__documentPartitions=cpus)  # the bench tables have one row group
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = all_queries()
     spark.read.parquet(f"{folder}/nation.parquet").groupBy("n_regionkey").count().collect()  # start the JVM paths

@@ -20,6 +20,15 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """Texts as the reader splits them, unless the session asks for ``spark.tidemark.documentPartitions``.
+
+        A table of one small row group is one split; ask for more partitions there, never for a large table.
+        """
+        df, asked = self.spark.read.parquet(f"{self.path}/documents.parquet"), self.spark.conf.get("spark.tidemark.documentPartitions", None)
+        return df.repartition(int(asked), "doc_id") if asked else df
+
 
 def query(name: str, survey: str, sql: str | None = None):
     """Register ``fn(t: Tables) -> DataFrame`` under ``name``; ``survey`` lists inventory ids."""
