@@ -3,6 +3,11 @@
 The values below are fixed values: results on the platform's own data depend on them.
 """
 
+# --- fixed values: question, number and exclamation in a title
+QUESTION_MARKS = r"[?？]|吗|么|怎么|如何|什么|为什么|哪|谁|几"
+NUMBER_MARKS = r"\d+"
+EXCLAMATION_MARKS = r"[!！]"
+
 # --- fixed value: what the title of an original sound says
 ORIGINAL_SOUND = "创作的原声"
 

@@ -17,20 +17,23 @@ def _dumps(t):
     author = F.struct(F.col("user_id").cast("string").alias("uid"), F.concat(F.lit("user "), F.col("user_id")).alias("nickname"),
                       F.when(F.col("value") > 5, (F.col("user_id") * 500).cast("long")).alias("follower_count"),
                       F.when(F.col("user_id") < 10, "city tv").alias("enterprise_verify_reason"))
-    raw = F.struct(F.col("event_id").cast("string").alias("aweme_id"), F.concat(F.lit("post "), "event_type").alias("desc"),
-                   F.unix_seconds(F.col("ts").cast("timestamp")).alias("create_time"), author.alias("author"),
+    lost = F.col("event_id") % 50  # 0: a broken line, 1: no raw data, 2: no time
+    music = F.struct(F.concat(F.lit("sound @user "), F.col("user_id") % 90).alias("title"), F.lit("band").alias("author"))
+    raw = F.struct(F.col("event_id").cast("string").alias("aweme_id"), F.concat(F.lit("post "), "event_type", F.when(F.col("user_id") % 2 == 0, " 7!").otherwise(" ?")).alias("desc"),
+                   F.when(lost != 2, F.unix_seconds(F.col("ts").cast("timestamp"))).alias("create_time"), author.alias("author"), music.alias("music"),
                    F.struct((F.col("value") * 1000).cast("long").alias("duration"), F.lit(720).alias("width"), F.when(F.col("value") > 50, 1280).alias("height")).alias("video"),
                    F.array(F.struct(F.col("event_type").alias("hashtag_name"))).alias("text_extra"))
     k = F.get_json_object("props", "$.k").cast("long")
-    video = F.struct(F.struct(F.floor("value").alias("digg_count"), k.alias("comment_count")).alias("statistics"), raw.alias("_raw"))
+    video = F.struct(F.struct(F.floor("value").alias("digg_count"), k.alias("comment_count")).alias("statistics"), F.when(lost != 1, raw).alias("_raw"))
     path = scratch_path(t.spark, "dumps")
-    line = F.to_json(F.struct(F.array(video).alias("videos")))
+    line = F.when(lost == 0, '{"videos": [{').otherwise(F.to_json(F.struct(F.array(video).alias("videos"))))
     e.select(F.concat(F.lit("c"), F.col("user_id") % 7).alias("country"), line.alias("value")).write.partitionBy("country").text(path)
     return files.read_video_dumps(t.spark, path, r"country=([^/]+)/()", multi_line=False)
 
 
-@query("video_dump_counters", "S1 F10", """SELECT CAST(count(*) AS BIGINT) AS total, CAST(0 AS BIGINT) AS n_bad_file, CAST(0 AS BIGINT) AS n_no_raw, CAST(count(*) FILTER (WHERE user_id < 10) AS BIGINT) AS n_news,
-  CAST(count(*) FILTER (WHERE user_id >= 10 AND value <= 5) AS BIGINT) AS n_no_follower, CAST(0 AS BIGINT) AS n_no_time, CAST(count(*) FILTER (WHERE user_id >= 10 AND value > 5) AS BIGINT) AS n_ok FROM events""")
+@query("video_dump_counters", "S1 F10", """WITH c AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'bad_file' WHEN event_id % 50 = 1 THEN 'no_raw' WHEN user_id < 10 THEN 'news' WHEN value <= 5 THEN 'no_follower' WHEN event_id % 50 = 2 THEN 'no_time' ELSE 'ok' END AS k FROM events)
+SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE k = 'bad_file') AS BIGINT) AS n_bad_file, CAST(count(*) FILTER (WHERE k = 'no_raw') AS BIGINT) AS n_no_raw, CAST(count(*) FILTER (WHERE k = 'news') AS BIGINT) AS n_news,
+  CAST(count(*) FILTER (WHERE k = 'no_follower') AS BIGINT) AS n_no_follower, CAST(count(*) FILTER (WHERE k = 'no_time') AS BIGINT) AS n_no_time, CAST(count(*) FILTER (WHERE k = 'ok') AS BIGINT) AS n_ok FROM c""")
 def video_dump_counters(t):
     d = _dumps(t)
     a = "_raw.author."
@@ -40,14 +43,17 @@ def video_dump_counters(t):
 @query("video_features", "S1", """SELECT CAST(event_id AS VARCHAR) AS aweme_id, 'c' || CAST(user_id % 7 AS VARCHAR) AS country, CAST(floor(value) AS BIGINT) AS likes, CAST(json_extract_string(props, '$.k') AS BIGINT) AS comments,
   round(CAST(json_extract_string(props, '$.k') AS BIGINT) / greatest(floor(value), 1), 9) AS comment_like_ratio, CASE WHEN value > 50 THEN true END AS is_portrait,
   CASE WHEN user_id * 500 < 1000 THEN '微小(<1K)' WHEN user_id * 500 < 10000 THEN '小(1K-1W)' WHEN user_id * 500 < 100000 THEN '中(1W-10W)' ELSE '大(10W-100W)' END AS follower_tier,
-  dayname(ts + INTERVAL 8 HOUR) AS day_of_week, CAST(hour(ts + INTERVAL 8 HOUR) AS BIGINT) AS hour, event_type AS tags FROM events WHERE user_id >= 10 AND value > 5""")
+  dayname(ts + INTERVAL 8 HOUR) AS day_of_week, CAST(hour(ts + INTERVAL 8 HOUR) AS BIGINT) AS hour, event_type AS tags, contains('sound @user ' || (user_id % 90), '@user ' || user_id) AS is_original_sound,
+  user_id % 2 = 1 AS has_question, user_id % 2 = 0 AS has_number, user_id % 2 = 0 AS has_exclamation, array_to_string([x FOR x IN [CASE WHEN user_id % 2 = 0 THEN 'even' END, CASE WHEN event_type = 'view' THEN 'seen' END] IF x IS NOT NULL], ',') AS hooks
+  FROM events WHERE user_id >= 10 AND value > 5 AND event_id % 50 NOT IN (0, 1, 2)""")
 def video_features(t):
     d = _dumps(t)
     a = "_raw.author."
     checks = files.video_checks(Mo.is_news(F.col(a + "nickname"), F.col(a + "enterprise_verify_reason"), F.col(a + "custom_verify"), ["TV"]))
-    f = files.video_features(Mo.valid_rows(d, checks))
+    f = files.video_features(Mo.valid_rows(d, checks), hooks=[("even", "7!"), ("seen", "post view")])
     return rounded(f.select("aweme_id", "country", "likes", "comments", "comment_like_ratio", "is_portrait", "follower_tier", "day_of_week",
-                            F.col("hour").cast("long").alias("hour"), F.array_join("tags", ",").alias("tags")), "comment_like_ratio")
+                            F.col("hour").cast("long").alias("hour"), F.array_join("tags", ",").alias("tags"), "is_original_sound", "has_question", "has_number",
+                            "has_exclamation", F.array_join("hooks", ",").alias("hooks")), "comment_like_ratio")
 
 
 @query("comment_sets", "S2", """WITH l AS (SELECT source AS dataset, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT dataset, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS text FROM l)

@@ -114,6 +114,14 @@ def staggered_schedule(t):
     return d.select("o_custkey", "tier", "next_check")
 
 
+@query("due_accounts", "W8", f"""WITH {_TIER}, k AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY observed_days, o_custkey) - 1 AS k FROM tier),
+n AS (SELECT o_custkey, tier, {AS_OF_SQL} + CAST(k % CASE tier WHEN 'S' THEN 1 WHEN 'A' THEN 3 ELSE 7 END AS INT) + 1 AS next_check FROM k)
+SELECT * FROM n WHERE next_check <= {AS_OF_SQL} + 2""")
+def due_accounts(t):
+    d = Mo.staggered_schedule(tiers(t), "tier", F.col("observed_days"), "o_custkey", as_of())
+    return Mo.due_accounts(d, F.date_add(as_of(), 2)).select("o_custkey", "tier", "next_check")
+
+
 @query("tier_distribution", "A26", f"""WITH {_TIER} SELECT tier, CAST(count(*) AS BIGINT) AS n,
   round(count(*) * CASE tier WHEN 'S' THEN 1.0 WHEN 'A' THEN 1.0 / 3 ELSE 1.0 / 7 END, 9) AS daily_load FROM tier GROUP BY tier""")
 def tier_distribution(t):

@@ -81,13 +81,14 @@ def stream_dedup(t):
     return d.groupBy("msg_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("msg_id").alias("n_ids"))
 
 
-_LIFE = """SELECT user_id AS session_id, min(ts) AS started_at, max(ts) AS last_at, CAST(count(*) AS BIGINT) AS n_messages, max(ts) FILTER (WHERE event_type = 'error' AND value > 100) AS ended_at,
-  CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND value > 100) > 0 THEN 'ended' ELSE 'live' END AS status FROM events GROUP BY user_id"""
+_LIFE = """SELECT user_id AS session_id, min(ts) AS started_at, max(ts) AS last_at, CAST(count(*) AS BIGINT) AS n_messages, max(ts) FILTER (WHERE event_type = 'error' AND k % 4 = 3) AS ended_at,
+  CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND k % 4 = 3) > 0 THEN 'ended' ELSE 'live' END AS status FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) GROUP BY user_id"""
 
 
 def _sessions(events):
-    d = events.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("timestamp"), "event_type", "value")
-    return Me.session_lifecycle(d, ended=(F.col("event_type") == "error") & (F.col("value") > 100))
+    """A room ends with its control message; the status is the decoded action."""
+    d = decoded(events).select("session_id", F.col("ts").alias("timestamp"), Me.ends_room(F.col("method"), F.col("action")).alias("ends"))
+    return Me.session_lifecycle(d, ended=F.col("ends"))
 
 
 def _shown(d):

@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.functions import metrics as M, rules as R
+from tidemark.functions import lexicons, metrics as M, rules as R
+from tidemark.operators.accounts import original_sound
 from tidemark.operators.joins import replace_rows
 
 AUTHOR = "struct<uid:string,nickname:string,follower_count:bigint,enterprise_verify_reason:string,custom_verify:string,signature:string>"
@@ -39,8 +40,8 @@ def video_checks(news: Column) -> dict[str, Column]:
             "no_time": F.coalesce(F.col("_raw.create_time"), F.lit(0)) <= 0}
 
 
-def video_features(videos: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
-    """Flat feature rows of valid raw videos."""
+def video_features(videos: DataFrame, zone: str = "Asia/Shanghai", hooks: R.Rules = tuple(lexicons.TITLE_HOOKS)) -> DataFrame:
+    """Flat feature rows of valid raw videos: counts, ratios, tiers, times, title hooks and flags, sound flag."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     ts = F.from_utc_timestamp(F.timestamp_seconds("_raw.create_time"), zone)
     w, h = F.col("_raw.video.width"), F.col("_raw.video.height")
@@ -51,7 +52,14 @@ def video_features(videos: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
         F.col("_raw.author.uid").alias("author_uid"), F.col("_raw.author.nickname").alias("nickname"),
         F.col("_raw.author.follower_count").alias("follower_count"), (F.col("_raw.video.duration") / 1000.0).alias("duration_sec"),
         F.when((w > 0) & (h > 0), h > w).alias("is_portrait"),
-        F.array_compact(F.transform("_raw.text_extra", lambda x: x["hashtag_name"])).alias("tags"), ts.alias("published"))
+        F.coalesce(F.array_compact(F.transform("_raw.text_extra", lambda x: x["hashtag_name"])), F.array().cast("array<string>")).alias("tags"),
+        ts.alias("published"), F.col("_raw.music.title").alias("music_title"), F.col("_raw.music.author").alias("music_author"))
+    flat = flat.withColumns({
+        "hooks": R.all_labels(F.coalesce("desc", F.lit("")), hooks), "tag_count": F.size("tags"),
+        "is_original_sound": original_sound(F.col("music_title"), F.col("music_author"), F.col("nickname")),
+        **{name: R.matches(F.coalesce("desc", F.lit("")), p) for name, p in (
+            ("has_question", lexicons.QUESTION_MARKS), ("has_number", lexicons.NUMBER_MARKS), ("has_exclamation", lexicons.EXCLAMATION_MARKS))},
+    }).drop("music_title", "music_author")
     flat = M.engagement_ratios(flat, "likes", "comments", "shares", "collects", "follower_count")
     return flat.withColumns({
         "follower_tier": R.bucket_label(F.col("follower_count"), *M.FOLLOWER_TIERS), "period": M.period_label(F.col("published")),

@@ -16,7 +16,8 @@ from tidemark.operators.ordering import top_per_group
 #: fixed values: message kinds by method of the decoded event
 ROUTES = {"WebcastChatMessage": "chat", "WebcastGiftMessage": "gift", "WebcastMemberMessage": "member",
           "WebcastLikeMessage": "like", "WebcastSocialMessage": "subscribe"}
-END_STATUS = 3
+#: fixed values: the method of control messages and the status that ends a room
+CONTROL_METHOD, END_STATUS = "WebcastControlMessage", 3
 
 
 def normalize_messages(df: DataFrame, routes: Mapping[str, str] = ROUTES) -> DataFrame:
@@ -67,6 +68,11 @@ def write_batches(df: DataFrame, path: str, checkpoint: str, shape: Callable[[Da
     return w.start()
 
 
+def ends_room(method: Column, status: Column) -> Column:
+    """Whether a decoded message is the control message that ends its room."""
+    return F.coalesce((method == CONTROL_METHOD) & (status == END_STATUS), F.lit(False))
+
+
 def session_lifecycle(df: DataFrame, session: str = "session_id", ts: str = "timestamp", ended: Column | None = None) -> DataFrame:
     """Start, last message, number of messages and status of every session.
 
