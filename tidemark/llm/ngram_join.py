@@ -1,8 +1,7 @@
 """Jaccard links between n-gram sets, by a join on prefix trees.
 
 Sets are ordered by one global order, rare n-grams first. Sets that can reach the threshold share an
-n-gram among their first few, so these prefixes alone are shuffled; they give groups of sets that may be
-linked. Every group is joined by a prefix tree of its whole sets: walking the tree, a set shares the
+n-gram among their first few, so n-grams of these prefixes alone tell groups of sets that may be linked. Every group is joined by a prefix tree of its whole sets: walking the tree, a set shares the
 overlap counted so far between all sets below, and leaves subtrees that the remaining lengths rule out.
 """
 
@@ -131,10 +130,15 @@ def global_order(counts: DataFrame) -> np.ndarray:
 
 
 def ordered(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A set in the global order."""
+    """A set by (count of its bucket, hash)."""
     return grams[np.argsort(table[grams >> np.uint64(64 - ORDER_BITS)], kind="stable")]
 
 
+def hot_count(table: np.ndarray) -> int:
+    """Bucket count from which an n-gram counts as common without being looked at: far above the mean bucket."""
+    return 64 + 2 * int(table.mean(dtype=np.float64))
+
+
 def identity(grams: np.ndarray) -> tuple[int, int]:
     """128-bit name of a set."""
     a, b = np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), "<i8").tolist()
@@ -142,23 +146,78 @@ def identity(grams: np.ndarray) -> tuple[int, int]:
 
 
 def prefixes(docs: DataFrame, text: str, table, percent: int) -> DataFrame:
-    """(gram, size_class, a) of every n-gram in the prefix of a document's set; ``a`` is half of the set's name."""
+    """(gram, size_class, a) for the n-grams of prefixes that other sets hold too; ``a`` is half of a set's name.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, order, tops = Grams(), table.value, _class_table(percent)
+    The global order of n-grams: first those of a hash quarter of all n-grams that only one set holds, then the
+    rest of that quarter, then all others; inside each by (bucket count, hash). Common n-grams (see ``hot_count``)
+    count as others, so no key of the shuffle is hot. Most prefixes hold only n-grams of their own, which need no
+    row: how many of them a set has follows from the size of its quarter.
+    """
+    chosen = np.uint64(1) << np.uint64(62)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, order = Grams(), table.value
+        hot = hot_count(order)
         for batch in batches:
-            for part in slices(batch.column(0)):
-                found = [g for g in map(grams.of, part) if len(g)]
-                if not found:
-                    continue
-                firsts = [ordered(g, order)[:prefix_length(len(g), percent)] for g in found]
-                n = [len(p) for p in firsts]
-                classes = np.searchsorted(tops, [len(g) for g in found]).astype(np.int32)
-                sets = np.array([identity(g)[0] for g in found], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(classes, n)),
-                                                  pa.array(np.repeat(sets, n))], ["gram", "size_class", "a"])
+            for part in slices(batch.column(0), 64):
+                cols: list[tuple] = []
+                for g in map(grams.of, part):
+                    if not len(g):
+                        continue
+                    # the hash quarter is taken from other bits than the buckets
+                    quarter = (g << np.uint64(ORDER_BITS) < chosen) & (order[g >> np.uint64(64 - ORDER_BITS)] <= hot)
+                    inside, name = g[quarter], identity(g)[0]
+                    more = max(0, prefix_length(len(g), percent) - len(inside))
+                    rows = np.concatenate([inside, ordered(g[~quarter], order)[:more]]) if more else inside
+                    kind = np.zeros(len(rows), np.int8)
+                    kind[len(inside):] = 1
+                    cols.append((rows.view(np.int64), np.full(len(rows), name), np.full(len(rows), len(g) << 32 | len(inside)), kind))
+                if cols:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], ["gram", "a", "sizes", "kind"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of n-grams that several sets hold, and those beyond the quarter; repeats by copies of a set are dropped."""
+        order, held = table.value, None
+
+        def chosen_rows(rows):
+            gram, a, sizes, kind = rows
+            new = np.ones(len(a), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (a[1:] != a[:-1])
+            gram, a, sizes, kind = (c[new] for c in rows)
+            run = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]])) - 1
+            many = np.bincount(run)[run] > 1
+            keep = many | (kind == 1)
+            g = gram[keep]
+            rank = order[g.view(np.uint64) >> np.uint64(64 - ORDER_BITS)].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(a[keep]), pa.array(sizes[keep]), pa.array(kind[keep]), pa.array(rank)],
+                                              ["gram", "a", "sizes", "kind", "rank"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "gram long, size_class int, a long")
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(c) for c in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            # the last n-gram may go on in the next batch
+            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            held = [c[cut:] for c in rows]
+            if cut:
+                yield chosen_rows([c[:cut] for c in rows])
+        if held is not None and len(held[0]):
+            yield chosen_rows(held)
+
+    sampled = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(emit, "gram long, a long, sizes long, kind byte")
+    by_gram = sampled.repartition("gram").sortWithinPartitions("gram", "a")
+    rows = write_through(by_gram.mapInArrow(shared, "gram long, a long, sizes long, kind byte, rank long"), "shared")
+    n, inside = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1))
+    prefix = n - F.ceil(F.lit(percent) * n / 100) + 1
+    own = W.partitionBy("a")  # a set has no more rows than n-grams
+    place = F.row_number().over(own.orderBy("kind", "rank", "gram"))
+    held = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(own)
+    tops = _class_table(percent).tolist()
+    size = F.size(F.filter(F.array(*[F.lit(t) for t in tops]), lambda t: t < n))
+    return (rows.withColumns({"_at": place, "_held": held}).where((F.col("kind") == 1) | (F.col("_at") <= prefix - (inside - F.col("_held"))))
+            .select("gram", size.cast("int").alias("size_class"), "a"))
 
 
 def candidate_links(found: DataFrame) -> DataFrame:
@@ -203,7 +262,7 @@ def candidate_links(found: DataFrame) -> DataFrame:
             g, c, h = (np.array(x) for x in zip(*ends))
             yield made(True, g.astype(np.int64), c.astype(np.int32), h.astype(np.int64), h.astype(np.int64))
 
-    ranged = found.repartitionByRange("gram", "size_class", "a").sortWithinPartitions("gram", "size_class", "a")
+    ranged = write_through(found, "prefixes").repartitionByRange("gram", "size_class", "a").sortWithinPartitions("gram", "size_class", "a")
     rows = write_through(ranged.mapInArrow(run, schema), "links")
     across = W.partitionBy("gram").orderBy("size_class", "src")  # two rows a partition
     ends = rows.where("open").select("src", F.lag("src").over(across).alias("dst"), F.lag("size_class").over(across).alias("_c"), "size_class")
