@@ -13,16 +13,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.words import fresh, slices
+from tidemark.llm.words import fresh, hash_filter, slices
 from tidemark.session import write_through
 
 #: Words that make a line a chunk of its own, the rolling window in lines, and lines per boundary on average.
 LONG_LINE, WINDOW_LINES, EVERY = 50, 2, 2
 
-#: Bits of the filter that tells which chunk hashes occur more than once: 8 MB, whatever the input.
-FILTER_BITS = 26
-
-
 def chunks(text: str) -> Iterator[tuple[int, int, int, int]]:
     """(first line, end line, hash, words) of the chunks of a text. Hashes are of the chunk's bytes."""
     lines = text.split("\n")
@@ -84,25 +80,6 @@ def chunk_rows(docs: DataFrame, text: str, with_text: bool = False, keep=None) -
     return src.mapInArrow(run, schema)
 
 
-def repeat_filter(hashes: DataFrame):
-    """A function telling which hashes may occur more than once: a bitmap of fixed size over hash prefixes."""
-    bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS) + 1  # bitmaps begin with 1
-    many = hashes.groupBy("hash").count().where("count > 1").select(bit.alias("bit"))
-    maps = (many.groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())  # 2**FILTER_BITS bits at most
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in maps:
-        at = (r["bucket"] - 1) * 4096
-        table[at:at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = hashes.sparkSession.sparkContext.broadcast(table)
-
-    def keep(values: np.ndarray) -> np.ndarray:
-        place = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        return (sent.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-    return keep
-
-
 def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
     """(id, body, first, last): line ranges whose bytes stand earlier in the table too, by (id, body, line); NULL ids last.
 
@@ -110,7 +87,8 @@ def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
     chunks whose hash repeats, grouped by their bytes; the places after the first of each. Equal
     chunks of one partition are combined before the shuffle.
     """
-    keep = repeat_filter(chunk_rows(docs, text))
+    repeated = chunk_rows(docs, text).groupBy("hash").count().where("count > 1").select("hash")
+    keep = hash_filter(repeated)
     rows = write_through(chunk_rows(docs, text, True, keep), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "body", "first")
     owner = rows.groupBy("hash", "chunk").agg(F.min(place).alias("owner"), F.max(place).alias("other")).where("owner <> other").drop("other")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,6 +25,45 @@ def spaced_words(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(_LOWER).split()
 
 
+#: Bits of a hash filter: 8 MB, whatever the input. A larger table only lets more through.
+FILTER_BITS = 26
+
+
+def hash_filter(hashes: DataFrame):
+    """A function telling which values of an int64 array may be in the column ``hash``; it never says no to one that is.
+
+    The bitmap has a fixed size and is built by the executors. What passes is checked by the caller's join.
+    """
+    bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS) + 1  # bitmaps begin with 1
+    maps = (hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect())  # 2**FILTER_BITS bits at most
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in maps:
+        at = (r["bucket"] - 1) * 4096
+        table[at:at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sent = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def keep(values: np.ndarray) -> np.ndarray:
+        place = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        return (sent.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    return keep
+
+
+def rows_of(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in the column ``key`` of ``keys``, before a join shuffles them. NULL is a key."""
+    keep = hash_filter(keys.select(F.xxhash64(F.col(key)).alias("hash")))
+    src = df.withColumn(fresh(df, "_hash"), F.xxhash64(F.col(key)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(keep(batch.column(batch.num_columns - 1).to_numpy())))
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
+
+    return src.mapInArrow(run, df.schema)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
