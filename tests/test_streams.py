@@ -172,6 +172,18 @@ def test_a_run_in_two_batches_loses_nothing(spark, mode):
         assert events[0] == events[1] and len(set(events[1])) == len(events[1])
 
 
+def test_late_rows_are_counted(spark):
+    at = lambda m: (T0 + dt.timedelta(minutes=m)).isoformat()
+    batches = [[(1, "early words", at(0)), (1, "later words", at(90))], [(1, "open words", at(95))], [(1, "late words", at(1)), (1, "open words", at(96))]]
+    frame, path = file_stream(spark, batches, "session_id long, content string, ts string", "t-late")
+    words = Me.window_words(frame.withColumn("ts", F.to_timestamp("ts")), "session_id", "ts", "content", "[a-z]+", 5)
+    q = Me.write_batches(words, f"{path}/out", f"{path}/check", interval=None, mode="update")
+    q.awaitTermination()
+    assert Me.late_rows(q) == 2
+    counts = {(r["start"].minute, r["word"]): r["n"] for r in Me.latest_counts(spark.read.parquet(f"{path}/out"), ["start", "word"]).collect()}
+    assert counts[0, "early"] == 1 and (0, "late") not in counts and counts[35, "open"] == 2
+
+
 def test_done_items_leave_the_backlog(spark):
     batches = [[r for r in listing_rows(RUNS[:3]) if r[1] == run] for run in (1, 2, 3)]
     batches.append([("acc", 4, "n0", 0, None, "done"), ("acc", 4, "n1", 0, None, "listing")])

@@ -68,6 +68,11 @@ def write_batches(df: DataFrame, path: str, checkpoint: str, shape: Callable[[Da
     return w.start()
 
 
+def late_rows(query) -> int:
+    """Rows that came after the watermark and were left out, over the batches whose progress is still known."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def ends_room(method: Column, status: Column) -> Column:
     """Whether a decoded message is the control message that ends its room."""
     return F.coalesce((method == CONTROL_METHOD) & (status == END_STATUS), F.lit(False))
