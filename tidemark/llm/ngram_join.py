@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.llm.words import fresh, slices, spaced_words
+from tidemark.llm.words import fresh, rows_of, slices, spaced_words
 from tidemark.operators.entities import connected_components
 from tidemark.session import write_through
 
@@ -393,8 +393,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     # one document of each set that may have links carries its text to the group
     one = sizes.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     members = write_through(_dealt(groups.select(F.col("node").alias("a"), F.col("label").alias("grp")).join(one, "a"), percent), "members")
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
-    cells = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cell", "a", "b", "text")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = rows_of(texts, "doc_id", members).withColumnRenamed("doc_id", "_id")
+    # members grow with the input: a merge join at every size
+    cells = members.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cell", "a", "b", "text")
 
     def join_cell(group: pd.DataFrame) -> pd.DataFrame:
         grams, order = Grams(), table.value
