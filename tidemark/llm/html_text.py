@@ -181,7 +181,7 @@ def _ranges(pages: DataFrame, key: Column) -> DataFrame:
     to the ranges before and after it, so neighbours meet whatever the cuts are. Cuts and range ends are a few rows
     for each shuffle partition, never more.
     """
-    width = shuffle_width(pages.sparkSession)
+    width = 4 * shuffle_width(pages.sparkSession)  # several ranges a partition even out their sizes
     drawn = F.xxhash64(key)
     sample = pages.groupBy(F.pmod(drawn, F.lit(8 * width)).alias("s")).agg(F.min(F.struct(drawn.alias("h"), key.alias("k"))).alias("m"))
     cuts = sample.agg(F.filter(F.array_sort(F.collect_list("m.k")), lambda k, i: i % 8 == 7).alias("c")).scalar()
