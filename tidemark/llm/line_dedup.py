@@ -1,12 +1,15 @@
-"""Repeated passages of lines, found by content-defined chunks and removed after a comparison of their bytes.
+"""Repeated passages of lines, removed after a comparison of their bytes.
 
-A rolling hash over the hashes of a line and the one before it chooses the boundaries, so an insertion
-moves only the boundaries beside it. A long line is a chunk of its own.
+``dedup_runs`` removes every run of lines that stands earlier, whole: a run of several lines is the union of its pairs
+of neighbouring lines, and each of these stands earlier too, so pairs and single long lines are all that has to be looked up.
+
+``dedup_lines`` removes content-defined chunks. A rolling hash over the hashes of a line and the one before it chooses
+the boundaries, so an insertion moves only the boundaries beside it. A long line is a chunk of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +98,86 @@ def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
     return rows.join(owner, ["hash", "chunk"]).where(place != F.col("owner")).select("id", "body", "first", "last")
 
 
+def units(lines: list[str], hashed: Callable[[str], int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first line, end line, hash, hash of the first line, hash of the lines after it or 0): pairs of neighbouring lines with a word, long lines,
+    and stretches of blank lines with the lines with words around them, as pairs leave out the middle of those."""
+    counts, hashes = [len(x.split()) for x in lines], [hashed(x) for x in lines]
+
+    def unit(first: int, last: int, b: int) -> tuple[int, int, int, int, int]:
+        return first, last, _signed((hashes[first] * 0x9E3779B97F4A7C15 + b + last - first) & 0xFFFFFFFFFFFFFFFF), _signed(hashes[first]), _signed(b)
+
+    word = -1  # the last line with a word
+    for i, n in enumerate(counts):
+        if n >= LONG_LINE:
+            yield unit(i, i + 1, 0)
+        if i + 1 < len(counts) and n + counts[i + 1]:
+            yield unit(i, i + 2, hashes[i + 1])
+        if n or i + 1 == len(counts) and word >= 0:
+            if i - max(word, 0) > 1 + (n > 0 and word >= 0):
+                yield unit(max(word, 0), i + 1, hashed("\n".join(lines[max(word, 0) + 1:i + 1])))
+            word = i
+
+
+def unit_rows(docs: DataFrame, text: str, keep=None, ranks: dict[str, int] | None = None, hashed: Callable[[str], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
+    """Without ``keep``: the hash of every unit. With it, two kinds of rows for the units that it chooses: the columns of ``docs`` but the
+    text, first, last, the hashes of the lines and their ``ranks`` (0 if they have none); and, with ``line``, hash and text of those lines."""
+    own_columns = [c for c in docs.columns if c != text] if keep else []
+    src, ranks = docs.select(*own_columns, text), ranks or {}
+    schema = T.StructType([*src.schema.fields[:-1], *T._parse_datatype_string("first int, last int, a long, b long, c long, line string" if keep else "hash long").fields])
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for part in slices(batch.column(batch.num_columns - 1)):
+                rows, at, texts = [], [], {}
+                for i, data in enumerate(part, done):
+                    lines = (data or b"").decode("utf-8", "replace").split("\n")
+                    own = list(units(lines, hashed))
+                    if keep is not None and own:
+                        own = [r for r, ok in zip(own, keep(np.array([r[2] for r in own], np.int64))) if ok]
+                    for first, last, _, a, b in own if keep is not None else ():
+                        rest = "\n".join(lines[first + 1:last])
+                        texts[lines[first]] = a
+                        if last - first > 1:
+                            texts[rest] = b
+                        rows.append((first, last, a, b, ranks.get(lines[first], 0) << 32 | ranks.get(rest, 0) if ranks else 0, None))
+                    if keep is None:
+                        rows.extend(r[2] for r in own)
+                    at.extend([i] * len(own))
+                done += len(part)
+                if rows and keep is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], ["hash"])
+                elif rows:
+                    made = rows + [(None, None, a, None, None, x) for x, a in texts.items()]
+                    places = pa.array(at + at[-1:] * len(texts))
+                    yield pa.RecordBatch.from_arrays([*[c.take(places) for c in batch.columns[:-1]], *[pa.array(c, k) for c, k in zip(zip(*made), kinds)]],
+                                                     [*own_columns, "first", "last", "a", "b", "c", "line"])
+
+    return src.mapInArrow(run, schema)
+
+
+def repeated_runs(docs: DataFrame, text: str, hashed: Callable[[str], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
+    """(id, body, first, last): line ranges, overlapping ones as well, whose bytes stand earlier in the table too, by (id, body, line); NULL ids last.
+
+    ``docs``: id, body (a hash of the text) and the text. Hashes of all units tell which may repeat. The texts of their lines are
+    compared once for each slice of rows that holds them: lines with equal hashes have equal bytes, or else ranks that tell them apart.
+    """
+    repeated = unit_rows(docs, text, hashed=hashed).groupBy("hash").count().where("count > 1").select("hash")
+    keep = hash_filter(repeated)
+    rows = write_through(unit_rows(docs, text, keep, hashed=hashed), "units")
+    lines = rows.where("line is not null").select("a", "line")
+    clash = lines.groupBy("a").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").select("a")
+    texts = [r["line"] for r in lines.join(clash, "a").select("line").distinct().orderBy("line").collect()]  # 64-bit clashes: as good as none
+    if texts:
+        rows = write_through(unit_rows(docs, text, keep, {x: i for i, x in enumerate(texts, 1)}, hashed), "units")
+    rows = rows.where("line is null")
+    place, key = F.struct(F.col("id").isNull().alias("none"), "id", "body", "first"), ["a", "b", "c", "width"]
+    rows = rows.withColumn("width", F.col("last") - F.col("first"))
+    owner = rows.groupBy(*key).agg(F.min(place).alias("owner"), F.max(place).alias("other")).where("owner <> other").drop("other")
+    return rows.join(owner, key).where(place != F.col("owner")).select("id", "body", "first", "last")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str | None = None) -> DataFrame:
     """``docs`` without the line chunks that repeat: the first occurrence stays, by id (NULL last) and line.
 
@@ -103,9 +186,23 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", int
     empty; NULL and empty texts stay as they are. Rows that agree in id and text count as one
     row and get the same result; rows that share only the id are told apart by their texts.
     """
+    return _without(docs, doc_id, text, into, repeated_chunks)
+
+
+def dedup_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str | None = None,
+               hashed: Callable[[str], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
+    """``docs`` without the runs of lines that stand earlier, by id (NULL last) and line: every run of several lines
+    with a word in each two neighbours, and every line of ``LONG_LINE`` words or more. Of each removed line an equal one stays.
+
+    Columns and rows are as in ``dedup_lines``; a text whose lines all repeat as one run becomes empty.
+    """
+    return _without(docs, doc_id, text, into, lambda d, t: repeated_runs(d, t, hashed))
+
+
+def _without(docs: DataFrame, doc_id: str, text: str, into: str | None, repeated: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     body, key, gone = fresh(docs, "_body"), fresh(docs, "_key"), fresh(docs, "_gone")
     d = docs.withColumns({key: F.col(f"`{doc_id}`"), body: F.xxhash64(F.col(f"`{text}`"))})
-    cuts = (repeated_chunks(d.select(F.col(key).alias("id"), F.col(body).alias("body"), F.col(f"`{text}`").alias("text")), "text").distinct()
+    cuts = (repeated(d.select(F.col(key).alias("id"), F.col(body).alias("body"), F.col(f"`{text}`").alias("text")), "text").distinct()
             .groupBy("id", "body").agg(F.collect_list(F.struct("first", "last")).alias(gone)))  # no more than the text has lines
     joined = d.join(cuts, F.col(key).eqNullSafe(cuts["id"]) & (F.col(body) == cuts["body"]), "left").drop(cuts["id"], cuts["body"])
     lines = fresh(joined, "_lines")
@@ -115,8 +212,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", int
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
     out = joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(kept)).drop(lines)
     if into:
-        removed = F.aggregate(gone, F.lit(0).cast("long"), lambda n, g: n + g["last"] - g["first"])
-        out = out.withColumn(into, F.coalesce(removed, F.lit(0).cast("long")))
+        out = out.withColumn(into, F.when(F.col(gone).isNull(), F.lit(0).cast("long")).otherwise(F.size(F.array_distinct(cut)).cast("long")))
     return out.drop(body, key, gone)
 
 

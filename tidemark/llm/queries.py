@@ -44,7 +44,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after line deduplication, and the number of lines removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, into="n_removed").select("doc_id", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+    return line_dedup.dedup_runs(docs, into="n_removed").select("doc_id", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query()
