@@ -64,3 +64,15 @@ def test_copies_go_with_their_blank_lines(spark):
     docs = [(i, t) for i, t in enumerate(texts * 2)]
     got = {r.doc_id: (r.text, r.n) for r in Ld.dedup_runs(spark.createDataFrame(docs, DOCS), into="n").collect()}
     assert got == {i: (t, 0) for i, t in enumerate(texts)} | {4 + i: ("", t.count("\n") + 1) for i, t in enumerate(texts)} | {6: (texts[2], 0)}
+
+
+def test_pipeline_drops_exact_copies_of_several_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    text = lambda: "\n".join(" ".join(f"{rnd.choice(['stone', 'river', 'light'])}{rnd.randint(0, 999)}" for _ in range(rnd.choice([3, 9, 20]))) for _ in range(20))
+    docs = [(i, text()) for i in range(12)]
+    docs += [(100 + i, t) for i, t in docs[:8]]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "nothing of the texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(12))

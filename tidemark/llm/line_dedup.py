@@ -219,5 +219,5 @@ def _without(docs: DataFrame, doc_id: str, text: str, into: str | None, repeated
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``documents`` after line deduplication: texts cut, ``n_chars`` renewed, documents of only repeated lines gone."""
     left = fresh(docs, "_removed")
-    out = dedup_lines(docs, into=left).where((F.col(left) == 0) | (F.trim("text") != ""))
+    out = dedup_runs(docs, into=left).where((F.col(left) == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(F.col(left) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop(left)
