@@ -85,12 +85,12 @@ def _class_table(percent: int) -> np.ndarray:
     return np.array(tops)
 
 
-def profiles(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+def profiles(docs: DataFrame, doc_id: str, text: str, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, set): size and 128-bit identity of every document's set; and (bucket, n): how many sets have n-grams there."""
     names = ["kind", "doc_id", "n", "a", "b", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = Grams(), np.zeros(1 << ORDER_BITS, np.uint32)
+        grams, counts = Grams(size), np.zeros(1 << ORDER_BITS, np.uint32)
         for batch in batches:
             rows = []
             for part in slices(batch.column(1)):
@@ -99,9 +99,9 @@ def profiles(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
                     np.add.at(counts, g >> np.uint64(64 - ORDER_BITS), 1)
                     rows.append((len(g), *identity(g)))
             n, a, b = zip(*rows) if rows else ((), (), ())
-            size = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()),
-                                              pa.array(b, pa.int64()), pa.nulls(size, pa.binary())], names)
+            rows_n = len(n)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * rows_n, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()),
+                                              pa.array(b, pa.int64()), pa.nulls(rows_n, pa.binary())], names)
         for at in range(0, len(counts), 4096):  # in pieces, and only those with counts
             piece = counts[at:at + 4096]
             if piece.any():
@@ -145,7 +145,7 @@ def identity(grams: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def prefixes(docs: DataFrame, text: str, table, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, table, percent: int, size: int = SIZE) -> DataFrame:
     """(gram, size_class, a) for the n-grams of prefixes that other sets hold too; ``a`` is half of a set's name.
 
     The global order of n-grams: first those of a hash quarter of all n-grams that only one set holds, then the
@@ -156,7 +156,7 @@ def prefixes(docs: DataFrame, text: str, table, percent: int) -> DataFrame:
     chosen = np.uint64(1) << np.uint64(62)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, order = Grams(), table.value
+        grams, order = Grams(size), table.value
         hot = hot_count(order)
         for batch in batches:
             for part in slices(batch.column(0), 64):
@@ -215,9 +215,9 @@ def prefixes(docs: DataFrame, text: str, table, percent: int) -> DataFrame:
     place = F.row_number().over(own.orderBy("kind", "rank", "gram"))
     held = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(own)
     tops = _class_table(percent).tolist()
-    size = F.size(F.filter(F.array(*[F.lit(t) for t in tops]), lambda t: t < n))
+    cls = F.size(F.filter(F.array(*[F.lit(t) for t in tops]), lambda t: t < n))
     return (rows.withColumns({"_at": place, "_held": held}).where((F.col("kind") == 1) | (F.col("_at") <= prefix - (inside - F.col("_held"))))
-            .select("gram", size.cast("int").alias("size_class"), "a"))
+            .select("gram", cls.cast("int").alias("size_class"), "a"))
 
 
 def candidate_links(found: DataFrame) -> DataFrame:
@@ -375,19 +375,19 @@ def linked(sets: list[tuple], percent: int = PERCENT) -> list[int]:
     return [tree.find(i) for i in range(len(sets))]
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
-    Two documents are linked when 100 * intersection >= percent * union of their sets of distinct 3-word n-grams;
+    Two documents are linked when 100 * intersection >= percent * union of their sets of distinct n-grams of ``size`` words;
     a component's id is its smallest doc_id. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
     NULL, empty and blank texts have an empty set and are their own component. Equal sets are one class and
     are joined once. Rows may share a doc_id; a NULL doc_id never names a component of others.
     N-grams are known by 64-bit hashes, sets by 128-bit ones.
     """
     spark = docs.sparkSession
-    sizes, counts = profiles(docs, doc_id, text)
+    sizes, counts = profiles(docs, doc_id, text, size)
     table = spark.sparkContext.broadcast(global_order(counts))
-    links = write_through(candidate_links(prefixes(docs, text, table, percent)), "links")
+    links = write_through(candidate_links(prefixes(docs, text, table, percent, size)), "links")
     groups = connected_components(links.select("src").union(links.select("dst")).distinct().toDF("node"), links)
 
     # one document of each set that may have links carries its text to the group
@@ -399,7 +399,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     cells = members.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cell", "a", "b", "text")
 
     def join_cell(group: pd.DataFrame) -> pd.DataFrame:
-        grams, order = Grams(), table.value
+        grams, order = Grams(size), table.value
         sets = {}
         for a, b, t in zip(group["a"], group["b"], group["text"]):
             g = grams.of(t.encode() if t else None)
@@ -444,9 +444,9 @@ def _dealt(members: DataFrame, percent: int) -> DataFrame:
     return d.select("doc_id", "a", "b", "grp", F.explode(cells).alias("c")).select("doc_id", "a", "b", F.struct("grp", "c").alias("cell"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id. Rows without words all stay."""
-    ids = components(docs)
+    ids = components(docs, percent=percent, size=size)
     cut = ids.where("n_shingles = 0 or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
     key = fresh(docs, "keep")
     return docs.join(cut.withColumnRenamed("keep", key), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
