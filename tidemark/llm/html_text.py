@@ -28,34 +28,57 @@ OTHER = frozenset("""ad ads advert adverts advertisement advertising sponsor spo
 alert sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead contentinfo complementary comment comments reply replies
 disqus share sharing social related recommended newsletter subscribe subscription popup modal overlay login signup search pagination pager""".split())
 
+#: Of these, names of elements whose own articles are other people's texts or teasers; words that begin a state or a layout, not
+#: a name ("has-sidebar"); and words after a name that say which part or place it is ("sidebar-left").
+FIRM = frozenset("comment comments reply replies disqus related recommended".split())
+STATES = frozenset("has no not non with without is show hide hides content layout body text".split())
+PARTS = frozenset("""area bar block bottom box button buttons card container content element footer group header icon icons inner item items left link links
+list main outer panel primary right secondary section text title top unit widget wrap wrapper""".split())
+
 #: Elements around blocks of text; others are part of a line.
 BLOCK = frozenset("""address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main
 ol p pre section summary table tbody td tfoot th thead tr ul""".split()) | DROPPED
 
-TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+|/|[^\s"'>]|"[^"]*"|'[^']*')*)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|[!?/][^>]*>)""")
+TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\s|/|[^\s"'>]|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^>]*+>|[!?/][^>]*+>)""")
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)""", re.I)
 ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
-PLAIN, MAIN, ARTICLE = 0, 1, 2
+#: Regions of lines; ``HELD`` is an article or main in an element that is named as something else.
+PLAIN, HELD, MAIN, ARTICLE = 0, 1, 2, 3
+
 
+def _names_other(attributes: str) -> int:
+    """0: no name of something else; 1: one that an article inside refutes; 2: goes with all it holds.
 
-def _names_other(attributes: str) -> bool:
+    Names are whole: "site-footer" and "sidebar-left" name a footer and a sidebar, "has-sidebar" and "share-enabled" name neither.
+    """
     if not attributes.strip(" /"):
-        return False
-    words = (w for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", m[1].lower()))
-    return any(w in OTHER for w in words) or HIDDEN.search(attributes) is not None
+        return 0
+    found = 2 if HIDDEN.search(attributes) else 0
+    for m in NAMED.finditer(attributes):
+        for name in m[1].lower().strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+            while len(words) > 1 and words[-1] in PARTS and words[-1] not in OTHER:
+                words.pop()
+            if words and words[-1] in PARTS and len(words) > 1 and words[-2] in OTHER:
+                words.pop()
+            if words and words[-1] in OTHER and (len(words) == 1 or words[0] not in STATES):
+                found = max(found, 2 if words[-1] in FIRM else 1)
+    return found
 
 
 def lines(html: str) -> list[tuple[int, str]]:
     """(region, text) of the blocks outside dropped elements: white space is one space, references are decoded.
 
     Unclosed elements end with the element around them; a paragraph ends where the next block begins.
+    An element named as something else stays if it holds an article or main that is not named so.
     """
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[str] = []
     marks: list[tuple[int, int]] = []  # (depth, region) of open article and main elements
+    doubted: list[list] = []  # [depth, lines before, parts before, whether it holds an article] of open elements named as something else
     dropped, at = 0, 0  # depth of the dropped element, 0 for none
 
     def flush() -> None:
@@ -70,10 +93,30 @@ def lines(html: str) -> list[tuple[int, str]]:
         del stack[depth - 1:]
         if dropped >= depth:
             dropped = 0
+        while doubted and doubted[-1][0] >= depth:
+            _, before, open_parts, holds = doubted.pop()
+            if holds:
+                flush()
+            else:
+                del out[before:]
+                parts[:] = open_parts
         while marks and marks[-1][0] >= depth:
             marks.pop()
 
-    while m := TAG.search(html, at):
+    def hold() -> None:
+        """What is open and named as something else holds an article."""
+        moved = 0
+        for d in doubted:
+            d[1] += moved
+            if not d[3]:
+                d[3], text = True, " ".join(unescape("".join(d[2])).split())
+                if text:
+                    region = max((m for m in marks if m[0] < d[0]), default=(0, PLAIN))[1]
+                    out.insert(d[1], (region, text))
+                    moved += 1
+
+    end_of_tags = html.rfind(">") + 1  # no tag is looked for where none can end
+    while m := TAG.search(html, at, max(at, end_of_tags)):
         if not dropped and m.start() > at:
             parts.append(html[at:m.start()])
         at = m.end()
@@ -106,12 +149,22 @@ def lines(html: str) -> list[tuple[int, str]]:
         stack.append(name)
         if dropped:
             continue
-        if name in DROPPED or (name not in ("html", "body", "main") and _names_other(m[3] or "")):
+        other = 0 if name in ("html", "body", "main") else _names_other(m[3] or "")
+        if name in DROPPED or other == 2:
             dropped = len(stack)
+        elif other:
+            doubted.append([len(stack), len(out), parts.copy(), False])
+            parts.clear()
         elif name in ("article", "main"):
-            marks.append((len(stack), ARTICLE if name == "article" or marks and marks[-1][1] == ARTICLE else MAIN))
+            hold()
+            region = HELD if doubted else ARTICLE if name == "article" else MAIN
+            marks.append((len(stack), max(region, marks[-1][1]) if marks and marks[-1][1] != MAIN else region))
     if not dropped:
-        parts.append(html[at:])
+        rest = html[at:]
+        parts.append(rest[:rest.find("<!--")] if "<!--" in rest else rest)
+        flush()
+    if doubted:
+        close(doubted[0][0])
         flush()
     return out
 
@@ -157,13 +210,16 @@ def _alike(a: str, b: str) -> int:
 def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> tuple[str, int]:
     """The text of a page, and how many of its lines the neighbour has too.
 
-    With an article in the markup its lines are the text, else those of the main element, else
-    all lines; shared lines are deleted but for those of an article.
+    The lines of one region are the text: of articles, of the main element outside its articles, of what is outside both, whichever
+    has more text of its own (ties: in this order); shared lines are deleted but for those of an article.
     """
-    best = max((r for r, _ in page), default=PLAIN)
     shared = common([t for _, t in page], [t for _, t in neighbour]) if neighbour else set()
-    chosen = [t for i, (r, t) in enumerate(page) if r == best and (r == ARTICLE or i not in shared)]
-    return " ".join(chosen), len(shared)
+    own: dict[int, list[str]] = {}
+    for i, (r, t) in enumerate(page):
+        if r in (ARTICLE, HELD) or i not in shared:
+            own.setdefault(r, []).append(t)
+    best = max(own, key=lambda r: (sum(map(len, own[r])), r), default=PLAIN)
+    return " ".join(own.get(best, ())), len(shared)
 
 
 def host_of(url: Column) -> Column:
