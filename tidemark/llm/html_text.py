@@ -8,12 +8,12 @@ that the markup itself names as article are kept, and those it names as menu, no
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.words import slices
 from tidemark.session import shuffle_width
@@ -230,71 +230,171 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def _ranges(pages: DataFrame, key: Column) -> DataFrame:
-    """``pages`` with ``part`` (a range of keys) and ``beside``: whether the row only stands beside that range.
-
-    Cuts are drawn by a hash of the keys and only balance the ranges. The first and last page of every range are copied
-    to the ranges before and after it, so neighbours meet whatever the cuts are. Cuts and range ends are a few rows
-    for each shuffle partition, never more.
-    """
+def _cuts(pages: DataFrame, key: Column) -> Column:
+    """Ends of ranges of keys, drawn by a hash of the keys. They only balance the ranges."""
     width = 4 * shuffle_width(pages.sparkSession)  # several ranges a partition even out their sizes
     drawn = F.xxhash64(key)
     sample = pages.groupBy(F.pmod(drawn, F.lit(8 * width)).alias("s")).agg(F.min(F.struct(drawn.alias("h"), key.alias("k"))).alias("m"))
-    cuts = sample.agg(F.filter(F.array_sort(F.collect_list("m.k")), lambda k, i: i % 8 == 7).alias("c")).scalar()
+    return sample.agg(F.filter(F.array_sort(F.collect_list("m.k")), lambda k, i: i % 8 == 7).alias("c")).scalar()
+
+
+def _in_ranges(pages: DataFrame, key: Column, cuts: Column) -> DataFrame:
+    """``pages`` with ``part``, the range of the key."""
+    width = 4 * shuffle_width(pages.sparkSession)
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(width.bit_length()))])
-    d = pages.withColumn("key", key).withColumn("_cuts", cuts)
-    d = d.withColumn("part", F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(F.col("_cuts"), at + step - 1) < F.col("key"), step).otherwise(0))).drop("_cuts")
-    order = W.partitionBy(F.lit(0)).orderBy("part")  # one row for each range
-    ends = d.groupBy("part").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).select(
-        "part", "_low", "_high", F.lag("part").over(order).alias("_before"), F.lead("part").over(order).alias("_after"))
-    place = lambda part, beside, when=None: F.when(F.lit(True) if when is None else when & part.isNotNull(), F.struct(part.alias("part"), F.lit(beside).alias("beside")))
-    places = F.array_compact(F.array(place(F.col("part"), False), place(F.col("_before"), True, F.col("key") == F.col("_low")), place(F.col("_after"), True, F.col("key") == F.col("_high"))))
-    return d.join(F.broadcast(ends), "part").select(*[c for c in d.columns if c != "part"], F.inline(places))
+    d = pages.withColumn("_key", key).withColumn("_cuts", cuts)
+    return d.withColumn("part", F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(F.col("_cuts"), at + step - 1) < F.col("_key"), step).otherwise(0))).drop("_cuts", "_key")
+
+
+#: Order of pages: pages that share an id are told apart by their html.
+ORDER = ["host", "path", "page_id", "c"]
+
+
+def _edge_runs(src: DataFrame, key: Column, cuts: Column) -> list:
+    """First two and last two runs of every range, in order. A run is pages of a host with equal lines and none with other lines between;
+    pages without lines or host are in no run."""
+    kind = src.schema["page_id"].dataType.simpleString()
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [xxhash.xxh3_64_intdigest(repr(x).encode("utf-8", "replace")) >> 1 if (x := lines((data or b"").decode("utf-8", "replace"))) else None
+                     for part in slices(batch.column(4)) for data in part]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], [*ORDER, "h"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, runs, n, types = None, [], 0, None
+
+        def made():
+            rows = [(part, i, *r) for i, r in enumerate(runs)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                              ["part", "i", "host", "h", "path", "page_id", "c", "last_path", "last_id", "last_c"])
+
+        for batch in batches:
+            types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), batch.column(2).type, pa.int64(), pa.string(), batch.column(2).type, pa.int64())
+            for host, path, page, c, h, p in zip(*(x.to_pylist() for x in batch.columns)):
+                if p != part:
+                    if runs:
+                        yield made()
+                    part, runs = p, []
+                if runs and (runs[-1][0], runs[-1][1]) == (host, h):
+                    runs[-1] = (*runs[-1][:5], path, page, c)
+                else:
+                    if len(runs) == 4:
+                        del runs[2]
+                    runs.append((host, h, path, page, c, path, page, c))
+        if runs:
+            yield made()
+
+    named = src.select(*ORDER, "html").mapInArrow(hashes, f"host string, path string, page_id {kind}, c long, h long").where("h is not null and host <> ''")
+    dealt = _in_ranges(named, key, cuts).repartition("part").sortWithinPartitions("part", *ORDER)
+    runs = dealt.mapInArrow(ends, f"part int, i int, host string, h long, path string, page_id {kind}, c long, last_path string, last_id {kind}, last_c long")
+    return sorted(runs.collect(), key=lambda r: (r["part"], r["i"]))  # four rows for each range at most
+
+
+def _beside(runs: list) -> tuple[dict, dict]:
+    """For pages by their place in the order, the ranges they are to stand beside: the last page before and the first page after
+    a range that differ from its first and its last run. And for each range, the first path of its first run and the last one of its last
+    run, which may begin and end in other ranges."""
+    whole, own = [], {}
+    for r in runs:
+        if not (r["i"] == 0 and whole and (whole[-1][0]["host"], whole[-1][0]["h"]) == (r["host"], r["h"])):
+            whole.append([r, r])
+        whole[-1][1] = r
+        first, _ = own.get(r["part"], (len(whole) - 1, 0))
+        own[r["part"]] = (first, len(whole) - 1)
+    places, paths = {}, {}
+    for part, (a, b) in own.items():
+        paths[part] = (whole[a][0]["path"], whole[b][1]["last_path"])
+        if a and whole[a - 1][1]["host"] == whole[a][0]["host"]:
+            r = whole[a - 1][1]
+            places.setdefault((r["host"], r["last_path"], r["last_id"], r["last_c"]), []).append(part)
+        if b + 1 < len(whole) and whole[b + 1][0]["host"] == whole[b][0]["host"]:
+            r = whole[b + 1][0]
+            places.setdefault((r["host"], r["path"], r["page_id"], r["c"]), []).append(part)
+    return places, paths
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) of every page.
 
     Pages are dealt by ranges of (host, path), so a host with many pages is many partitions; in each they are read
-    in order and a page is aligned with the one before or after it on its host, whichever path is nearer
-    (ties: the one before). A page without lines and a copy of the page itself are no neighbours. Three pages are held at
-    a time. NULL and empty html has an empty text; a page without a host has no neighbour; repeated rows are pages.
+    in order. Neighbouring pages of a host with equal lines are one run, whatever pages without lines stand between them, and all pages
+    of a run have one result: it is aligned with the page before or after it on its host, whichever path is nearer (ties: the one
+    before). A first pass tells which runs stand at the ends of ranges; the pages that these are to be aligned with are copied to the
+    range, however far away they are. Three pages and the ids of a run are held at a time. NULL and empty html has an
+    empty text; a page without a host has no neighbour; repeated rows are pages.
     """
+    spark = pages.sparkSession
     src = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), host_of(F.col(f"`{url}`")).alias("host"),
-                       path_of(F.col(f"`{url}`")).alias("path"), F.col(f"`{html}`").alias("html"))
-    dealt = _ranges(src, F.struct("host", "path", "page_id")).select("page_id", "url", "host", "path", "part", "beside", "html")
+                       path_of(F.col(f"`{url}`")).alias("path"), F.xxhash64(F.col(f"`{html}`")).alias("c"), F.col(f"`{html}`").alias("html"))
+    key = F.struct("host", "path", "page_id")
+    cuts = _cuts(src, key)
+    places, paths = _beside(_edge_runs(src, key, cuts))
+    fields = src.select(*ORDER).schema.fields
+    beside = spark.createDataFrame([(*k, v) for k, v in places.items()], T.StructType([*[T.StructField("_" + f.name, f.dataType) for f in fields], T.StructField("_to", T.ArrayType(T.IntegerType()))]))
+    there = lambda part, copied: F.struct(part.alias("part"), F.lit(copied).alias("beside"))
+    to = F.concat(F.array(there(F.col("part"), False)), F.transform(F.coalesce("_to", F.array().cast("array<int>")), lambda p: there(p, True)))
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in ORDER]
+    dealt = _in_ranges(src, key, cuts).join(F.broadcast(beside), same, "left").select("page_id", "url", "host", "path", "c", "html", F.inline(to))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: deque = deque(maxlen=3)  # the page before, the page, the page after
-        kinds = None
-
-        def made(before, page, after):
-            """The result of a page, unless it only stands beside the range."""
-            if page[5]:
-                return []
-            near = [x for x in (before, after) if x is not None and page[2] and x[2] == page[2] and x[4] == page[4] and x[6] and x[6] != page[6]]
-            best = max(near, key=lambda x: _alike(x[3], page[3]), default=None)
-            text, shared = main_text(page[6], best and best[6])
-            return [(page[0], page[1], text, len(text), shared)]
+        kinds = part = before = now = None  # now: [host, lines, first path, last path, pages of the run]
+        first = True
+
+        def made(after, last: bool) -> Iterator[tuple]:
+            """The results of the run."""
+            nonlocal first
+            if not now[4]:
+                return
+            ends = paths.get(part, (now[2], now[3]))
+            start, stop, first = ends[0] if first else now[2], ends[1] if last else now[3], False
+            near = [(_alike(x[k], own), x[1]) for x, k, own in ((before, 3, start), (after, 2, stop)) if x and x[0] == now[0]]
+            text, shared = main_text(now[1], max(near, key=lambda x: x[0], default=(0, None))[1])
+            for page, url in now[4]:
+                yield page, url, text, len(text), shared
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "url", "text", "n_chars", "n_shared"])
 
-        for batch in batches:
-            kinds = (batch.column(0).type, pa.string(), pa.string(), pa.int64(), pa.int64())
-            keys = [batch.column(i).to_pylist() for i in range(6)]
-            rows, done = [], 0
-            for part in slices(batch.column(6)):
-                for k, data in enumerate(part, done):
-                    window.append((*(c[k] for c in keys), lines((data or b"").decode("utf-8", "replace"))))
-                    if len(window) > 1:
-                        rows += made(window[0] if len(window) == 3 else None, window[-2], window[-1])
-                done += len(part)
-            if rows:
+        def results(batches) -> Iterator[tuple]:
+            nonlocal kinds, part, before, now, first
+            for batch in batches:
+                kinds = (batch.column(0).type, pa.string(), pa.string(), pa.int64(), pa.int64())
+                ids, urls, hosts, paths_, parts, copied = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6, 7))
+                k = -1
+                for datas in slices(batch.column(5)):
+                    for data in datas:
+                        k += 1
+                        if parts[k] != part:
+                            if now:
+                                yield from made(None, True)
+                            part, before, now, first = parts[k], None, None, True
+                        page = lines((data or b"").decode("utf-8", "replace"))
+                        own = [] if copied[k] else [(ids[k], urls[k])]
+                        if not page or not hosts[k]:
+                            text, shared = main_text(page, None)
+                            for page_id, url in own:
+                                yield page_id, url, text, len(text), shared
+                        elif now and now[0] == hosts[k] and now[1] == page and bool(now[4]) == bool(own):
+                            now[3] = paths_[k]
+                            now[4] += own
+                        else:
+                            after = [hosts[k], page, paths_[k], paths_[k], own]
+                            if now:
+                                yield from made(after, not own)
+                            before, now = now, after
+            if now:
+                yield from made(None, True)
+
+        rows = []
+        for row in results(batches):
+            rows.append(row)
+            if len(rows) == 256:
                 yield batch_of(rows)
-        if window and (rows := made(window[-2] if len(window) > 1 else None, window[-1], None)):
+                rows = []
+        if rows:
             yield batch_of(rows)
 
     kind = src.schema["page_id"].dataType.simpleString()
-    return (dealt.repartition("part").sortWithinPartitions("part", "host", "path", "page_id", "beside")
+    return (dealt.repartition("part").sortWithinPartitions("part", *ORDER, "beside")
             .mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_shared long"))
