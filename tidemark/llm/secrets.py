@@ -24,8 +24,12 @@ BEFORE, AROUND = 48, 2048
 #: Parts of those words; a text without any of them has no sensitive place.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "client", "signature", "session")
 
-#: Candidates: long runs of the characters that keys are written in, with a digit or a sign of base64 among them.
+#: Candidates: long runs of the characters that keys are written in; and what a wrapped key goes on with: the end of a line, written out
+#: or as an escape, and a run that fills the next line.
+SHORTEST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+NEXT_LINE = re.compile(r"""[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*+([A-Za-z0-9+/_=.-]+)(?=[ \t]*(?:[\r\n\\"']|$))""")
+LAST_LINE = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*-----END")
 
 #: Marginal compressed bytes for each byte of the candidate from which it is new.
 NOVELTY = 0.6
@@ -81,19 +85,44 @@ def novel_spans(text: str, novelty: Novelty, base: list[tuple[int, int, int]]) -
     if len(low) != len(text):  # a few letters grow when they are lower-cased; places must not move
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     sensitive, seen = [m.end() for m in SENSITIVE.finditer(low)], -1
+
+    def is_new(start: int, stop: int) -> bool:
+        return novelty.of(text[start:stop], text[max(0, start - AROUND):start] + " " + text[stop:stop + AROUND]) >= NOVELTY
+
     for end in sensitive:
-        for m in CANDIDATE.finditer(text, max(end, seen, 0), min(len(text), end + BEFORE)):
-            whole = CANDIDATE.match(text, m.start())
-            start, stop = whole.span()
+        # a candidate that begins in the window shows its first characters up to here
+        for m in CANDIDATE.finditer(text, max(end, seen, 0), min(len(text), end + BEFORE + SHORTEST - 1)):
+            if m.start() >= end + BEFORE:
+                break
+            start, stop = CANDIDATE.match(text, m.start()).span()
             if stop <= seen:
                 continue
             seen = stop
-            run = whole[0].strip("=.-_/")
-            if len(run) < 16 or not any(c in "0123456789+/=" for c in whole[0]):
+            if len(text[start:stop].strip("=.-_/")) < SHORTEST:
                 continue
-            if any(a <= start and stop <= b for a, _, b in base):
+            held = any(a <= start and stop <= b for a, _, b in base)
+            if not held and not is_new(start, stop):
                 continue
-            if novelty.of(whole[0], text[max(0, start - AROUND):start] + " " + text[stop:stop + AROUND]) >= NOVELTY:
+            # a key goes on in lines that are new as well, and ends in a shorter one
+            width, lines = stop - start, 1
+            if held:
+                start = stop
+            while more := NEXT_LINE.match(text, stop):
+                size = more.end(1) - more.start(1)
+                if more[1].startswith("-----"):
+                    break
+                tail = size < SHORTEST
+                if tail:
+                    if not (more[1].endswith("=") or LAST_LINE.match(text, more.end(1)) or lines > 1 and size < width):
+                        break
+                elif not any(a <= more.start(1) and more.end(1) <= b for a, _, b in base) and not is_new(*more.span(1)):
+                    break
+                start = more.start(1) if start == stop else start
+                stop = seen = more.end(1)
+                width, lines = size, lines + 1
+                if tail:
+                    break
+            if stop > start:
                 yield start, 3, stop
 
 
@@ -107,7 +136,7 @@ def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", kee
 
     ``assign``, ``access`` and ``hex`` are fixed patterns. ``novel`` are strings within ``BEFORE`` code points
     after a sensitive word whose bytes a compressor, primed with identifiers and the text around, cannot
-    save. NULL and empty texts have no spans. ``keep`` lists the columns to return (default: all).
+    save, with the lines that they go on in. NULL and empty texts have no spans. ``keep`` lists the columns to return (default: all).
     """
 
     def each(texts):
