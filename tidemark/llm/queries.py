@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, html_text, licenses, line_dedup, ngram_join, packing, quality, secrets, sharding, url_lists
+from tidemark.llm import decontaminate, html_text, licenses, line_dedup, ngram_join, packing, quality, resampling, secrets, sharding, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -173,3 +173,30 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set and its component."""
     return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+# the 256 steps of CRC-32 by their rule, and the unsigned CRC of a text's UTF-8 bytes with them as ``t``
+_CRC_STEPS = """SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+ FROM range(256) r(i)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::bigint)),
+ lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+@query(f"""
+WITH steps AS ({_CRC_STEPS}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED.format('text')} AS w FROM documents),
+words AS (SELECT r, unnest(w) AS w FROM docs), items AS (SELECT unnest({_FOLDED.format('text')}) AS w FROM benchmark),
+named AS (SELECT w, {_CRC.format('w')} % 10000 AS b FROM (SELECT w FROM words UNION SELECT w FROM items), steps),
+s AS (SELECT b, count(*) AS s FROM words JOIN named USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM items JOIN named USING (w) GROUP BY b),
+gains AS (SELECT b, cast(floor(1000 * ln((coalesce(t, 0)::double + 1) * ((SELECT count(*) FROM words)::double + 10000)
+  / ((coalesce(s, 0)::double + 1) * ((SELECT count(*) FROM items)::double + 10000)))) AS bigint) AS gain FROM s FULL JOIN t USING (b)),
+weights AS (SELECT r, cast(sum(gain) AS bigint) AS weight FROM words JOIN named USING (w) JOIN gains USING (b) GROUP BY r),
+scored AS (SELECT r, doc_id, cast(len(w) AS bigint) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))) AS bigint) AS score
+  FROM docs LEFT JOIN weights USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS p FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND p <= (SELECT count(*) FROM docs WHERE len(w) >= 20) * 10 // 100 THEN p END AS rank FROM placed""")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight and score against the benchmark's distribution, and its rank if it is drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -76,11 +77,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def add_struct(df: DataFrame, text: str, into: str, kind: T.StructType, each, keep: list[str] | None = None) -> DataFrame:
+def add_struct(df: DataFrame, text: str, into: str, kind: T.StructType, each, keep: list[str] | None = None,
+               per_task: bool = False) -> DataFrame:
     """``df`` with a struct column ``into``; ``each(list of UTF-8 texts or None)`` gives a dict for every text.
 
     ``keep`` lists the columns to return (default: all). Rows pass through in Arrow batches, and these
-    are worked off in slices, so what ``each`` holds is small.
+    are worked off in slices, so what ``each`` holds is small. With ``per_task``, ``each()`` makes that function
+    once in every task, and what it holds goes with the task.
     """
     names, at = list(df.columns) if keep is None else keep, len(df.columns) if keep is None else len(keep)
     src = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(fresh(df, "_text")))
@@ -88,15 +91,25 @@ def add_struct(df: DataFrame, text: str, into: str, kind: T.StructType, each, ke
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = each() if per_task else each
         for batch in batches:
-            found = [x for part in slices(batch.column(at)) for x in each(part)]
+            found = [x for part in slices(batch.column(at)) for x in one(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, arrow)], [*names, into])
 
     return src.mapInArrow(run, schema)
 
 
+#: UTF-8 bytes of a slice of texts; a longer text is a slice of its own.
+SLICE_BYTES = 1 << 21
+
+
 def slices(column: pa.Array, rows: int = 256) -> Iterator[list[bytes | None]]:
-    """The texts of a column as UTF-8 bytes, some at a time."""
+    """The texts of a column as UTF-8 bytes, some at a time: at most ``rows`` texts and ``SLICE_BYTES``, but one text at least."""
     raw = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    for i in range(0, len(column), rows):
-        yield column.slice(i, rows).cast(raw).to_pylist()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column.cast(raw)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(column):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, min(i + rows, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        yield column.slice(i, j - i).cast(raw).to_pylist()
+        i = j
