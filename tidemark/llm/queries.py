@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, html_text, licenses, line_dedup, ngram_join, packing, quality, resampling, secrets, sharding, url_lists
+from tidemark.llm import conversations, decontaminate, html_text, licenses, line_dedup, ngram_join, packing, quality, resampling, secrets, sharding, url_lists
+from tidemark.operators.ordering import join_on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -200,3 +201,53 @@ SELECT doc_id, n_features, weight, score,
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its weight and score against the benchmark's distribution, and its rank if it is drawn."""
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# rows after damage with their codes (class of the initial, fault), then the cheapest edits of every suffix, from the last row back
+@query(rf"""
+WITH RECURSIVE steps AS ({_CRC_STEPS}),
+places AS (SELECT DISTINCT coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS p FROM conversations),
+damage AS (SELECT p, {_CRC.format('p')} % 20 AS k FROM places, steps),
+raw AS (SELECT conv_id, turn, k, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+  CASE k WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role FROM conversations JOIN damage ON p = coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') WHERE k <> 0),
+rows AS (SELECT conv_id, turn, role, text FROM raw UNION ALL SELECT conv_id, turn, role, text FROM raw WHERE k = 3),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) AS i FROM rows),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN right(regexp_replace(text, '[ 	-]+$', ''), 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS f,
+  CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS q FROM placed),
+lists AS (SELECT conv_id, count(*) AS n, list(struct_pack(f := f, r := r, role := role, text := text) ORDER BY i) AS l,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+  count(*) FILTER (f = 't') AS truncated, count(*) FILTER (i > 1 AND coalesce(q || left(role, 1), '') NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+-- states: n nothing yet, s, u, a; the best suffix of each as {{cost, audit}}, compared in that order
+back AS (SELECT conv_id, l, n AS i, {{'c': 0, 'e': ''}} AS n_, {{'c': 6, 'e': 'II'}} AS s_, {{'c': 3, 'e': 'I'}} AS u_, {{'c': 0, 'e': ''}} AS a_ FROM lists
+  UNION ALL
+  SELECT conv_id, l, i - 1, least(bn, {{'c': iu.c + 3, 'e': 'I' || iu.e}}), least(bs, {{'c': iu.c + 3, 'e': 'I' || iu.e}}), iu, ia FROM (
+   SELECT *, least(bu, {{'c': ba.c + 3, 'e': 'I' || ba.e}}) AS iu, least(ba, {{'c': bu.c + 3, 'e': 'I' || bu.e}}) AS ia FROM (
+    SELECT conv_id, l, i,
+     least({{'c': n_.c + 4, 'e': 'D' || n_.e}}, CASE WHEN g THEN {{'c': u_.c + 3 + t, 'e': 'R' || u_.e}} END, CASE WHEN g AND r = 's' THEN {{'c': s_.c + t, 'e': 'K' || s_.e}} END,
+      CASE WHEN g AND r = 'u' THEN {{'c': u_.c + t, 'e': 'K' || u_.e}} END) AS bn,
+     least({{'c': s_.c + 4, 'e': 'D' || s_.e}}, CASE WHEN g THEN {{'c': u_.c + 3 + t, 'e': 'R' || u_.e}} END, CASE WHEN g AND r = 'u' THEN {{'c': u_.c + t, 'e': 'K' || u_.e}} END) AS bs,
+     least({{'c': u_.c + 4, 'e': 'D' || u_.e}}, CASE WHEN g THEN {{'c': a_.c + 3 + t, 'e': 'R' || a_.e}} END, CASE WHEN g AND r = 'a' THEN {{'c': a_.c + t, 'e': 'K' || a_.e}} END) AS bu,
+     least({{'c': a_.c + 4, 'e': 'D' || a_.e}}, CASE WHEN g THEN {{'c': u_.c + 3 + t, 'e': 'R' || u_.e}} END, CASE WHEN g AND r = 'u' THEN {{'c': u_.c + t, 'e': 'K' || u_.e}} END) AS ba
+    FROM (SELECT *, l[i].r AS r, l[i].f NOT IN ('b', 'd') AS g, CASE WHEN l[i].f = 't' THEN 3 ELSE 0 END AS t FROM back WHERE i > 0)))),
+best AS (SELECT conv_id, l, n_.c AS cost, n_.e AS audit FROM back WHERE i = 0),
+-- forward over the edits: p edits used, j rows used, s the last role initial
+fore AS (SELECT conv_id, l, audit, 0 AS p, 0 AS j, '' AS s, NULL::varchar AS line, '' AS made FROM best
+  UNION ALL
+  SELECT conv_id, l, audit, p + 1, j + CASE e WHEN 'I' THEN 0 ELSE 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN left(l[j + 1].role, 1) ELSE x END, NULL,
+   made || CASE e WHEN 'D' THEN '' ELSE CASE WHEN s = '' THEN '' ELSE chr(10) END || CASE e WHEN 'K' THEN l[j + 1].role WHEN 'I' THEN y ELSE y END || ':' ||
+    CASE e WHEN 'I' THEN '' ELSE l[j + 1].text END END
+  FROM (SELECT *, audit[p + 1] AS e, CASE WHEN s = 'u' THEN 'a' ELSE 'u' END AS x, CASE WHEN s = 'u' THEN 'assistant' ELSE 'user' END AS y FROM fore WHERE p < len(audit))),
+done AS (SELECT conv_id, made FROM fore WHERE p = len(audit))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, cast(coalesce(cost, 0) AS bigint) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN lists x ON c.conv_id IS NOT DISTINCT FROM x.conv_id
+ LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN done d ON c.conv_id IS NOT DISTINCT FROM d.conv_id""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with the faults of its damaged rows and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    fixed = conversations.repair(conversations.damaged(rows))
+    ids = rows.select("conv_id").distinct()
+    zeros = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return join_on(ids, fixed, ["conv_id"], how="left").select(
+        "conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
