@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import conversations, decontaminate, html_text, licenses, line_dedup, ngram_join, packing, quality, resampling, secrets, sharding, url_lists
+from tidemark.llm import conversations, decontaminate, html_text, licenses, line_dedup, ngram_join, packing, quality, resampling, secrets, sharding, tree_model, url_lists
 from tidemark.operators.ordering import join_on
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,8 +212,10 @@ raw AS (SELECT conv_id, turn, k, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(coa
   CASE k WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role FROM conversations JOIN damage ON p = coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') WHERE k <> 0),
 rows AS (SELECT conv_id, turn, role, text FROM raw UNION ALL SELECT conv_id, turn, role, text FROM raw WHERE k = 3),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(len(role) || ':' || role || text)) AS i FROM rows),
-faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
-  WHEN right(regexp_replace(text, '[ 	-]+$', ''), 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS f,
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN right(regexp_replace(text, '[ 	-
+]+$', ''), 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS f,
   CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS q FROM placed),
 lists AS (SELECT conv_id, count(*) AS n, list(struct_pack(f := f, r := r, role := role, text := text) ORDER BY i) AS l,
   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
@@ -251,3 +253,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     zeros = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return join_on(ids, fixed, ["conv_id"], how="left").select(
         "conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query()
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score under the tree model and under word counts."""
+    return tree_model.score(table(spark, sf_dir, "documents"))
