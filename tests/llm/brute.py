@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tidemark.llm import line_dedup
+import xxhash
 
 
 def lower(text):
@@ -36,14 +36,14 @@ def groups(n, linked):
     return [find(i) for i in range(n)]
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = spaced(lower(text))
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
 
 
-def similar(a, b):
+def similar(a, b, percent=90):
     both = len(a & b)
-    return bool(a) and bool(b) and 100 * both >= 90 * (len(a) + len(b) - both)
+    return bool(a) and bool(b) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def quality(text):
@@ -68,21 +68,50 @@ def contamination(text, items):
     return len(w), len(hit), sorted(found)
 
 
-def without_repeats(rows):
-    """{id: (text, removed lines)} of (id, text) rows, keeping the first occurrence of every chunk."""
+def without_runs(rows):
+    """{id: (text, removed lines)} by comparing every place with every earlier one, line by line.
+
+    A run of several equal lines goes, and so does one line of 50 words or more; the first occurrence stays.
+    """
+    docs = [(i, (t or "").split("\n")) for i, t in sorted(rows)]
+    places = [(k, j) for k, (_, lines) in enumerate(docs) for j in range(len(lines))]
+    at_line = {}
+    gone = set()
+    for k, j in places:
+        a = docs[k][1]
+        for m, n in at_line.setdefault(a[j], []):
+            b, run = docs[m][1], 0
+            while j + run < len(a) and n + run < len(b) and a[j + run] == b[n + run]:
+                run += 1
+            if run > 1 or run and len(a[j].split()) >= 50:
+                gone |= {(k, j + r) for r in range(run)}
+        at_line[a[j]].append((k, j))
+    out = {}
+    for k, (i, lines) in enumerate(docs):
+        kept = [x for j, x in enumerate(lines) if (k, j) not in gone]
+        out[i] = ("\n".join(kept), len(lines) - len(kept))
+    return out
+
+
+def without_chunks(rows):
+    """{id: (text, removed lines)} by the rule of content-defined chunks: a boundary where the rolled hash of a line and the one before it is
+    even in its upper half, or beside a line of 50 words; the first of equal chunks of several lines, or of one such line, stays."""
     seen, out = set(), {}
     for i, text in sorted(rows):
-        if text is None:
-            out[i] = (None, 0)
-            continue
-        lines, kept, removed = text.split("\n"), [], 0
-        for a, b, _, words in line_dedup.chunks(text):
-            chunk = "\n".join(lines[a:b])
-            if line_dedup._counts(a, b, words):
-                if chunk in seen:
-                    removed += b - a
-                    continue
-                seen.add(chunk)
-            kept += lines[a:b]
+        lines, kept, chunk, removed = text.split("\n"), [], [], 0
+        hashes = [0, *map(xxhash.xxh3_64_intdigest, lines)]
+        for j, line in enumerate(lines):
+            chunk.append(line)
+            rolled = (hashes[j] * 0x9E3779B97F4A7C15 + hashes[j + 1]) % 2**64
+            if j + 1 < len(lines) and len(line.split()) < 50 and len(lines[j + 1].split()) < 50 and (rolled >> 32) % 2:
+                continue
+            body = "\n".join(chunk)
+            if body.split() and (len(chunk) > 1 or len(body.split()) >= 50) and body in seen:
+                removed += len(chunk)
+            else:
+                kept += chunk
+            if len(chunk) > 1 or len(body.split()) >= 50:
+                seen.add(body)
+            chunk = []
         out[i] = ("\n".join(kept) if removed else text, removed)
     return out

@@ -5,30 +5,12 @@ import random
 import pytest
 import xxhash
 
+from tests.llm import brute
 from tidemark.llm import line_dedup as Ld, queries
 
 DOCS = "doc_id long, text string"
 
 
-def without_runs(rows):
-    """{id: (text, removed lines)} by comparing every place with every earlier one, line by line."""
-    docs = [(i, t.split("\n")) for i, t in sorted(rows)]
-    places = [(k, j) for k, (_, lines) in enumerate(docs) for j in range(len(lines))]
-    gone = set()
-    for at, (k, j) in enumerate(places):
-        for m, n in places[:at]:
-            a, b, run = docs[k][1], docs[m][1], 0
-            while j + run < len(a) and n + run < len(b) and a[j + run] == b[n + run]:
-                run += 1
-            if run > 1 or run and len(a[j].split()) >= 50:
-                gone |= {(k, j + r) for r in range(run)}
-    out = {}
-    for k, (i, lines) in enumerate(docs):
-        kept = [x for j, x in enumerate(lines) if (k, j) not in gone]
-        out[i] = ("\n".join(kept), len(lines) - len(kept))
-    return out
-
-
 def run_docs(seed):
     rnd = random.Random(seed)
     lines = [" ".join(rnd.choice("stone river light ash".split()) + str(rnd.randint(0, 9)) for _ in range(rnd.choice([1, 4, 9, 60]))) for _ in range(30)]
@@ -47,7 +29,7 @@ def run_docs(seed):
 def test_every_repeated_run_goes_whole(spark, seed, hashed):
     docs = run_docs(seed)
     got = {r.doc_id: (r.text, r.n) for r in Ld.dedup_runs(spark.createDataFrame(docs, DOCS).repartition(3), into="n", hashed=hashed).collect()}
-    assert got == without_runs(docs)
+    assert got == brute.without_runs(docs)
 
 
 def test_op2_removes_short_lined_passages_and_copies(spark, tmp_path):

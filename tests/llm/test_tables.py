@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import html_text as H, packing as P, sharding as Sh, url_lists as U
+from tidemark.llm import html_text as H, packing as P, quality as Q, sharding as Sh, url_lists as U
 
 DOCS = "doc_id long, text string"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,18 @@ def test_written_shards_hold_their_rows(spark, tmp_path):
     assert sorted(r.doc_id for r in back) == list(range(40)) and Counter(r.shard for r in back) == {s: 10 for s in range(4)}
 
 
+def test_own_columns_named_like_helpers_stay(spark, tmp_path):
+    own = {c: F.lit(7) for c in ("shard", "slot", "_shard", "_before", "_ends", "_at", "_part", "_number", "count")}
+    docs = spark.createDataFrame([(i, "x") for i in range(40)], DOCS).withColumns(own)
+    d = Sh.assign(docs, 4)
+    shard, slot = Sh.shard_columns(docs)
+    rows = d.collect()
+    assert d.columns == [*docs.columns, shard, slot] and all(r[c] == 7 for r in rows for c in own) and Counter(r[shard] for r in rows) == {s: 10 for s in range(4)}
+    Sh.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter(r[shard] for r in back) == {s: 10 for s in range(4)} and all(r["shard"] == 7 for r in back)
+
+
 # --- packing -----------------------------------------------------------------------
 
 def test_packing_is_an_exact_round_trip(spark):
@@ -209,6 +221,21 @@ def test_allowed_and_empty_lists(spark):
     assert U.allowed(caps, block.limit(0), ["bad"]).count() == 3 and U.allowed(caps.limit(0), block, ["bad"]).count() == 0
 
 
+def test_captures_keep_columns_named_like_helpers(spark):
+    own = {c: F.lit(7) for c in ("_url", "_day", "lists", "_lists", "pattern", "month", "since", "until", "_a", "_b")}
+    caps = spark.createDataFrame([(1, "http://a.org/", day(3)), (2, "http://b.org/", day(3))], "id long, url string, fetched date").withColumns(own)
+    block = spark.createDataFrame([("bad", "a.org", "add", day(2))], ENTRIES)
+    d = U.active_lists(caps, block)
+    assert d.columns[:-1] == caps.columns and {r.id: r[d.columns[-1]] for r in d.collect()} == {1: ["bad"], 2: []}
+    left = U.allowed(caps, block, ["bad"])
+    assert left.columns == caps.columns and [tuple(r)[3:] for r in left.collect()] == [(7,) * len(own)]
+
+
+def test_ledger_keeps_a_column_of_its_name(spark):
+    d = Q.ledger(spark.createDataFrame([(1, "a b c")], DOCS).withColumn("ledger", F.lit(7)))
+    assert d.columns == ["doc_id", "text", "ledger", "_ledger"] and tuple(d.select("ledger", "_ledger.n_words").first()) == (7, 3)
+
+
 # --- the pipeline -------------------------------------------------------------------------
 
 @pytest.fixture
@@ -220,6 +247,7 @@ def folder(spark, tmp_path):
     passage = " ".join(f"{rnd.choice(words)}{i}" for i in range(60))
     docs = [(i, text(rnd.randint(60, 160))) for i in range(60)]
     docs += [(100 + i, docs[i][1]) for i in range(5)] + [(110 + i, docs[i][1] + "\nsome last words") for i in range(5)]
+    docs += [(150 + i, " ".join([*t.split()[:-2], "other", "end"])) for i in range(5) for t in [docs[20 + i][1]]]
     docs += [(120 + i, f"{text(70)}\n{passage}\n{text(70)}") for i in range(4)]
     docs += [(130 + i, " ".join(bench[i][1].split()) + " " + text(60)) for i in range(4)]
     docs += [(140, "few words"), (141, "so so so " * 40), (142, None), (143, " ".join("A%% b$$ c##" for _ in range(50)))]
@@ -239,10 +267,12 @@ def test_pipeline_equals_brute_force(spark, folder):
         if n >= 50 and 100 * repeated <= 50 * n and 10 * symbols <= 3 * n:
             kept.append((i, t))
     assert not {140, 141, 142, 143} & {i for i, _ in kept}
-    cut = brute.without_repeats(kept)
+    cut = brute.without_runs(kept)
     kept = [(i, cut[i][0]) for i, _ in sorted(kept) if not cut[i][1] or cut[i][0].strip()]
-    sets = [brute.shingles(t) for _, t in kept]
-    head = brute.groups(len(kept), lambda i, j: brute.similar(sets[i], sets[j]))
+    assert not set(range(100, 105)) & {i for i, _ in kept}  # exact copies
+    sets = [brute.shingles(t, 5) for _, t in kept]
+    head = brute.groups(len(kept), lambda i, j: brute.similar(sets[i], sets[j], 80))
+    assert {k for k, h in enumerate(head) if h != k} >= {k for k, (i, _) in enumerate(kept) if 150 <= i < 155}  # near copies
     kept = [d for k, d in enumerate(kept) if head[k] == k]
     clean = []
     for i, t in kept:
@@ -252,8 +282,10 @@ def test_pipeline_equals_brute_force(spark, folder):
     assert not set(range(130, 134)) & {i for i, _ in clean}
     rows = corpus_pipeline.run(spark, path).collect()
     assert {r.doc_id for r in rows} == {i for i, _ in clean}
-    enc = P.WordEncoder(VOCABULARY)
-    assert {r.doc_id: r.ids_crc32 for r in rows} == {i: zlib.crc32(enc.encode(t.encode()) + b"\x01\0\0\0") for i, t in clean}
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(VOCABULARY)
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {i: zlib.crc32(np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in clean}
 
 
 def test_stages_return_documents_and_take_empty_tables(spark, folder):

@@ -33,14 +33,14 @@ def clashing(spark, rows):
 
 # --- decontamination ---------------------------------------------------------
 
-@pytest.mark.parametrize("block", [1000, 7])
+@pytest.mark.parametrize("block", [100_000, 300])
 def test_wu_manber_equals_brute_force(spark, block):
     rnd = random.Random(3)
     docs = corpus(5)
     bodies = [t for _, t in docs if t]
     items = [(k, " ".join(brute.folded(rnd.choice(bodies))[:rnd.randint(1, 40)])) for k in range(6)] + [(50, "the of"), (51, None), (52, "..."), (0, "the of")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = Dc.find_passages(spark.createDataFrame(docs, DOCS), bench, into="p", block_windows=block)
+    found = Dc.find_passages(spark.createDataFrame(docs, DOCS), bench, into="p", block_bytes=block)
     got = {r.doc_id: (r.p.n_words, r.p.n_hit, r.p["items"]) for r in found.collect()}
     assert got == {i: brute.contamination(t, items) for i, t in docs}
 
@@ -110,7 +110,7 @@ def line_docs(seed):
 def test_line_dedup_equals_brute_force(spark, seed):
     docs = line_docs(seed)
     got = {r.doc_id: (r.text, r.gone) for r in Ld.dedup_lines(spark.createDataFrame(docs, DOCS).repartition(3), into="gone").collect()}
-    assert got == {i: x for i, x in brute.without_repeats([d for d in docs if d[1] is not None]).items()} | {100: (None, 0)}
+    assert got == {i: x for i, x in brute.without_chunks([d for d in docs if d[1] is not None]).items()} | {100: (None, 0)}
 
 
 def test_an_insertion_moves_only_near_boundaries():

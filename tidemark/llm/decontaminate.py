@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -14,6 +13,8 @@ from tidemark.session import write_through
 
 #: Words of a window, and the share of a document's words that must be hit: one in ``SHARE``.
 WINDOW, SHARE = 13, 20
+#: Bytes of windows that are searched in one pass.
+BLOCK_BYTES = 8 << 20
 
 HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
                     T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -106,12 +107,12 @@ def search_text(searcher: Searcher, data: bytes | None) -> dict:
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-                  into: str = "passages", size: int = WINDOW, block_windows: int = 200_000,
+                  into: str = "passages", size: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                   keep: list[str] | None = None) -> DataFrame:
     """``docs`` with a struct: n_words, n_hit (words inside occurrences), merged word spans, and item ids as sorted strings.
 
-    Windows reach the executors in blocks of at most ``block_windows`` (some 20 MB), the proven bound of
-    what is sent. A benchmark of one block, the usual case, is searched in one pass without a
+    Windows reach the executors in blocks of about ``block_bytes``, the proven bound of what the driver holds and sends
+    (one window more, however long its words are). A benchmark of one block, the usual case, is searched in one pass without a
     shuffle. More blocks are searched one after the other; each pass reads and writes the table.
 
     NULL and empty texts have no words and no hits; a NULL item id counts as the empty string; repeated items
@@ -123,13 +124,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     def block() -> dict[bytes, set]:
         out: dict[bytes, set] = {}
-        for w, i in islice(rows, block_windows):
+        room = block_bytes
+        for w, i in rows:
             out.setdefault(w, set()).add(i)
+            room -= len(w) + len(i)
+            if room <= 0:
+                break
         return out
 
     def search(df: DataFrame, patterns: dict[bytes, set], name: str) -> DataFrame:
         sent = spark.sparkContext.broadcast(sorted(patterns.items()))
-        return add_struct(df, text, name, HIT, lambda texts: [search_text(_tables(sent), t) for t in texts], columns)
+
+        def each():  # the search tables go with the task
+            searcher = Searcher((p, frozenset(items)) for p, items in sent.value)
+            return lambda texts: [search_text(searcher, t) for t in texts]
+
+        return add_struct(df, text, name, HIT, each, columns, per_task=True)
 
     patterns, more = block(), block()
     columns = None if more else keep  # a later block needs the text again
@@ -140,18 +150,6 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return found if keep is None else found.select(*keep, into)
 
 
-_TABLES: dict = {}
-
-
-def _tables(sent) -> Searcher:
-    """The search tables of a broadcast block, built once in each Python worker."""
-    key = id(sent.value)
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = (Searcher((p, frozenset(items)) for p, items in sent.value), sent.value)
-    return _TABLES[key][0]
-
-
 def _joined(df: DataFrame, a: str, b: str) -> DataFrame:
     """Merge the hits of two blocks into ``a``."""
     spans = F.array_sort(F.concat(f"{a}.spans", f"{b}.spans"))

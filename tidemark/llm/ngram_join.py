@@ -44,7 +44,7 @@ class Grams:
         if not words:
             return np.empty(0, np.uint64)
         known = self.words
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         get = known.get
         hashes = [get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w) or 1) for w in words]

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.words import slices
 from tidemark.session import write_through
 
-#: Tokens of a sequence, the id that ends a document, and entries of a worker's word cache (some 100 MB).
-CAPACITY, END_ID, CACHE_WORDS = 4096, 1, 500_000
+#: Tokens of a sequence, the id that ends a document, and bytes of a task's word cache (an entry takes about ENTRY_BYTES besides its texts).
+CAPACITY, END_ID, CACHE_BYTES, ENTRY_BYTES = 4096, 1, 48 << 20, 170
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,12 +47,14 @@ class WordEncoder(dict):
         own = {ord(c) for c in alphabet if ord(c) < 256}  # these bytes stand for themselves, the others for the rest in order
         self.alphabet = dict(zip([b for b in range(256) if b not in own], [c for c in alphabet if ord(c) >= 256]))
         self.runs: dict[str, bytes] = {}
+        self.held = 0
 
     def _run(self, run: str) -> bytes:
         found = self.runs.get(run)
         if found is None:
             chars = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
             found = self.runs[run] = _packed([t.id for t in self.merge(chars)])
+            self.held += len(chars) + len(found) + ENTRY_BYTES
         return found
 
     def __missing__(self, word: bytes) -> bytes:
@@ -63,12 +65,17 @@ class WordEncoder(dict):
         else:
             ids = self._run(m[1]) + self._run(m[2]) if m[2] else self._run(m[1])
         self[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.runs.clear()
+        self.held = 0
+
     def encode(self, text: bytes | None) -> bytes:
-        for full in (self, self.runs):
-            if len(full) > CACHE_WORDS:
-                full.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
@@ -76,16 +83,6 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document, which ends with the end id.
 
@@ -94,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = WordEncoder(vocabulary)  # it goes with the task
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows, done = [], 0

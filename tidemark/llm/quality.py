@@ -60,8 +60,10 @@ def ledger(docs: DataFrame, text: str = "text", into: str = "ledger") -> DataFra
     Whether a text has a repeated window at all is told by a hash set; only texts that do go on:
     with few repeated windows their places are looked up one by one, with many by a sort of
     (hash, place), so a long text costs no square of its length. NULL and empty texts have zero for every
-    measurement and fail ``few_words``. Other columns and repeated rows stay as they are.
+    measurement and fail ``few_words``. Other columns and repeated rows stay as they are; ``into`` gets underscores
+    before it if ``docs`` has such a column.
     """
+    into = fresh(docs, into)
     src, at = fresh(docs, "_q"), lambda name: F.col(f"{src}.{name}")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     trimmed = F.btrim(body, F.lit(SPACE))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,40 +18,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.words import _FOLD, add_struct, folded_words, fresh, slices
+from tidemark.llm.words import _FOLD, add_struct, folded_words, fresh, head_counts, slices, word_counts
 from tidemark.operators.ordering import number_rows
 from tidemark.session import write_through
 
 #: Hash buckets, words that make a document eligible, and percent of the eligible documents that are drawn.
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 10, "2024"
-#: Words of the dictionary and bytes of the longest one: 2 MB of words at most, whatever the corpus.
-DICTIONARY_WORDS, WORD_BYTES = 32_768, 64
+#: Words of the dictionary and bytes of the longest one: 4 MB of words at most, whatever the corpus.
+DICTIONARY_WORDS, WORD_BYTES = 65_536, 64
 
 FEATURES = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight")])
 
 
 def frequent_words(docs: DataFrame, text: str = "text", words: int | None = None, longest: int = WORD_BYTES) -> list[bytes]:
-    """The most frequent words (default ``DICTIONARY_WORDS``) of at most ``longest`` bytes. A task doesn't report words that it sees once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows(least: int):
-            found = [(w, n) for w, n in seen.items() if n >= least and len(w) <= longest]
-            seen.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                for data in part:
-                    seen.update(folded_words(data))
-                if len(seen) > 1_000_000:
-                    yield from rows(2)
-        yield from rows(2)
-
-    counts = docs.select(F.col(f"`{text}`")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS if words is None else words).collect()]  # at most ``words`` short words
+    """The most frequent words, at most ``words`` (default ``DICTIONARY_WORDS``). A task doesn't report words that it sees once."""
+    counts = write_through(word_counts(docs, text, folded_words, 2), "words")
+    return sorted(head_counts(counts, DICTIONARY_WORDS if words is None else words, longest))
 
 
 class Shift:

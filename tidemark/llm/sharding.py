@@ -50,8 +50,13 @@ def _random(row: Column, seed: int, use: str) -> Column:
     return F.xxhash64(row, F.lit(seed), F.lit(use))
 
 
+def shard_columns(rows: DataFrame) -> tuple[str, str]:
+    """Names of the two columns that ``assign`` adds: ``shard`` and ``slot``, with underscores before them where ``rows`` has such columns."""
+    return fresh(rows, "shard"), fresh(rows, "slot")
+
+
 def assign(rows: DataFrame, shards: int = SHARDS, seed: int = 17, blocks: int | None = None) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot`` (gapless from 0 in every shard); shard sizes differ by one row at most.
+    """``rows`` with ``shard`` and ``slot`` (gapless from 0 in every shard; see ``shard_columns``); shard sizes differ by one row at most.
 
     Rows are numbered and written once, so every retry sees the same rows in the same blocks. A block is a hash range
     of row numbers, not of their content: hot keys and repeated rows make no block larger. The matrix has
@@ -61,19 +66,20 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = 17, blocks: int |
     """
     spark = rows.sparkSession
     blocks = blocks or 4 * shuffle_width(spark)
-    number, block, at, shard, part = (fresh(rows, x) for x in ("_number", "_block", "_at", "shard", "_part"))
+    number, block, at, part, ends_at, ahead = (fresh(rows, x) for x in ("_number", "_block", "_at", "_part", "_ends", "_before"))
+    shard, slot = shard_columns(rows)
     d = write_through(rows.withColumn(number, F.monotonically_increasing_id()), "rows")
     d = d.withColumn(block, F.pmod(_random(F.col(number), seed, "block"), F.lit(blocks)).cast("int"))
     counts = {r[0]: r[1] for r in d.groupBy(block).count().collect()}  # one number for each block
     sizes = [counts.get(b, 0) for b in range(blocks)]
     n = sum(sizes)
     matrix = communication_matrix(sizes, [n // shards + (s < n % shards) for s in range(shards)], seed)
-    ends = spark.createDataFrame([(b, np.cumsum(row).tolist()) for b, row in enumerate(matrix)], f"{block} int, _ends array<long>")
+    ends = spark.createDataFrame([(b, np.cumsum(row).tolist()) for b, row in enumerate(matrix)], f"{block} int, {ends_at} array<long>")
 
     # first permutation: the rows of a block in random order go to the shards by the drawn counts
     inside = W.partitionBy(block).orderBy(_random(F.col(number), seed, "local"), number)
     d = d.withColumn(at, F.row_number().over(inside)).join(ends, block)
-    d = d.withColumn(shard, F.size(F.filter("_ends", lambda e: e < F.col(at)))).drop("_ends", at, block)
+    d = d.withColumn(shard, F.size(F.filter(ends_at, lambda e: e < F.col(at)))).drop(ends_at, at, block)
 
     # second permutation: a random order of each shard, sorted in ranges of its random keys
     ranges = max(1, blocks // shards)
@@ -81,10 +87,10 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: int = 17, blocks: int |
     d = d.withColumn(part, F.floor((key / F.lit(2.0**64) + 0.5) * ranges).cast("int"))
     sizes = d.groupBy(shard, part).count()
     before = sizes.select(shard, part, F.coalesce(F.sum("count").over(
-        W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(ahead))
     order = F.row_number().over(W.partitionBy(shard, part).orderBy(key, number))
     return (d.withColumn(at, order).join(before, [shard, part])
-            .withColumn("slot", (F.col("_before") + F.col(at) - 1).cast("long")).drop("_before", at, part, number))
+            .withColumn(slot, (F.col(ahead) + F.col(at) - 1).cast("long")).select(*[f"`{c}`" for c in rows.columns], shard, slot))
 
 
 def shard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 17) -> DataFrame:
@@ -95,9 +101,9 @@ def shard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 17) -> None:
-    """Whole rows, in slot order, in one folder for each shard.
+    """Whole rows, in slot order, in one folder for each shard, named by ``shard_columns``.
 
     Ranges of slots are dealt to the writers, so a shard is written by many tasks.
     """
-    d = assign(docs, shards, seed)
-    d.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("errorifexists").partitionBy("shard").parquet(path)
+    d, (shard, slot) = assign(docs, shards, seed), shard_columns(docs)
+    d.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.mode("errorifexists").partitionBy(shard).parquet(path)

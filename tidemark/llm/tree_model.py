@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.words import _LOWER, add_struct, fresh, slices, spaced_words
+from tidemark.llm.words import _LOWER, add_struct, fresh, head_counts, slices, spaced_words, word_counts
 from tidemark.operators.ordering import join_on
 from tidemark.session import write_through
 
@@ -31,10 +31,10 @@ DEPTH, ROOT = 5, 3
 MARK = 255  # no byte of UTF-8
 #: (context, byte) rows of a block of the model, which is sent to the executors: 64 MB.
 BLOCK_ROWS = 4_000_000
-#: Frequent words whose counts are sent, and bytes of the longest of them: 16 MB at most. Other words are joined with their counts.
-HEAD_WORDS, HEAD_BYTES = 262_144, 64
-#: Keys and words that a task holds before it reports them; rows of the model that a task works off at once.
-HELD, WORDS_HELD, CHUNK = 4_000_000, 500_000, 200_000
+#: Frequent words whose counts are sent, and bytes of the longest of them: 8 MB at most. Other words are joined with their counts.
+HEAD_WORDS, HEAD_BYTES = 131_072, 64
+#: Keys and words that a task holds before it reports them; rows of the model that a task works off at once; bytes of text made to keys at once.
+HELD, WORDS_HELD, CHUNK, PIECE = 1_500_000, 200_000, 200_000, 1 << 19
 
 #: Log gamma of half integers less the main terms of Stirling's formula.
 _REST = np.array([0.0] + [lgamma(x) - (x - 0.5) * log(x) + x - 0.5 * log(2 * pi) for x in np.arange(1, 1024) / 2])
@@ -58,20 +58,35 @@ def weighted(estimate: np.ndarray, children: np.ndarray) -> np.ndarray:
     return np.logaddexp(estimate, children) - log(2)
 
 
-def keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of all bytes and ends, keys of each text). A key is a byte after its context, whose nearest byte comes first."""
-    before = bytes([MARK]) * DEPTH
-    body = before + (bytes([MARK]) + before).join((t or b"").translate(_LOWER) for t in texts) + bytes([MARK])
-    s = np.frombuffer(body, np.uint8).astype(np.uint64)
+def keys(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, number of its text) for all bytes and ends, at most ``PIECE`` at a time. A key is a byte after its context, whose nearest byte comes first."""
+    marks = bytes([MARK]) * DEPTH
+    held, room = [], PIECE
+    for i, t in enumerate(texts):
+        whole = marks + (t or b"").translate(_LOWER) + marks[:1]
+        at = DEPTH
+        while at < len(whole):
+            end = min(len(whole), at + room)
+            held.append((i, whole[at - DEPTH:end]))
+            room -= end - at
+            at = end
+            if not room:
+                yield _keyed(held)
+                held, room = [], PIECE
+    if held:
+        yield _keyed(held)
+
+
+def _keyed(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(b"".join(p for _, p in pieces), np.uint8).astype(np.uint64)
     key, moved = s.copy(), np.empty_like(s)
     for d in range(1, DEPTH + 1):
         np.left_shift(s[:-d], np.uint64(8 * (DEPTH + 1 - d)), out=moved[d:])
         key[d:] |= moved[d:]
-    sizes = np.array([len(t or b"") + 1 for t in texts])
+    sizes = np.array([len(p) for _, p in pieces])
     inside = np.ones(len(s), bool)
-    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    inside[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-    return key[inside], sizes
+    inside[((np.cumsum(sizes) - sizes)[:, None] + np.arange(DEPTH)).ravel()] = False  # context only
+    return key[inside], np.repeat(np.array([i for i, _ in pieces], np.uint64), sizes - DEPTH)
 
 
 def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +119,8 @@ def key_counts(docs: DataFrame, text: str, training: str) -> DataFrame:
                 done += len(part)
                 for chosen in (True, False):
                     texts = [t for t, own in zip(part, learnt) if own == chosen]
-                    if texts:
-                        key = np.sort(keys(texts)[0])
+                    for key, _ in keys(texts):
+                        key.sort()
                         first, n = runs(key)
                         held.append((key[first], n * int(chosen)))
                 if sum(len(k) for k, _ in held) > HELD:
@@ -263,44 +278,6 @@ def train(counts: DataFrame) -> DataFrame:
     return _by_root(counts, lambda key, n: [key.astype(np.int64), logarithms(key, n, top.value)], ["key", "lp"], "key long, lp double")
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n) of the texts' words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; tasks add up what they hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def report():
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-                seen.clear()
-
-        for batch in batches:
-            for part in slices(batch.column(0)):
-                for data in part:
-                    seen.update(spaced_words(data))
-                if len(seen) > WORDS_HELD:
-                    yield from report()
-        yield from report()
-
-    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def head_counts(counts: DataFrame, words: int | None = None) -> dict[bytes, int]:
-    """Counts of the most frequent words, ``words`` at most; words over ``HEAD_BYTES`` are never among them."""
-    short = counts.where(F.length("word") <= HEAD_BYTES)
-    steps = sorted(((r["step"], r["k"]) for r in short.groupBy(F.floor(4 * F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    room, least = HEAD_WORDS if words is None else words, None  # some hundred steps for any counts
-    for step, k in steps:
-        room -= k
-        if room < 0:
-            break
-        least = step
-    if least is None:
-        return {}
-    head = short.where(F.floor(4 * F.log2("n")) >= least).toArrow()
-    return dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist()))
-
-
 def is_held_out(doc_id: Column) -> Column:
     """One in ten, by the CRC of the id as text (NULL: empty)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 10 == 0
@@ -323,14 +300,15 @@ def _log_sums(docs: DataFrame, text: str, model: DataFrame, into: str) -> DataFr
 
         def each(texts: list[bytes | None], sent=sent) -> list[dict]:
             known, lp = sent.value
-            key, sizes = keys(texts)
-            placed = np.sort(key << np.uint64(8) | np.repeat(np.arange(len(texts), dtype=np.uint64), sizes))  # 256 texts of a slice at most
-            first, n = runs(placed)
-            placed = placed[first]
-            key = (placed >> np.uint64(8)).astype(np.int64)
-            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-            value = np.where(known[at] == key, lp[at], 0.0) * n if len(known) else np.zeros(len(key))
-            return [{"lp": float(x)} for x in np.bincount((placed & np.uint64(255)).astype(np.int64), value, len(texts))]
+            total = np.zeros(len(texts))
+            for key, owner in keys(texts) if len(known) else ():
+                placed = np.sort(key << np.uint64(8) | owner)  # a slice has 256 texts at most
+                first, n = runs(placed)
+                placed = placed[first]
+                key = (placed >> np.uint64(8)).astype(np.int64)
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                total += np.bincount((placed & np.uint64(255)).astype(np.int64), np.where(known[at] == key, lp[at], 0.0) * n, len(texts))
+            return [{"lp": float(x)} for x in total]
 
         names.append(fresh(docs, f"_lp{i}"))
         docs = add_struct(docs, text, names[-1], T.StructType([T.StructField("lp", T.DoubleType())]), each)
@@ -349,15 +327,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     d = d.withColumns({"training": ~is_held_out(F.col("doc_id")), "body": F.xxhash64("text")})
-    counts = write_through(word_counts(d.where("training"), "text"), "words")
+    counts = write_through(word_counts(d.where("training"), "text", spaced_words, held=WORDS_HELD), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = d.where("training").count()
     n_all, room = total["n"] + ends, total["n"] + ends + 0.1 * (total["v"] + (ends > 0) + 1)
-    sent = d.sparkSession.sparkContext.broadcast((head_counts(counts), log10((ends + 0.1) / room)))
+    head = head_counts(counts, HEAD_WORDS, HEAD_BYTES)
+    end = log10((ends + 0.1) / room)
+    sent = d.sparkSession.sparkContext.broadcast({w: log10((c + 0.1) / room) for w, c in head.items()})
 
     def words():
-        head, end = sent.value
-        logs = {w: log10((c + 0.1) / room) for w, c in head.items()}
+        logs = sent.value
 
         def one(data: bytes | None) -> dict:
             found = spaced_words(data)

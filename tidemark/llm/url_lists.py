@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.llm.html_text import host_of, path_of
+from tidemark.llm.words import fresh
 
 #: Date of entries that are never removed.
 OPEN_END = "9999-12-31"
@@ -48,8 +49,10 @@ def active_lists(captures: DataFrame, entries: DataFrame, url: str = "url", fetc
     As-of join on (pattern, month): an interval is copied to the months it covers among those of the captures, so a
     pattern that holds a third of all captures is many keys and a capture meets only intervals of its month. Equal
     (URL, day) pairs are looked up once. Captures without a URL or a date have no lists, as has every capture when
-    there are no entries. The number of lists is fixed by the caller and bounds a row.
+    there are no entries. The number of lists is fixed by the caller and bounds a row. ``into`` gets underscores
+    before it if ``captures`` has such a column; all others stay as they are.
     """
+    into, own_url, own_day = fresh(captures, into), fresh(captures, "_url"), fresh(captures, "_day")
     day = F.col(f"`{fetched}`").cast("date")
     seen = captures.select(F.col(f"`{url}`").alias("_url"), day.alias("_day")).where("_url is not null and _day is not null").distinct()
     keys = seen.select("_url", "_day", F.explode(url_keys(F.col("_url"))).alias("pattern")).withColumn("month", _month(F.col("_day")))
@@ -58,14 +61,14 @@ def active_lists(captures: DataFrame, entries: DataFrame, url: str = "url", fetc
     valid = intervals(entries).withColumns({"_a": F.greatest(_month(F.col("since")), first), "_b": F.least(_month(F.col("until")), last)})
     valid = valid.where("_a <= _b").select("list", "pattern", "since", "until", F.explode(F.sequence("_a", "_b")).alias("month"))
     held = (keys.join(valid, ["pattern", "month"]).where("since <= _day and _day < until")
-            .groupBy("_url", "_day").agg(F.array_sort(F.collect_set("list")).alias(into)))
-    out = captures.join(held, (F.col(f"`{url}`") == F.col("_url")) & (day == F.col("_day")), "left").drop("_url", "_day")
+            .groupBy("_url", "_day").agg(F.array_sort(F.collect_set("list")).alias(into)).withColumnsRenamed({"_url": own_url, "_day": own_day}))
+    out = captures.join(held, (F.col(f"`{url}`") == F.col(own_url)) & (day == F.col(own_day)), "left").drop(own_url, own_day)
     return out.withColumn(into, F.coalesce(into, F.array().cast("array<string>")))
 
 
 def allowed(captures: DataFrame, entries: DataFrame, block: list[str], allow: list[str] = (), url: str = "url", fetched: str = "fetched") -> DataFrame:
     """Captures that no list of ``block`` held when they were fetched, or that one of ``allow`` held too."""
-    into = "_lists"
+    into = fresh(captures, "_lists")
     d = active_lists(captures, entries, url, fetched, into)
     of = lambda names: F.arrays_overlap(F.col(into), F.array(*[F.lit(x) for x in names]).cast("array<string>"))
     return d.where(~of(block) | of(list(allow))).drop(into)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,3 +114,44 @@ def slices(column: pa.Array, rows: int = 256) -> Iterator[list[bytes | None]]:
         j = max(i + 1, min(i + rows, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
         yield column.slice(i, j - i).cast(raw).to_pylist()
         i = j
+
+
+def word_counts(docs: DataFrame, text: str, words: Callable[[bytes | None], list[bytes]], least: int = 1, held: int = 200_000) -> DataFrame:
+    """(word, n) of the texts' words. A task adds up what it holds, ``held`` words or so, and leaves out words below ``least`` then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def report() -> Iterator[pa.RecordBatch]:
+            own = seen if least < 2 else {w: n for w, n in seen.items() if n >= least}
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["word", "n"])
+            seen.clear()
+
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                for data in part:
+                    seen.update(words(data))
+                if len(seen) > held:
+                    yield from report()
+        yield from report()
+
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def head_counts(counts: DataFrame, words: int, longest: int) -> dict[bytes, int]:
+    """The most frequent of the words (word, n) with at most ``longest`` bytes: as many steps of counts as ``words`` words have room for.
+
+    ``counts`` is read twice, so it should be a written table. The driver sees some hundred step sizes, then the head alone.
+    """
+    short = counts.where(F.length("word") <= longest).withColumn("step", F.floor(4 * F.log2("n")))
+    least = None
+    for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        words -= r["k"]
+        if words < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    head = short.where(F.col("step") >= least).toArrow()
+    return dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist()))
