@@ -34,7 +34,7 @@ BLOCK_ROWS = 4_000_000
 #: Frequent words whose counts are sent, and bytes of the longest of them: 8 MB at most. Other words are joined with their counts.
 HEAD_WORDS, HEAD_BYTES = 131_072, 64
 #: Keys and words that a task holds before it reports them; rows of the model that a task works off at once; bytes of text made to keys at once.
-HELD, WORDS_HELD, CHUNK, PIECE = 1_500_000, 200_000, 200_000, 1 << 19
+HELD, WORDS_HELD, CHUNK, PIECE = 1_000_000, 150_000, 200_000, 1 << 19
 
 #: Log gamma of half integers less the main terms of Stirling's formula.
 _REST = np.array([0.0] + [lgamma(x) - (x - 0.5) * log(x) + x - 0.5 * log(2 * pi) for x in np.arange(1, 1024) / 2])
@@ -283,12 +283,29 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 10 == 0
 
 
-WORD_SCORES = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()),
+LOGS = T.StructField("lp", T.DoubleType())
+WORD_SCORES = T.StructType([LOGS, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()),
                             T.StructField("rest", T.MapType(T.BinaryType(), T.LongType()))])
 
 
-def _log_sums(docs: DataFrame, text: str, model: DataFrame, into: str) -> DataFrame:
-    """``docs`` with the sum of the logarithms of its bytes; one pass over the texts for every block of the model."""
+def _log_sums(texts: list[bytes | None], known: np.ndarray, lp: np.ndarray) -> list[float]:
+    """Sums of the logarithms that a block of the model has for the bytes of each text; a slice has 256 texts at most."""
+    total = np.zeros(len(texts))
+    for key, owner in keys(texts) if len(known) else ():
+        placed = np.sort(key << np.uint64(8) | owner)
+        first, n = runs(placed)
+        placed = placed[first]
+        key = (placed >> np.uint64(8)).astype(np.int64)
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        total += np.bincount((placed & np.uint64(255)).astype(np.int64), np.where(known[at] == key, lp[at], 0.0) * n, len(texts))
+    return total.tolist()
+
+
+def _scored(docs: DataFrame, text: str, model: DataFrame, words, into: str, keep: list[str]) -> DataFrame:
+    """``docs`` with a struct: the sum of the logarithms of its bytes, and what ``words(text)`` gives for the text's words.
+
+    One pass over the texts for every block of the model; the last one, usually the only one, looks at the words too.
+    """
     model = write_through(model, "model")
     blocks, spark = max(1, -(-model.count() // BLOCK_ROWS)), docs.sparkSession
     number = F.pmod(F.xxhash64("key"), F.lit(blocks))
@@ -296,25 +313,18 @@ def _log_sums(docs: DataFrame, text: str, model: DataFrame, into: str) -> DataFr
     for i in range(blocks):
         rows = model.where(number == i).toArrow()
         order = np.argsort(key := rows.column("key").to_numpy())
-        sent = spark.sparkContext.broadcast((key[order], rows.column("lp").to_numpy()[order]))
-
-        def each(texts: list[bytes | None], sent=sent) -> list[dict]:
-            known, lp = sent.value
-            total = np.zeros(len(texts))
-            for key, owner in keys(texts) if len(known) else ():
-                placed = np.sort(key << np.uint64(8) | owner)  # a slice has 256 texts at most
-                first, n = runs(placed)
-                placed = placed[first]
-                key = (placed >> np.uint64(8)).astype(np.int64)
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                total += np.bincount((placed & np.uint64(255)).astype(np.int64), np.where(known[at] == key, lp[at], 0.0) * n, len(texts))
-            return [{"lp": float(x)} for x in total]
-
-        names.append(fresh(docs, f"_lp{i}"))
-        docs = add_struct(docs, text, names[-1], T.StructType([T.StructField("lp", T.DoubleType())]), each)
-        if i + 1 < blocks:
+        sent, last = spark.sparkContext.broadcast((key[order], rows.column("lp").to_numpy()[order])), i + 1 == blocks
+
+        def each(texts: list[bytes | None], sent=sent, last=last) -> list[dict]:
+            sums = _log_sums(texts, *sent.value)
+            return [{"lp": x, **(words(t) if last else {})} for x, t in zip(sums, texts)]
+
+        name = into if last else fresh(docs, f"_lp{i}")
+        docs = add_struct(docs, text, name, WORD_SCORES if last else T.StructType([LOGS]), each, [*keep, *names] if last else None)
+        if not last:
+            names.append(name)
             docs = write_through(docs, "partly")
-    return docs.withColumn(into, sum((F.col(f"`{c}`.lp") for c in names), F.lit(0.0))).drop(*names)
+    return docs.withColumn(into, F.col(into).withField("lp", sum((F.col(f"`{c}`.lp") for c in names), F.col(f"{into}.lp")))).drop(*names)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,21 +345,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     end = log10((ends + 0.1) / room)
     sent = d.sparkSession.sparkContext.broadcast({w: log10((c + 0.1) / room) for w, c in head.items()})
 
-    def words():
-        logs = sent.value
-
-        def one(data: bytes | None) -> dict:
-            found = spaced_words(data)
-            values = list(map(logs.get, found))
-            rest = Counter(w for w, v in zip(found, values) if v is None) if None in values else None
-            known = [v for v in values if v is not None] if rest else values
-            return {"n_tokens": len(found) + 1, "n_known": len(known) + (ends > 0), "base": sum(known) + end, "rest": list(rest.items()) if rest else None}
-
-        return lambda texts: [one(t) for t in texts]
+    def words(data: bytes | None) -> dict:
+        found = spaced_words(data)
+        values = list(map(sent.value.get, found))
+        rest = Counter(w for w, v in zip(found, values) if v is None) if None in values else None
+        known = [v for v in values if v is not None] if rest else values
+        return {"n_tokens": len(found) + 1, "n_known": len(known) + (ends > 0), "base": sum(known) + end, "rest": list(rest.items()) if rest else None}
 
-    scored = _log_sums(d, "text", train(write_through(key_counts(d, "text", "training"), "contexts")), "lp")
-    scored = scored.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    scored = write_through(add_struct(scored, "text", "w", WORD_SCORES, words, ["doc_id", "training", "body", "lp", "n_bytes"], per_task=True), "scored")
+    d = d.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    model = train(write_through(key_counts(d, "text", "training"), "contexts"))
+    scored = write_through(_scored(d, "text", model, words, "w", ["doc_id", "training", "body", "n_bytes"]), "scored")
     # words outside the head, once for each of equal rows, meet their counts; unknown ones have none
     rest = scored.where("w.rest is not null").select("doc_id", "body", F.explode("w.rest").alias("word", "k")).repartition("word").dropDuplicates(["word", "doc_id", "body"])
     seen = F.coalesce("n", F.lit(0))
@@ -357,4 +362,4 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         F.sum(F.col("k") * F.log10((seen + 0.1) / F.lit(float(room)))).alias("more"), F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("also"))
     out = join_on(scored, terms, ["doc_id"], ["body"], "left")
     return out.select(F.col("doc_id").alias(doc_id), (~F.col("training")).alias("held_out"), "w.n_tokens", (F.col("w.n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-                      F.lit(n_all).cast("long").alias("train_tokens"), (F.col("w.base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), F.col("lp").alias("score"), "n_bytes")
+                      F.lit(n_all).cast("long").alias("train_tokens"), (F.col("w.base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), F.col("w.lp").alias("score"), "n_bytes")
