@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import new_items as Ni, windows as Wi
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
-from tidemark.streaming import messages as Me
+from tidemark.streaming import messages as Me, rooms as Ro
 
 METHODS = {"view": "WebcastChatMessage", "purchase": "WebcastGiftMessage", "signup": "WebcastMemberMessage",
            "click": "WebcastLikeMessage", "error": "WebcastControlMessage"}
@@ -156,6 +156,32 @@ def anchored_keywords(t):
     return d.select("user_id", wall("start"), "word", "n", "rank")
 
 
+@query("streamed_anchored_windows", "R5 W10 W11", f"""WITH RECURSIVE {_ANCHORED},
+c AS (SELECT user_id, start, event_type, count(*) AS n FROM m GROUP BY ALL),
+k AS (SELECT user_id, start, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS words FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, start ORDER BY n DESC, event_type) <= 3) GROUP BY ALL)
+SELECT user_id, start, coalesce(nxt, max(ts)) AS "end", CAST(count(*) AS BIGINT) AS msg_count, any_value(words) AS words FROM m JOIN k USING (user_id, start) GROUP BY user_id, start, nxt""")
+def streamed_anchored_windows(t):
+    """Anchored windows while the rooms are live: the closed ones, and the others as they stand at the end of the stream."""
+    e = event_stream(t).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    d = finished(t, Ro.anchored_topics(e, "user_id", "ts", F.array("event_type"), minutes=720, k=3), "anchored")
+    return Ro.latest_windows(d).select(F.col("session").alias("user_id"), wall("start"), wall("end"), "msg_count", "words")
+
+
+@query("finished_sessions", "R4", """WITH m AS (SELECT user_id, ts, event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INT) % 4 = 3 AS ends FROM events
+  WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)),
+b AS (SELECT *, coalesce(lag(ends) OVER o, true) OR ts > lag(ts) OVER o + INTERVAL 24 HOUR AS opens FROM m WINDOW o AS (PARTITION BY user_id ORDER BY ts, ends)),
+s AS (SELECT *, sum(opens::int) OVER (PARTITION BY user_id ORDER BY ts, ends ROWS UNBOUNDED PRECEDING) AS nr FROM b),
+g AS (SELECT user_id, nr, min(ts) AS started_at, max(ts) AS last_at, CAST(count(*) AS BIGINT) AS n_messages, bool_or(ends) AS ended FROM s GROUP BY ALL)
+SELECT user_id, started_at, last_at, n_messages, CASE WHEN ended THEN last_at ELSE last_at + INTERVAL 24 HOUR END AS ended_at, CASE WHEN ended THEN 'ended' ELSE 'timed_out' END AS status
+FROM g WHERE ended OR last_at + INTERVAL 24 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
+def finished_sessions(t):
+    """Sessions that their control message or a day of silence has ended, by the stream's last watermark."""
+    e = decoded(event_stream(t)).select("session_id", "ts", Me.ends_room(F.col("method"), F.col("action")).alias("ends"))
+    d = finished(t, Ro.room_sessions(e, "session_id", "ts", F.col("ends"), "24 hours"), "rooms")
+    at = lambda c, name: F.timestamp_micros(c).cast("timestamp_ntz").alias(name)
+    return d.select(F.col("session").alias("user_id"), at("started_us", "started_at"), at("last_us", "last_at"), "n_messages", at("ended_us", "ended_at"), "status")
+
+
 # --- listings: a user's events of a day are what was seen of the account in that run -------------
 
 _LIST = """l0 AS (SELECT user_id AS account, CAST(ts AS DATE) AS run, event_type || '-' || (CAST(json_extract_string(props, '$.k') AS INT) // 10) AS item, ts, event_id FROM events),
