@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 AREAS = ("comments", "posts", "statistics", "monitoring", "accounts", "corpus", "ingest", "streams",
-         "measures")
+         "measures", "words")
 
 
 def all_queries():
