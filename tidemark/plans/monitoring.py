@@ -8,7 +8,8 @@ from tidemark.functions import metrics as M, rules as R, text as T
 from tidemark.operators import dedup as D, joins as J, monitor as Mo
 from tidemark.plans.posts import rounded
 from tidemark.plans.registry import query
-from tidemark.session import write_through
+from tidemark.session import scratch_path, write_through
+from tidemark.sources.stored import StoredTable
 
 ORDER = ["o_orderdate", "o_orderkey"]
 def as_of():
@@ -229,6 +230,20 @@ def replace_upsert(t):
     return J.replace_rows(old, new, ["o_custkey"])
 
 
+@query("stored_upsert", "J7", """SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderdate < '1997-01-01' THEN 'first' WHEN o_orderdate < '1998-01-01' THEN 'second' ELSE 'third' END AS batch
+FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def stored_upsert(t):
+    """The latest order of each customer in a stored table, which takes three batches; the last one comes twice."""
+    o = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    parts = {"first": "o_orderdate < '1997-01-01'", "second": "o_orderdate >= '1997-01-01' AND o_orderdate < '1998-01-01'", "third": "o_orderdate >= '1998-01-01'"}
+    stored = None
+    for name in [*parts, "third"]:
+        new = J.latest_rows(o.where(parts[name]), ["o_custkey"], ORDER).select("o_custkey", "o_orderkey", "o_totalprice", F.lit(name).alias("batch"))
+        stored = stored or StoredTable(t.spark, scratch_path(t.spark, "stored"), new.schema, ["o_custkey"], 16)
+        stored.merge(new, name, lambda old, changes: J.replace_rows(old, changes, ["o_custkey"]))
+    return stored.read()
+
+
 @query("insert_missing", "J7", """SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL
 SELECT DISTINCT o_custkey, '' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
 def insert_missing(t):
