@@ -361,21 +361,36 @@ def title_similarity(t):
     return u.join(heads, "source").select("unit_id", F.round(T.char_similarity(F.col("head"), F.col("title_chars")), 9).alias("similarity"))
 
 
-@query("sections_and_bullets", "U28", """SELECT doc_id, 'list ' || source AS section_text, CAST(2 AS BIGINT) AS n_items, lang AS field, split_part(replace(title, '.', '!'), '!', 1) AS first_part FROM (SELECT *, 'head ' || source || '. rest of it' AS title FROM documents)""")
+# Markdown of a document's own lines: in turn a line below a heading, an item and an inline field
+@query("sections_and_bullets", "U28", rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+m AS (SELECT doc_id, l, list_transform(l, lambda x, i: CASE i % 3 WHEN 1 THEN '## part ' || (i // 3) || chr(10) || x WHEN 2 THEN '- ' || x ELSE '**lang：** ' || x END) AS md FROM l),
+j AS (SELECT doc_id, l, md, array_to_string(md, chr(10)) AS t FROM m)
+SELECT doc_id, CASE WHEN len(l) > 3 THEN regexp_replace(substr(array_to_string(md[4:6], chr(10)), 10 + 1), '^\s+|\s+$', '', 'g') ELSE '' END AS section_text,
+  CAST(len(list_filter(regexp_extract_all(t, '(?m)^\s*(?:[-*+]|\d+\.)\s+(.+)$', 1), lambda x: {strip_sql('x')} <> '')) AS BIGINT) AS n_items,
+  regexp_replace(regexp_extract(t, '\*\*lang：\*\*\s*([^\n]+)', 1), '^\s+|\s+$', '', 'g') AS field,
+  coalesce(list_filter(list_transform(string_split_regex({strip_sql('l[1]')}, '[。！？!?]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1], {strip_sql('l[1]')}) AS first_part FROM j""")
 def sections_and_bullets(t):
-    d = t.documents
-    md = F.concat(F.lit("head "), "source", F.lit("! rest of it\n## one\nlist "), "source", F.lit("\n## two\n- item a\n2. item b\n**lang：** "), "lang", F.lit("\ntext"))
-    x = d.select("doc_id", md.alias("md"))
-    return x.select("doc_id", Pa.section(F.col("md"), "one").alias("section_text"), F.size(Pa.bullets(F.col("md"))).cast("long").alias("n_items"),
-                    Pa.inline_field(F.col("md"), "lang").alias("field"), Pa.first_sentence(F.col("md")).alias("first_part"))
-
-
-@query("front_matter", "S4", """SELECT doc_id, 'U' || CAST(doc_id AS VARCHAR) AS id, lang AS type, source || ',' || lang AS themes, 'supports:' || source || ',contrasts:x' AS relations, CAST(n_chars AS BIGINT) AS body_chars FROM documents""")
+    lines = F.split("text", "\n")
+    md = F.array_join(F.transform(lines, lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## part "), F.floor(i / 3).cast("string"), F.lit("\n"), x))
+                                  .when(i % 3 == 1, F.concat(F.lit("- "), x)).otherwise(F.concat(F.lit("**lang：** "), x))), "\n")
+    x = t.documents.select("doc_id", md.alias("md"), F.get(lines, F.lit(0)).alias("first"))
+    return x.select("doc_id", Pa.section(F.col("md"), "part 1").alias("section_text"), F.size(Pa.bullets(F.col("md"))).cast("long").alias("n_items"),
+                    Pa.inline_field(F.col("md"), "lang").alias("field"), Pa.first_sentence(F.col("first")).alias("first_part"))
+
+
+# front matter of a document's own first lines: one in seven documents has none, one in four no type, one in five other line ends
+@query("front_matter", "S4", r"""WITH l AS (SELECT *, doc_id % 7 <> 0 AS has, list_filter(list_transform(string_split(text, chr(10))[1:3], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS head FROM documents)
+SELECT doc_id, CASE WHEN has THEN 'U' || doc_id END AS id, CASE WHEN has AND doc_id % 4 <> 1 THEN lang END AS type, CASE WHEN has THEN array_to_string(head, ',') ELSE '' END AS themes,
+  CASE WHEN NOT has THEN '' ELSE array_to_string(list_transform(range(doc_id % 3), lambda i: 'kind' || i || ':' || source || i), ',') END AS relations, CAST(length(text) AS BIGINT) AS body_chars FROM l""")
 def front_matter(t):
-    d = t.documents
-    md = F.concat(F.lit("---\nid: U"), F.col("doc_id").cast("string"), F.lit("\ntype: "), "lang", F.lit("\nthemes:\n  - "), "source", F.lit("\n  - "), "lang",
-                  F.lit("\nrelationships:\n  - type: supports\n    target: "), "source", F.lit("\n    note: n\n  - type: contrasts\n    target: x\nstatus: ok\n---\n"), "text")
-    x = Pa.front_matter(d.select("doc_id", md.alias("md")), "md")
+    head = F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.concat(F.lit("  - "), x, F.lit("\n")))
+    kinds = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), lambda i: F.when(i > 0, F.concat(
+        F.lit("  - type: kind"), (i - 1).cast("string"), F.lit("\n    target: "), "source", (i - 1).cast("string"), F.lit("\n    note: n\n"))).otherwise(""))
+    kind = F.when(F.col("doc_id") % 4 != 1, F.concat(F.lit("\ntype: "), "lang")).otherwise("")
+    matter = F.concat(F.lit("---\nid: U"), F.col("doc_id").cast("string"), kind, F.lit("\nthemes:\n"), F.array_join(head, ""),
+                      F.lit("relationships:\n"), F.array_join(kinds, ""), F.lit("status: ok\n---\n"))
+    matter = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 5 == 0, F.replace(matter, F.lit("\n"), F.lit("\r\n"))).otherwise(matter)
+    x = Pa.front_matter(t.documents.select("doc_id", F.concat(matter, "text").alias("md")), "md")
     return x.select("doc_id", "id", "type", F.array_join("themes", ",").alias("themes"),
                     F.array_join(F.transform("relationships", lambda r: F.concat_ws(":", r["type"], r["target"])), ",").alias("relations"), F.length("body").cast("long").alias("body_chars"))
 
