@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import posts as P, stats as S
+from tidemark.operators import bootstrap as B, posts as P, stats as S
 from tidemark.operators.ordering import order_statistics, quantile_position, truncated_position
 from tidemark.plans.posts import POSTS, posts, rounded
 from tidemark.plans.registry import query
+from tidemark.session import write_through
 
 
 def _cdf(x):
@@ -87,6 +88,18 @@ def group_profile(t):
     return rounded(S.group_profile(posts(t), "event_type", "value"), "median", "ci_lo", "ci_hi")
 
 
+@query("bootstrap_medians", "X4", f"""WITH {POSTS} SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(median(value), 9) AS median, true AS ordered, true AS near_limit FROM posts GROUP BY event_type""")
+def bootstrap_medians(t):
+    """Medians with resampled intervals: their ends are around the median, at ranks near those of the large-sample limit."""
+    p = posts(t)
+    d = write_through(B.bootstrap_medians(p, ["event_type"], "value").withColumnRenamed("event_type", "key"), "intervals")
+    below = p.join(d, F.col("event_type") == F.col("key")).groupBy("key").agg(F.count_if(F.col("value") < F.col("lo")).alias("a"), F.count_if(F.col("value") <= F.col("hi")).alias("b"),
+                                                                      *[F.max(c).alias(c) for c in ("n", "median", "lo", "hi")])
+    off = lambda c, sign: F.abs(F.col(c) - (F.col("n") / 2 + sign * 0.98 * F.sqrt("n"))) <= 0.25 * F.sqrt("n") + 2
+    return below.select(F.col("key").alias("event_type"), "n", F.round("median", 9).alias("median"),
+                        ((F.col("lo") <= F.col("median")) & (F.col("median") <= F.col("hi"))).alias("ordered"), (off("a", -1) & off("b", 1)).alias("near_limit"))
+
+
 @query("multi_group", "X7", f"""WITH {POSTS}, m AS (SELECT event_type, median(value) AS md FROM posts GROUP BY 1),
 b AS (SELECT event_type FROM m ORDER BY md DESC, event_type LIMIT 1),
 src AS (SELECT o.event_type AS key, CASE WHEN p.event_type = o.event_type THEN 'b' ELSE 'a' END AS side, p.value FROM m o, b, posts p
