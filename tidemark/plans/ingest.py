@@ -9,10 +9,11 @@ from tidemark.plans.posts import rounded
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import files
+from tidemark.streaming import messages as Me
 
 
-def _dumps(t):
-    """One dump per event type and day, as a creator's crawl would leave them."""
+def _dump_lines(t):
+    """One video a line, as a creator's crawl would leave them."""
     e = t.events
     author = F.struct(F.col("user_id").cast("string").alias("uid"), F.concat(F.lit("user "), F.col("user_id")).alias("nickname"),
                       F.when(F.col("value") > 5, (F.col("user_id") * 500).cast("long")).alias("follower_count"),
@@ -25,19 +26,40 @@ def _dumps(t):
                    F.array(F.struct(F.col("event_type").alias("hashtag_name"))).alias("text_extra"))
     k = F.get_json_object("props", "$.k").cast("long")
     video = F.struct(F.struct(F.floor("value").alias("digg_count"), k.alias("comment_count")).alias("statistics"), F.when(lost != 1, raw).alias("_raw"))
-    path = scratch_path(t.spark, "dumps")
     line = F.when(lost == 0, '{"videos": [{').otherwise(F.to_json(F.struct(F.array(video).alias("videos"))))
-    e.select(F.concat(F.lit("c"), F.col("user_id") % 7).alias("country"), line.alias("value")).write.partitionBy("country").text(path)
+    return e.select(F.concat(F.lit("c"), F.col("user_id") % 7).alias("country"), line.alias("value"))
+
+
+def _dumps(t):
+    path = scratch_path(t.spark, "dumps")
+    _dump_lines(t).write.partitionBy("country").text(path)
     return files.read_video_dumps(t.spark, path, r"country=([^/]+)/()", multi_line=False)
 
 
-@query("video_dump_counters", "S1 F10", """WITH c AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'bad_file' WHEN event_id % 50 = 1 THEN 'no_raw' WHEN user_id < 10 THEN 'news' WHEN value <= 5 THEN 'no_follower' WHEN event_id % 50 = 2 THEN 'no_time' ELSE 'ok' END AS k FROM events)
+_COUNTERS = """WITH c AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'bad_file' WHEN event_id % 50 = 1 THEN 'no_raw' WHEN user_id < 10 THEN 'news' WHEN value <= 5 THEN 'no_follower' WHEN event_id % 50 = 2 THEN 'no_time' ELSE 'ok' END AS k FROM events)
 SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE k = 'bad_file') AS BIGINT) AS n_bad_file, CAST(count(*) FILTER (WHERE k = 'no_raw') AS BIGINT) AS n_no_raw, CAST(count(*) FILTER (WHERE k = 'news') AS BIGINT) AS n_news,
-  CAST(count(*) FILTER (WHERE k = 'no_follower') AS BIGINT) AS n_no_follower, CAST(count(*) FILTER (WHERE k = 'no_time') AS BIGINT) AS n_no_time, CAST(count(*) FILTER (WHERE k = 'ok') AS BIGINT) AS n_ok FROM c""")
-def video_dump_counters(t):
-    d = _dumps(t)
+  CAST(count(*) FILTER (WHERE k = 'no_follower') AS BIGINT) AS n_no_follower, CAST(count(*) FILTER (WHERE k = 'no_time') AS BIGINT) AS n_no_time, CAST(count(*) FILTER (WHERE k = 'ok') AS BIGINT) AS n_ok FROM c"""
+
+
+def _checks():
     a = "_raw.author."
-    return Mo.drop_counters(d, files.video_checks(Mo.is_news(F.col(a + "nickname"), F.col(a + "enterprise_verify_reason"), F.col(a + "custom_verify"), ["TV"])))
+    return files.video_checks(Mo.is_news(F.col(a + "nickname"), F.col(a + "enterprise_verify_reason"), F.col(a + "custom_verify"), ["TV"]))
+
+
+@query("video_dump_counters", "S1 F10", _COUNTERS)
+def video_dump_counters(t):
+    return Mo.drop_counters(_dumps(t), _checks())
+
+
+@query("streamed_dump_counters", "S1 S11 F10", _COUNTERS)
+def streamed_dump_counters(t):
+    """Dumps that come in two lots: every run of the stream reads the files that are new, and the counters are those of all files."""
+    root, lines = scratch_path(t.spark, "streamed-dumps"), _dump_lines(t)
+    for lot, chosen in (("a", F.col("country") < "c4"), ("b", F.col("country") >= "c4")):
+        lines.where(chosen).write.partitionBy("country").text(f"{root}/in/lot={lot}")
+        rows = files.stream_video_dumps(t.spark, f"{root}/in", r"country=([^/]+)/()", multi_line=False)
+        Me.write_batches(rows, f"{root}/out", f"{root}/checkpoint", interval=None).awaitTermination()
+    return Mo.drop_counters(t.spark.read.parquet(f"{root}/out"), _checks())
 
 
 @query("video_features", "S1", """SELECT CAST(event_id AS VARCHAR) AS aweme_id, 'c' || CAST(user_id % 7 AS VARCHAR) AS country, CAST(floor(value) AS BIGINT) AS likes, CAST(json_extract_string(props, '$.k') AS BIGINT) AS comments,

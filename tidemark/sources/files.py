@@ -23,7 +23,19 @@ def read_video_dumps(spark: SparkSession, path: str, name_pattern: str = r"([^/_
 
     Country and keyword come from the dump, else from the file name.
     """
-    d = (spark.read.schema(DUMP + ", _bad string").option("multiLine", multi_line).option("mode", "PERMISSIVE")
+    return _dumped(spark.read, path, name_pattern, multi_line)
+
+
+def stream_video_dumps(spark: SparkSession, path: str, name_pattern: str = r"([^/_]+)_([^/]+?)\.json$", multi_line: bool = True,
+                       files_per_batch: int | None = None) -> DataFrame:
+    """The same rows of a folder that dumps are added to, as a stream. Its query's checkpoint knows the files that were read, so each is read once;
+    files must appear whole (moved into the folder) and are not changed later."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.readStream
+    return _dumped(reader, path, name_pattern, multi_line)
+
+
+def _dumped(reader, path: str, name_pattern: str, multi_line: bool) -> DataFrame:
+    d = (reader.schema(DUMP + ", _bad string").option("multiLine", multi_line).option("mode", "PERMISSIVE")
          .option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path))
     file = F.url_decode(F.col("_metadata.file_path"))
     return d.select(
