@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.words import slices
 from tidemark.session import write_through
 
-#: Tokens of a sequence, the id that ends a document, and bytes of a task's word cache (an entry takes about ENTRY_BYTES besides its texts).
+#: Tokens of a sequence, the id that ends a document, and bytes of a Python worker's word cache (an entry takes about ENTRY_BYTES besides its texts).
 CAPACITY, END_ID, CACHE_BYTES, ENTRY_BYTES = 4096, 1, 48 << 20, 170
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -83,6 +83,17 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One in each Python worker, as most words of a task were seen by the one before; it never holds more than ``CACHE_BYTES``."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document, which ends with the end id.
 
@@ -91,7 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = WordEncoder(vocabulary)  # it goes with the task
+        enc = encoder(vocabulary)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows, done = [], 0
