@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import corpus as Co, entities as E, joins as J
@@ -47,6 +48,41 @@ def test_components_of_a_long_chain(spark):
     assert {got[i] for i in range(n)} == {0} and got[n] == got[n + 1] == n and got[n + 2] == n + 2
 
 
+def merged_one_by_one(rows, n=4):
+    accounts = {}
+    for name, account in rows:
+        if name is not None:
+            accounts.setdefault(name, set()).update([] if account is None else [account])
+    order, owner = sorted(accounts, key=lambda x: (-len(x), x)), {}
+    for taker in order:
+        if taker in owner:
+            continue
+        owner[taker], held = taker, set(accounts[taker])
+        for other in order:
+            if other not in owner and len(other) < len(taker) and (len(other) >= n and other in taker or held & accounts[other]):
+                owner[other] = taker
+                held |= accounts[other]
+    return owner
+
+
+@pytest.mark.parametrize("seed,n_accounts", [(0, 60), (1, 12)])
+def test_leads_merge_in_order(spark, seed, n_accounts):
+    rnd = random.Random(seed)
+    rows = [("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9))), rnd.choice([None, *range(n_accounts)])) for _ in range(50)]
+    rows += rows[:5] + [(None, 1), ("é" * 5, 0), ("", None)]
+    d = E.merge_leads_in_order(spark.createDataFrame(rows, "name string, account long"))
+    got = [tuple(r) for r in d.collect()]
+    assert dict(got) == merged_one_by_one(rows) and len(got) == len(dict(got))
+    assert E.merge_leads_in_order(spark.createDataFrame([], "name string, account long")).count() == 0
+
+
+def test_a_taken_lead_takes_none(spark):
+    # the middle lead goes to the long one by its account, so the short one that only the middle one contains stays
+    rows = [("long name here", 1), ("middle one", 1), ("middle", 2), ("short", 1)]
+    got = dict(map(tuple, E.merge_leads_in_order(spark.createDataFrame(rows, "name string, account long")).collect()))
+    assert got == {"long name here": "long name here", "middle one": "long name here", "middle": "middle", "short": "long name here"}
+
+
 def test_duplicate_candidates_is_brute_force(spark):
     rnd = random.Random(8)
     pick = lambda words, p: [w for w in words if rnd.random() < p]

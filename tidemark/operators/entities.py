@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.joins import contains_pairs, unseen
-from tidemark.operators.ordering import top_per_group
+from tidemark.operators.ordering import lag_in_chunks, top_per_group
 from tidemark.session import write_through
 
 
@@ -136,6 +136,58 @@ def merge_leads(leads: DataFrame, name: str = "name", account: str = "account",
     return parts.join(best, "label").select(name, "merged")
 
 
+def _age(name: Column) -> Column:
+    """Place of a lead in the order of merging: longest name first, then the name."""
+    return F.struct((-F.length(name)).alias("s"), name.alias("n"))
+
+
+def _earlier_leads(leads: DataFrame, name: str, account: str, n: int) -> DataFrame:
+    """(src, dst, contained): the earlier leads that decide about a lead.
+
+    Of the leads of an account the first and the one just before are enough: the one before has met all others, and only
+    leads as long as the first are left out by it. So a shared account adds two rows for each of its leads.
+    """
+    names = leads.select(name).distinct()
+    inside = contains_pairs(names.select(F.col(name).alias("src"), F.col(name).alias("_t")), "src", "_t", names, name, n)
+    inside = inside.where(F.col("src") != F.col(name)).select("src", F.col(name).alias("dst"), F.lit(True).alias("contained"))
+    held = leads.where(F.col(account).isNotNull()).select(F.col(account).alias("_a"), F.col(name).alias("dst")).distinct().withColumn("age", _age(F.col("dst")))
+    before = lag_in_chunks(held, ["_a"], ["age"], F.struct("age.s", F.substring("dst", 1, 2).alias("p")), ["dst"]).select(F.col("prev_dst").alias("src"), "dst")
+    first = held.groupBy("_a").agg(F.min("age")["n"].alias("src"))
+    shared = before.unionByName(held.join(first, "_a").select("src", "dst")).where("src is not null and src <> dst").distinct()
+    return inside.unionByName(shared.withColumn("contained", F.lit(False)))
+
+
+def merge_leads_in_order(leads: DataFrame, name: str = "name", account: str = "account", n: int = 4) -> DataFrame:
+    """(name, merged): leads merged one after the other, longest name first, as a replay of the list would do it.
+
+    A lead that still stands takes every shorter lead that its name contains (of ``n`` characters or more) or that shares an account with it or with
+    a lead that it has taken before; a lead that was taken takes none. Equally long names go by name and do not take each other.
+    Rounds replace the replay: a lead is settled when all earlier leads that touch it are, or when none of the open ones can offer an older taker than it has.
+    NULL accounts link nothing, repeated rows count once, an empty table gives none. Every round is written to the shared folder.
+    """
+    edges = write_through(_earlier_leads(leads.where(F.col(name).isNotNull()), name, account, n), "lead-edges")
+    nobody = F.lit(None)
+    state = leads.where(F.col(name).isNotNull()).select(F.col(name).alias("dst")).distinct()
+    kind = state.select(_age(F.col("dst")).alias("a")).schema["a"].dataType
+    state = write_through(state.select("dst", nobody.cast("string").alias("owner"), nobody.cast(kind).alias("oldest")), "leads")
+    src, dst, owner = F.col("src"), F.col("dst"), F.col("owner")
+    offer = F.when(F.col("contained"), F.when(owner == src, _age(src))).when(owner != src, _age(owner)).when(F.length(src) > F.length(dst), _age(src))
+    while not state.where("owner is null").isEmpty():
+        known = state.withColumnsRenamed({"dst": "src"})
+        met = edges.join(state.where("owner is null").select("dst"), "dst", "left_semi").join(known, "src")
+        met = met.select("dst", F.when(owner.isNotNull(), offer).alias("taker"), owner.isNull().alias("waits"),
+                         F.when(owner.isNull(), F.when(F.col("contained"), _age(src)).otherwise(F.col("oldest"))).alias("bound"))
+        met = met.groupBy("dst").agg(F.min("taker").alias("taker"), F.min("bound").alias("bound"),
+                                     F.max("waits").alias("waits"), F.max(F.col("waits") & F.col("bound").isNull()).alias("unknown"))
+        best = F.least(F.coalesce("taker", _age(dst)), _age(dst))
+        waits, unknown = F.coalesce("waits", F.lit(False)), F.coalesce("unknown", F.lit(False))
+        done = ~waits | (~unknown & (best <= F.col("bound")))
+        state = write_through(state.join(met, "dst", "left").select(
+            "dst", F.when(owner.isNotNull(), owner).when(done, best["n"]).alias("owner"),
+            F.when(~unknown, F.least(best, F.coalesce("bound", best))).alias("oldest")), "leads")
+    return state.select(dst.alias(name), owner.alias("merged"))
+
+
 def reference_status(refs: DataFrame, matched: DataFrame, searched: DataFrame) -> DataFrame:
     """Reference entities with accounts, searched without a hit, or never searched."""
     has = matched.where("n_accounts > 0").select("canonical").distinct().withColumn("_has", F.lit(True))

@@ -269,6 +269,19 @@ def merge_leads(t):
     return E.merge_leads(lead_frame(t).distinct())
 
 
+@query("leads_in_order", "G6", """WITH RECURSIVE leads AS (SELECT p_name || ' ' || p_brand AS name, CAST(floor(p_retailprice * 10) AS BIGINT) AS account FROM part
+  UNION SELECT p_name, -p_partkey FROM part),
+n AS (SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS r FROM (SELECT DISTINCT name FROM leads)),
+e AS (SELECT a.r AS s, b.r AS d, true AS part, true AS longer FROM n a JOIN n b ON a.r <> b.r AND length(b.name) >= 4 AND contains(a.name, b.name)
+  UNION SELECT a.r, b.r, false, length(a.name) > length(b.name) FROM leads x JOIN leads y USING (account) JOIN n a ON a.name = x.name JOIN n b ON b.name = y.name AND a.r < b.r),
+c(r, owner) USING KEY (r) AS (SELECT CAST(1 AS BIGINT) AS r, CAST(1 AS BIGINT) AS owner
+  UNION SELECT x.r + 1, least(x.r + 1, coalesce(min(CASE WHEN part THEN CASE WHEN o.owner = s THEN s END WHEN o.owner <> s THEN o.owner WHEN longer THEN s END), x.r + 1))
+  FROM c x LEFT JOIN e ON d = x.r + 1 LEFT JOIN recurring.c o ON o.r = s WHERE x.r < (SELECT count(*) FROM n) GROUP BY x.r)
+SELECT n.name, m.name AS merged FROM c JOIN n USING (r) JOIN n m ON m.r = c.owner""")
+def leads_in_order(t):
+    return E.merge_leads_in_order(lead_frame(t).distinct())
+
+
 @query("reference_status", "G7", f"""WITH {_REC}, m AS (SELECT canonical, count(*) AS n FROM acc JOIN rec USING (project) WHERE canonical IS NOT NULL GROUP BY 1)
 SELECT DISTINCT canonical, CASE WHEN canonical IN (SELECT canonical FROM m) THEN 'with accounts' WHEN canonical IN (SELECT p_name FROM part WHERE p_size = 1) THEN 'searched' ELSE 'none' END AS status FROM rk""")
 def reference_status(t):
