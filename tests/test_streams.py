@@ -108,6 +108,35 @@ def test_quota_matches_a_replay(spark, limit):
     assert got == replay_quota(rows, totals, limit)
 
 
+@pytest.mark.parametrize("limit", [1, 3])
+def test_crowded_accounts_are_released_in_rounds(spark, limit):
+    rnd = random.Random(40 + limit)
+    rows, totals = [], []
+    for account, n_runs, growth in (("hot", 9, 8), ("a", 5, 3), ("quiet", 3, 0)):
+        items, total = [f"{account}{k}" for k in range(3)], 3
+        for run in range(1, n_runs):
+            new = rnd.randint(0, growth)
+            items, total = [f"{account}r{run}_{k}" for k in range(new)] + items, total + new
+            totals.append((account, run, total))
+            seen = [i for i in items if rnd.random() < 0.6]
+            rnd.shuffle(seen)
+            rows += [(account, run, i, p // 2) for p, i in enumerate(seen)] + [(account, run, i, 90) for i in seen[:2]]
+    df = spark.createDataFrame(rows, "account string, run bigint, item string, pos bigint")
+    tot = spark.createDataFrame(totals, "account string, run bigint, total bigint")
+    one = lambda most: {(r["account"], r["item"]): (r["status"], r["released_run"]) for r in
+                        Ni.detect_by_quota(df, tot, F.floor(F.col("run") / 4), limit, most).collect()}
+    want = {}
+    for account in ("hot", "a", "quiet"):
+        best = {}
+        for a, run, i, p in rows:
+            if a == account:
+                best[run, i] = min(p, best.get((run, i), p))
+        # the replay numbers runs by their rows, so a run in which nothing was seen keeps its total for the next
+        got = replay_quota([(a, r, i, p) for (r, i), p in best.items() for a in [account]], {r: t for a, r, t in totals if a == account}, limit)
+        want |= {(account, i): v for i, v in got.items()}
+    assert one(0) == one(20) == want
+
+
 def file_stream(spark, batches, schema, label):
     path = scratch_path(spark, label)
     for i, b in enumerate(batches):

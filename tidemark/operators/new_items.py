@@ -6,6 +6,8 @@ its first two sightings and on the account's first run, so it is a grouped job a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -15,6 +17,9 @@ from tidemark.session import write_through
 #: fixed values: depth of the head of a listing, age of a stale item, items released per run
 HEAD_WINDOW, STALE_DAYS, RELEASE_LIMIT = 8, 7, 5
 
+#: Later sightings up to which one task replays an account; beyond, rounds over single sightings give the same result.
+REPLAYED_ROWS = 100_000
+
 
 def _sightings(listings: DataFrame) -> DataFrame:
     """First position, first run and second run of every item."""
@@ -75,12 +80,34 @@ def _release_in_order(limit: int):
     return run
 
 
-def detect_by_quota(listings: DataFrame, totals: DataFrame, chunk: Column, limit: int = RELEASE_LIMIT) -> DataFrame:
+def _release_in_rounds(later: DataFrame, limit: int) -> DataFrame:
+    """(account, item, released_run) as the replay gives it, without a task that holds an account.
+
+    A sighting is certain when it is the first open one of its item and stands so high in its run that the run has room for it even
+    if all before it are released. Each round releases the certain ones, closes the other sightings of their items and the full runs.
+    The earliest open sighting of an account is always certain, so the rounds end; each is written to the shared folder.
+    """
+    left = write_through(later.withColumn("room", F.lit(limit)), "open-sightings")
+    out = []
+    while not left.isEmpty():
+        high = top_per_group(left, ["account", "run"], [F.asc("pos"), F.asc("item")], limit, "place").where("place <= room")
+        first = left.groupBy("account", "item").agg(F.min("run").alias("run"))
+        sure = write_through(high.join(first, ["account", "item", "run"]).select("account", "item", "run"), "released")
+        out.append(sure)
+        used = sure.groupBy("account", "run").agg(F.count(F.lit(1)).cast("int").alias("used"))
+        left = write_through(left.join(sure.select("account", "item"), ["account", "item"], "left_anti").join(used, ["account", "run"], "left")
+                             .withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).where("room > 0").drop("used"), "open-sightings")
+    none = later.select("account", "item", "run").where(F.lit(False))
+    return reduce(DataFrame.unionByName, out, none).withColumnRenamed("run", "released_run")
+
+
+def detect_by_quota(listings: DataFrame, totals: DataFrame, chunk: Column, limit: int = RELEASE_LIMIT, replayed_rows: int = REPLAYED_ROWS) -> DataFrame:
     """New ids are queued only up to the growth of the account's post count, the rest is old.
 
     A queued id is released on its next sighting, at most ``limit`` per account and run in listing
     order. Only accounts in which a run would go over the limit are replayed run by run, and only
-    with their queued items; for all others the second sighting is the release.
+    with their queued items; for all others the second sighting is the release. Of these, accounts with more than
+    ``replayed_rows`` sightings are worked off in rounds over all of their rows at once, with the same result.
     ``totals``: account, run, total. An unknown total (NULL) in a run or in the one before allows nothing.
     """
     growth = lag_in_chunks(totals, ["account"], ["run"], chunk, ["total"]).select(
@@ -100,8 +127,11 @@ def detect_by_quota(listings: DataFrame, totals: DataFrame, chunk: Column, limit
     later = (listings.join(queued.join(crowded, "account", "left_semi").select("account", "item", "first_run"), ["account", "item"])
              .where(F.col("run") > F.col("first_run")).groupBy("account", "item", "run").agg(F.min("pos").alias("pos")))
     kinds = {f.name: f.dataType.simpleString() for f in listings.schema.fields}
-    replayed = later.groupBy("account").applyInPandas(
+    later = write_through(later, "later-sightings")  # read three times
+    large = later.groupBy("account").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > replayed_rows).select("account")
+    in_rounds = _release_in_rounds(later.join(large, "account", "left_semi"), limit)
+    replayed = later.join(large, "account", "left_anti").groupBy("account").applyInPandas(
         _release_in_order(limit), f"account {kinds['account']}, item {kinds['item']}, released_run {kinds['run']}")
-    released = simple.where("released_run is not null").unionByName(replayed)
+    released = simple.where("released_run is not null").unionByName(replayed).unionByName(in_rounds)
     return (decided.drop("second_run").join(released, ["account", "item"], "left")
             .withColumn("status", F.when(F.col("released_run").isNotNull(), "released").otherwise(F.col("status"))))
