@@ -266,6 +266,15 @@ def test_license_templates_survive_edits(spark):
     assert Li.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_strewn_words_of_a_template_are_no_license(spark):
+    mit = next(t.text for t in Li.TEMPLATES if t.name == "mit-grant").split()
+    pieces = [mit[j * (len(mit) - 2) // 120:][:2] for j in range(121)]
+    strewn = [w for j, p in enumerate(pieces) for w in (*p, f"other{j}", f"words{j}")]
+    late = [f"filler{i}" for i in range(500)]
+    docs = [(1, " ".join(strewn)), (2, " ".join(late + mit + late)), (3, " ".join(strewn + mit[:30] + ["more"] * 3 + mit[30:]))]
+    assert {r.id: r.labels for r in Li.scan(spark.createDataFrame(docs, DOCS)).collect()} == {1: "", 2: "mit", 3: "mit"}
+
+
 # --- helpers -----------------------------------------------------------------------------
 
 def test_word_classes():

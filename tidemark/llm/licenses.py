@@ -88,16 +88,19 @@ def spans(found: DataFrame, near: int = NEAR, covered: float = COVERED) -> DataF
     """(id, body, template, start, stop, score) of verified spans.
 
     Votes of a diagonal are counted first; of its hits only one place of the template counts once. Diagonals no
-    more than ``near`` apart whose hits follow each other in the document make one span; it is verified if its hits
-    hold the share ``covered`` of the template's words. Rows per document are bounded by its hits.
+    more than ``near`` apart are one chain. A copy drifts by no more than its template's length, so a chain that spreads over more
+    diagonals is cut into overlapping bands of twice that length, and hits strewn over a long document make no span; a copy
+    in two bands is found in both. A span is verified if its hits hold the share ``covered`` of the template's words.
+    Rows per document are bounded by its hits.
     """
     doc = ["id", "body", "template"]
     votes = found.distinct().withColumn("diagonal", F.col("pos") - F.col("tpos"))
     line = W.partitionBy(*doc).orderBy("diagonal", "pos")
-    # a new span begins where the diagonal jumps, or the document goes on beyond the template's length
     jump = (F.col("diagonal") - F.lag("diagonal").over(line) > near) | F.lag("diagonal").over(line).isNull()
     grouped = votes.withColumn("_g", F.sum(jump.cast("int")).over(line))
-    per = grouped.groupBy(*doc, "tlen", "_g").agg(
+    band = F.floor((F.col("diagonal") - F.min("diagonal").over(W.partitionBy(*doc, "_g"))) / F.col("tlen"))
+    banded = grouped.withColumn("_b", band).withColumn("_b", F.explode(F.array_distinct(F.array("_b", F.greatest(F.col("_b") - 1, F.lit(0))))))
+    per = banded.groupBy(*doc, "tlen", "_g", "_b").agg(
         F.min("pos").alias("start"), F.max("pos").alias("_end"), F.countDistinct("tpos").alias("votes"))
     share = (F.col("votes") + GRAM - 1) / F.col("tlen")
     return per.select(*doc, "start", (F.col("_end") + GRAM).alias("stop"), F.least(share, F.lit(1.0)).alias("score"), "tlen") \
