@@ -41,7 +41,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                     listed(F.col(f"{into}.spans")).alias("spans"), f"{into}.n_novel")
 
 
-@query()
+# pairs of neighbouring lines, long lines, and stretches of blank lines with the lines with words around them; each stays where it stands first
+@query(r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM docs),
+counted AS (SELECT doc_id, i, n, len(list_filter(string_split_regex(line, '[ \t-\r]+'), lambda x: x <> '')) AS words FROM lines),
+told AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS word, lead(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL AS final, n FROM counted WHERE words > 0),
+units AS (SELECT doc_id, i AS first, i AS last FROM counted WHERE words >= 50
+  UNION SELECT a.doc_id, a.i, b.i FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.words + b.words > 0
+  UNION SELECT doc_id, coalesce(word, 0), i FROM told WHERE i - coalesce(word, 0) > CASE WHEN word IS NULL THEN 1 ELSE 2 END
+  UNION SELECT doc_id, i, n - 1 FROM told WHERE final AND n - 1 - i > 1),
+placed AS (SELECT doc_id, first, last, row_number() OVER (PARTITION BY array_to_string(l[first + 1:last + 1], chr(10)), last - first ORDER BY doc_id, first) AS place FROM units JOIN docs USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM placed WHERE place > 1)
+SELECT doc_id, count(gone.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (WHERE gone.i IS NULL), '') AS text
+FROM lines LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id""")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after line deduplication, and the number of lines removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -170,7 +183,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM docs),
+grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+links AS (SELECT a.doc_id AS s, b.doc_id AS d FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+c(doc_id, label) USING KEY (doc_id) AS (SELECT doc_id, doc_id AS label FROM docs
+  UNION (SELECT s, min(c.label) FROM c JOIN links ON d = c.doc_id JOIN recurring.c AS o ON o.doc_id = s WHERE c.label < o.label GROUP BY s))
+SELECT doc_id, cast(len(g) AS bigint) AS n_shingles, label AS component_id FROM sets JOIN c USING (doc_id)""")
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its set and its component."""
     return ngram_join.components(table(spark, sf_dir, "documents"))
