@@ -69,16 +69,34 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query()
-def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and templates in every document."""
-    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
-
-
 # words by the folded class, as lists; windows as texts with the words joined by a space
 _FOLDED = r"""list_filter(string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {t.base}, '" + t.text.replace("'", "''") + "')" for i, t in enumerate(licenses.TEMPLATES))
+_PAIRS = "unnest(list_transform(range(1, len(w)), lambda i: {'p': i - 1, 'g': w[i] || ' ' || w[i + 1]})) AS x"
+
+
+@query(f"""
+WITH tpl AS (SELECT template, label, base, {_FOLDED.format('text')} AS w FROM (VALUES {_TEMPLATES}) v(template, label, base, text)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED.format('text')} AS w FROM documents),
+tg AS (SELECT template, label, base, len(w) AS tlen, {_PAIRS} FROM tpl), dg AS (SELECT r, {_PAIRS} FROM docs),
+hits AS (SELECT DISTINCT r, template, label, base, tlen, tg.x.p AS tpos, dg.x.p AS pos, dg.x.p - tg.x.p AS diagonal FROM dg JOIN tg ON dg.x.g = tg.x.g),
+whole AS (SELECT r, label, diagonal AS start FROM hits WHERE base GROUP BY r, template, label, tlen, diagonal HAVING count(*) = tlen - 1),
+jumps AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal, pos) > {licenses.NEAR}, true) AS jump FROM hits WHERE NOT base),
+chains AS (SELECT *, sum(jump::int) OVER (PARTITION BY r, template ORDER BY diagonal, pos) AS chain FROM jumps),
+bands AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY r, template, chain)) // tlen AS b FROM chains),
+spans AS (SELECT r, label, least((count(DISTINCT tpos) + 1)::double / tlen, 1) AS score FROM (SELECT *, unnest(list_distinct([b, greatest(b - 1, 0)])) AS band FROM bands)
+  GROUP BY r, template, label, tlen, chain, band HAVING least((count(DISTINCT tpos) + 1)::double / tlen, 1) >= CASE WHEN tlen < {licenses.SHORT} THEN 1 ELSE {licenses.COVERED}::double END),
+found AS (SELECT r, label, start, 1::double AS score FROM whole UNION ALL SELECT r, label, NULL, score FROM spans),
+per AS (SELECT r, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE start IS NOT NULL) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM found GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0) AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0)::double AS score FROM docs LEFT JOIN per USING (r)""")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
 
 @query(f"""
 WITH items AS (SELECT cast(item_id AS varchar) AS item, {_FOLDED.format('text')} AS w FROM benchmark),
