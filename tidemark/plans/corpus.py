@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsing as Pa, rules as R, text as T
-from tidemark.operators import corpus as Co, joins as J, stats as S
+from tidemark.operators import corpus as Co, joins as J, retrieval as Re, stats as S
 from tidemark.operators.ordering import compute_once
 from tidemark.plans.posts import rounded
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLE, query
 from tidemark.plans.statistics import compare_sql, tidy
 from tidemark.session import write_through
 from tidemark.sources import articles, conversations as Cv
@@ -196,6 +196,40 @@ def recall(t):
     return Co.rank_for_queries(q, token_units(t), FIELDS, 5)
 
 
+# the index of blocks: the ranking is that of the full scoring; the report counts the blocks that the bounds left to open
+_BLOCKED = f"""WITH {UNITS_SQL}, q AS (SELECT item_id AS query_id, {_TOK.format(c='text')} AS tokens FROM benchmark),
+f AS (SELECT unit_id, {_TOK.format(c='title')} AS a, {_TOK.format(c="array_to_string(themes, ' ')")} AS b, {_TOK.format(c='text')} AS c FROM units),
+e AS (SELECT unit_id, unnest(a) AS token, 8 AS w FROM f UNION ALL SELECT unit_id, unnest(b), 4 FROM f UNION ALL SELECT unit_id, unnest(c), 2 FROM f
+  UNION ALL SELECT unit_id, unnest(list_distinct(list_concat(a, b, c))), 1 FROM f),
+w AS (SELECT unit_id, token, sum(w) AS w FROM e GROUP BY ALL), m AS (SELECT unit_id, sum(w) AS heaviest FROM w GROUP BY ALL),
+n AS (SELECT unit_id, heaviest, (row_number() OVER (ORDER BY heaviest DESC, unit_id) - 1) // {Re.BLOCK_UNITS} AS block FROM m),
+i AS (SELECT token, block, max(w) AS best, max(heaviest) AS heaviest FROM w JOIN n USING (unit_id) GROUP BY ALL),
+qt AS (SELECT query_id, unnest(list_distinct(tokens)) AS token FROM q),
+bd AS (SELECT query_id, block, least(sum(best), max(heaviest)) AS bound FROM i JOIN qt USING (token) GROUP BY ALL),
+fb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, block) AS r FROM bd),
+sc AS (SELECT query_id, unit_id, sum(w) AS score FROM qt JOIN w USING (token) GROUP BY ALL),
+tp AS (SELECT query_id, score FROM sc JOIN n USING (unit_id) JOIN fb USING (query_id, block) WHERE r <= 4
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC) <= 5),
+th AS (SELECT query_id, CASE WHEN count(*) >= 5 THEN min(score) END AS floor FROM tp GROUP BY 1)
+SELECT query_id, CAST(count(*) AS BIGINT) AS n_blocks, CAST(count(*) FILTER (WHERE r <= 4 OR floor IS NULL OR bound >= floor) AS BIGINT) AS n_opened
+FROM fb JOIN th USING (query_id) GROUP BY 1"""
+
+
+def _searched(t):
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), T.index_tokens(F.col("text"), script="", sizes=()).alias("tokens"))
+    return Re.search(Re.build_index(token_units(t), FIELDS, Co.QUERY_WEIGHTS), q, 5)
+
+
+@query("recall_by_blocks", "G13 G16", ORACLE["recall"])
+def recall_by_blocks(t):
+    return _searched(t)[0]
+
+
+@query("opened_blocks", "G13 G16", _BLOCKED)
+def opened_blocks(t):
+    return _searched(t)[1]
+
+
 def _assembled_sql():
     """One main unit per type in order, its bonus added to the later types, then the best others."""
     steps, points, bonus = [], "0", {"en": (18, 6), "de": (10, 5), "fr": (20, 6)}
