@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.ordering import (long_metrics, number_rows, order_statistics, rank_values,
                                          truncated_position)
+from tidemark.session import write_through
 
 #: Least group size for a graded finding: 3% of all rows, at least 100.
 MIN_SHARE, MIN_ROWS = 0.03, 100
@@ -125,16 +126,24 @@ def group_profile(df: DataFrame, group: str, value: str, least: Column | None =
 def multi_group(df: DataFrame, group: str, value: str, least: Column | None = None) -> DataFrame:
     """The group with the highest median against every other group.
 
-    The best group is ranked once in the common order of values; every other group reads its
-    U statistic from the same ranks, so no row is copied per comparison.
+    The rows are counted once to (group, value, n), and that table is written: medians, moments and ranks read it alone. The
+    best group is ranked once in the common order of values; every other group reads its U statistic from the same ranks, so
+    no row is copied per comparison. Rows without a group or a value stay out.
     """
-    d = df.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("value")).where("value is not null")
-    med = order_statistics(d, ["grp"], ["value"], {"median": 0.5})
-    stat = (d.groupBy("grp").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
-            .join(med.select("grp", F.col("n_value").alias("n"), F.col("median_value").alias("median")), "grp"))
+    d = df.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("value")).where("grp is not null and value is not null")
+    counts = write_through(d.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    ranked = rank_values(counts, ["grp"], "value", {"n": F.sum("n")})
+    last = F.col("n_total") - 1
+    stat = ranked.groupBy("grp").agg(
+        F.max("n_total").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.max("n_total")).alias("mean"),
+        _value_at(F.floor(last / 2), "n_before", "n").alias("_lo"), _value_at(F.ceil(last / 2), "n_before", "n").alias("_hi"))
+    # deviations from the mean, not differences of squares, so large values keep their digits
+    away = counts.withColumnRenamed("n", "_m").join(stat.select("grp", "mean"), "grp")
+    spread = away.groupBy("grp").agg(F.sum(F.col("_m") * F.pow(F.col("value") - F.col("mean"), 2)).alias("_ss"))
+    stat = write_through(stat.join(spread, "grp").select(
+        "grp", "n", "mean", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"), F.try_divide("_ss", F.col("n") - 1).alias("var")), "group-stats")
     top = stat.agg(F.min_by(F.struct("grp", "mean", "var", "n", "median"),
                             F.struct(-F.col("median"), F.col("grp"))).alias("t")).scalar()
-    counts = d.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("n"))
     ranks = rank_values(counts.withColumn("_t", top), [], "value", {
         "best": F.coalesce(F.sum(F.when(F.col("grp") == F.col("_t.grp"), F.col("n"))), F.lit(0))})
     below = (counts.join(ranks.select("value", "best", "best_before"), "value").groupBy("grp")
