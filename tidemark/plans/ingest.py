@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import monitor as Mo
 from tidemark.plans.posts import rounded
@@ -128,18 +130,19 @@ def source_files(t):
     return listed.join(rows, "_file").groupBy("source_type", "code", "folder").agg(F.sum("n").alias("n_rows"))
 
 
-@query("exported_sheets", "S8", """SELECT 'countries' AS sheet, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS n FROM customer UNION ALL SELECT 'segments', CAST(count(DISTINCT c_mktsegment) AS BIGINT) FROM customer
-UNION ALL SELECT 'notes', CAST(count(*) AS BIGINT) FROM customer""")
+@query("exported_sheets", "S8", """SELECT 'countries' AS sheet, CAST(c_nationkey AS VARCHAR) AS line, CAST(count(*) AS BIGINT) AS n, round(max(c_acctbal), 2) AS top FROM customer GROUP BY c_nationkey
+UNION ALL SELECT 'segments', c_mktsegment, CAST(count(*) AS BIGINT), round(max(c_acctbal), 2) FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'notes', '| ' || c_custkey || ' | ' || regexp_replace(c_name, '[|\n]', ' ', 'g') || ' |', NULL, NULL FROM customer""")
 def exported_sheets(t):
+    """Three sheets written in three formats and read back whole, cell by cell."""
     c = t.customer
     path = scratch_path(t.spark, "report")
-    n = F.count(F.lit(1)).alias("n")
-    where = files.export_tables({"countries": c.groupBy("c_nationkey").agg(n)}, path, "csv")
-    where |= files.export_tables({"segments": c.groupBy("c_mktsegment").agg(n)}, path, "json")
+    cells = [F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("top")]
+    where = files.export_tables({"countries": c.groupBy("c_nationkey").agg(*cells)}, path, "csv")
+    where |= files.export_tables({"segments": c.groupBy("c_mktsegment").agg(*cells)}, path, "json")
     where |= files.export_tables({"notes": files.markdown_rows(c, ["c_custkey", "c_name"])}, path, "text")
-    read = {"countries": t.spark.read.option("header", True).csv(where["countries"]), "segments": t.spark.read.json(where["segments"]), "notes": t.spark.read.text(where["notes"])}
-    out = None
-    for name, df in read.items():
-        one = df.agg(F.lit(name).alias("sheet"), n)
-        out = one if out is None else out.unionByName(one)
+    read = {"countries": t.spark.read.schema("line string, n long, top double").option("header", True).option("enforceSchema", True).csv(where["countries"]),
+            "segments": t.spark.read.schema("c_mktsegment string, n long, top double").json(where["segments"]).withColumnRenamed("c_mktsegment", "line"),
+            "notes": t.spark.read.text(where["notes"]).selectExpr("value as line", "cast(null as long) as n", "cast(null as double) as top")}
+    out = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("sheet"), "line", "n", F.round("top", 2).alias("top")) for name, df in read.items()])
     return out
