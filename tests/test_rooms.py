@@ -1,13 +1,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.streaming import messages as Me, rooms as Ro
+from tidemark.streaming.new_items import NewItemProcessor
 
 BASE = dt.datetime(2024, 5, 1)
 
@@ -78,3 +83,12 @@ def test_sessions_end_by_message_or_silence(spark, live):
     assert len(got) == len(set(got)) and set(got) == want and {r[-1] for r in want} == {"ended", "timed_out"}
     state = q.recentProgress[-1]["stateOperators"][0]
     assert state["numRowsTotal"] <= 12 * open_rooms + 12  # finished rooms keep nothing
+
+
+def test_processors_start_without_the_package_on_the_path():
+    # Spark starts them in a process beside the driver, whose path has only Spark's own packages
+    load = "import pickle, sys; [pickle.load(sys.stdin.buffer).init for _ in range(3)]"
+    sent = b"".join(cloudpickle.dumps(p) for p in (Ro.AnchoredTopics(60, 2), Ro.RoomSessions(60), NewItemProcessor()))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", load], input=sent, cwd=os.path.sep, env=env, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()

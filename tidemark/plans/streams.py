@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import new_items as Ni, windows as Wi
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import rocksdb_state, scratch_path
 from tidemark.streaming import messages as Me, rooms as Ro
 
 METHODS = {"view": "WebcastChatMessage", "purchase": "WebcastGiftMessage", "signup": "WebcastMemberMessage",
@@ -34,8 +34,8 @@ def event_stream(t):
 def finished(t, frame, label, shape=None, mode="append"):
     """Run a stream over the data that is there and read what it wrote."""
     path = scratch_path(t.spark, label)
-    q = Me.write_batches(frame, f"{path}/out", f"{path}/checkpoint", shape, interval=None, mode=mode)
-    q.awaitTermination()
+    with rocksdb_state(t.spark):
+        Me.write_batches(frame, f"{path}/out", f"{path}/checkpoint", shape, interval=None, mode=mode).awaitTermination()
     return t.spark.read.parquet(f"{path}/out")
 
 

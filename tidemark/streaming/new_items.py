@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.new_items import HEAD_WINDOW, RELEASE_LIMIT
 
+# as in ``rooms``: the process beside the driver may not have this package on its path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = "account string, item string, run bigint, event string"
 
 

@@ -6,12 +6,17 @@ came in. An event-time timer at the oldest waiting message wakes a room that get
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# Spark starts a stateful processor in a Python process beside the driver too, which may not have this package on its path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Message times are microseconds; timers and the watermark are milliseconds.
 MILLI = 1000
 
