@@ -27,6 +27,12 @@ def test_rates_durations_and_keys(spark):
     assert column(spark, ["1,234", "-", "+7"], M.parse_int) == [1234, None, 7]
     assert column(spark, ["03:41", "bad", None], M.duration_seconds) == [221, None, None]
     assert column(spark, ["12000", "250000000", "999", None], lambda c: M.format_count(c.cast("long"))) == ["1.2万", "2.5亿", "999", None]
+
+
+def test_format_count_keeps_the_unit_of_the_count(spark):
+    # rounding may reach the next unit's bound, and halves go up whatever the binary value next to them
+    got = column(spark, ["99999500.0", "99999499.0", "100000000.0", "10500.0", "11500.0"], lambda c: M.format_count(c.cast("double")))
+    assert got == ["10000.0万", "9999.9万", "1.0亿", "1.1万", "1.2万"]
     assert one(spark, "n1", lambda c: M.note_key(c, F.lit("t"), F.lit("d"))) == "id:n1"
     assert one(spark, "-", lambda c: M.note_key(c, F.lit("t"), F.lit("d"))).startswith("h:")
 

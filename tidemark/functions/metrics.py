@@ -45,10 +45,10 @@ def parse_rate(col: Column) -> Column:
 
 
 def format_count(col: Column) -> Column:
-    """亿 and 万 with one decimal, thousands separators below."""
+    """亿 and 万 with one decimal, thousands separators below. The unit goes by the count itself, before it is rounded (halves up)."""
     return (F.when(col.isNull(), F.lit(None).cast("string"))
-            .when(col >= 100000000, F.concat(F.format_string("%.1f", col / 1e8), F.lit("亿")))
-            .when(col >= 10000, F.concat(F.format_string("%.1f", col / 1e4), F.lit("万")))
+            .when(col >= 100000000, F.concat(F.format_string("%.1f", F.round(col / 1e7) / 10), F.lit("亿")))
+            .when(col >= 10000, F.concat(F.format_string("%.1f", F.round(col / 1e3) / 10), F.lit("万")))
             .otherwise(F.format_number(col.cast("long"), 0)))
 
 

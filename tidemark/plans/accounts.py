@@ -340,8 +340,7 @@ def parsed_rates(t):
 UNION ALL SELECT o_orderkey, regexp_replace(CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS VARCHAR), '(\\d)(\\d{3})$', '\\1,\\2') FROM orders""")
 def formatted_counts(t):
     v, s = F.col("o_totalprice") * 1000, F.floor(F.col("o_totalprice") / 100)
-    big = F.when(v >= 1e8, F.round(v / 1e7) * 1e7).otherwise(F.round(v / 1e3) * 1e3)
-    return (t.orders.select("o_orderkey", M.format_count(big).alias("shown"))
+    return (t.orders.select("o_orderkey", M.format_count(v).alias("shown"))
             .unionByName(t.orders.select("o_orderkey", M.format_count(s).alias("shown"))))
 
 
