@@ -32,3 +32,12 @@ def test_lines_with_numbers_and_brackets_keep_them_in_their_names(spark, tmp_pat
       FROM (VALUES ('12 the shop (old)' || chr(10) || '3.5 the shop'), ('x' || chr(10) || 'the (x)' || chr(10) || '(the) der la'), ('12le shop')) v(t)"""
     benchmark = "SELECT 0::BIGINT AS item_id, '12 the' || chr(10) || '(the) der la' AS text"
     assert differing(spark, tmp_path, "peer_leads", documents=documents, benchmark=benchmark) == []
+
+
+#: Events of users with even and odd numbers, small and large.
+EVENTS = """SELECT 3 + i AS event_id, TIMESTAMP '2024-01-05 10:00:00' + i * INTERVAL 7 MINUTE AS ts, [0, 12, 999, 1000, 1001, 1002, 1998, 2000, 4001, 90000][1 + i % 10]::BIGINT AS user_id,
+  ['view', 'click', 'error'][1 + i % 3] AS event_type, (i * 13 % 97) + 0.5::DOUBLE AS value, '{"k": ' || (i % 50) || '}' AS props FROM range(40) t(i)"""
+
+
+def test_videos_of_users_with_a_million_followers(spark, tmp_path):
+    assert differing(spark, tmp_path, "video_features", events=EVENTS) == []

@@ -52,8 +52,9 @@ def video_checks(news: Column) -> dict[str, Column]:
             "no_time": F.coalesce(F.col("_raw.create_time"), F.lit(0)) <= 0}
 
 
-def video_features(videos: DataFrame, zone: str = "Asia/Shanghai", hooks: R.Rules = tuple(lexicons.TITLE_HOOKS)) -> DataFrame:
-    """Flat feature rows of valid raw videos: counts, ratios, tiers, times, title hooks and flags, sound flag."""
+def video_features(videos: DataFrame, zone: str = "Asia/Shanghai", hooks: R.Rules = tuple(lexicons.TITLE_HOOKS),
+                   tiers: tuple[Sequence[tuple[float, str]], str] = M.FOLLOWER_TIERS) -> DataFrame:
+    """Flat feature rows of valid raw videos: counts, ratios, follower ``tiers`` (bounds, label above), times, title hooks and flags, sound flag."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     ts = F.from_utc_timestamp(F.timestamp_seconds("_raw.create_time"), zone)
     w, h = F.col("_raw.video.width"), F.col("_raw.video.height")
@@ -74,7 +75,7 @@ def video_features(videos: DataFrame, zone: str = "Asia/Shanghai", hooks: R.Rule
     }).drop("music_title", "music_author")
     flat = M.engagement_ratios(flat, "likes", "comments", "shares", "collects", "follower_count")
     return flat.withColumns({
-        "follower_tier": R.bucket_label(F.col("follower_count"), *M.FOLLOWER_TIERS), "period": M.period_label(F.col("published")),
+        "follower_tier": R.bucket_label(F.col("follower_count"), *tiers), "period": M.period_label(F.col("published")),
         "day_of_week": F.date_format("published", "EEEE"), "hour": F.hour("published"), "char_count": F.length("desc")})
 
 
