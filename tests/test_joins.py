@@ -76,6 +76,18 @@ def test_leads_merge_in_order(spark, seed, n_accounts):
     assert E.merge_leads_in_order(spark.createDataFrame([], "name string, account long")).count() == 0
 
 
+@pytest.mark.parametrize("replayed", [2000, 60])
+def test_long_chains_of_leads_take_few_rounds(spark, monkeypatch, replayed):
+    # neighbours share an account, and names are equally long in fours, so a round settles a handful at the old end
+    names = [chr(97 + i % 4) + "x" * (40 - i // 4) + chr(97 + i * 7 % 26) for i in range(120)]
+    rows = [(n, i // 2) for i, n in enumerate(names)] + [(n, 1000 + (i + 1) // 2) for i, n in enumerate(names)]
+    rounds, write = [], E.write_through
+    monkeypatch.setattr(E, "write_through", lambda d, label: rounds.append(label) or write(d, label))
+    got = E.merge_leads_in_order(spark.createDataFrame(rows, "name string, account long"), replayed=replayed).collect()
+    assert dict(map(tuple, got)) == merged_one_by_one(rows)
+    assert rounds.count("leads") <= 3 + 2 * len(names) // replayed
+
+
 def test_a_taken_lead_takes_none(spark):
     # the middle lead goes to the long one by its account, so the short one that only the middle one contains stays
     rows = [("long name here", 1), ("middle one", 1), ("middle", 2), ("short", 1)]
