@@ -114,6 +114,14 @@ def test_duplicate_candidates_is_brute_force(spark):
     assert got == want
 
 
+def test_copies_of_a_unit_meet_once(spark):
+    # 23 equal units, 9 that share their theme and source, and one of another type
+    units = [(i, "Q", "abc", ["t"], ["k"], ["s"]) for i in range(0, 46, 2)] + [(i, "Q", "xyz", ["t"], [], ["s"]) for i in range(1, 19, 2)] + [(99, "O", "abc", ["t"], ["k"], ["s"])]
+    df = spark.createDataFrame(units, "unit_id long, type string, title string, themes array<string>, keywords array<string>, sources array<string>")
+    got = [(r.a, r.b) for r in Co.duplicate_candidates(df, most=5).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(sorted(u[0] for u in units[:-1]), 2))
+
+
 def test_salted_pairs_lose_nothing(spark):
     d = spark.createDataFrame([("hot", i) for i in range(60)] + [("cold", i) for i in range(60, 64)], "key string, i long")
     got = {tuple(r) for r in Co.salted_pairs(d, "key", "i", most=7).collect()}
