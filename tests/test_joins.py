@@ -122,6 +122,20 @@ def test_copies_of_a_unit_meet_once(spark):
     assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(sorted(u[0] for u in units[:-1]), 2))
 
 
+def test_counts_of_manual_pairs_are_those_of_the_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    kinds = [(rnd.choice("QO"), t, th, kw, so) for t in ("abc", "abd", "") for th in (["t"], []) for kw in (["k"], []) for so in (["s"],)]
+    units = spark.createDataFrame([(i, *rnd.choice(kinds)) for i in range(60)], "unit_id long, type string, title string, themes array<string>, keywords array<string>, sources array<string>")
+    some = lambda k: [(rnd.randrange(62), rnd.randrange(62)) for _ in range(k)]
+    manual = spark.createDataFrame(some(200), "a long, b long")
+    reviews = spark.createDataFrame([(a, b, "kept", "n") for a, b in some(300)], "a long, b long, status string, note string")
+    pairs = Co.with_manual_pairs(Co.duplicate_candidates(units), units, manual, reviews)
+    want = pairs.groupBy("candidate_type", "status").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top_score")).collect()
+    monkeypatch.setattr(Co, "duplicate_candidates", None)  # no pair of units is made
+    got = Co.manual_pair_counts(units, manual, reviews).collect()
+    assert len(want) > 4 and {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want)
+
+
 def test_salted_pairs_lose_nothing(spark):
     d = spark.createDataFrame([("hot", i) for i in range(60)] + [("cold", i) for i in range(60, 64)], "key string, i long")
     got = {tuple(r) for r in Co.salted_pairs(d, "key", "i", most=7).collect()}
