@@ -58,3 +58,35 @@ def test_pipeline_drops_exact_copies_of_several_lines(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "nothing of the texts")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(12))
+
+
+def test_units_inside_copied_chunks_are_not_looked_up(spark, monkeypatch):
+    """The chunks of the rolling hash find a copied text; line by line only what crosses their boundaries is looked up."""
+    text = [f"line {i} of seven words in all" for i in range(40)]
+    seen, plain = [], Ld._later_places
+    monkeypatch.setattr(Ld, "_later_places", lambda rows: (seen.append({(r.id, r.first, r.last) for r in rows.collect()}), plain(rows))[1])
+    docs = spark.createDataFrame([(0, "\n".join(text)), (1, "\n".join(text[:20] + ["inserted"] + text[20:]))], DOCS)
+    got = {r.doc_id: r.n for r in Ld.dedup_runs(docs, into="n").collect()}
+    assert got == {0: 0, 1: 40}
+    chunks, grown = seen
+    ends = [(a, b) for a, b, _, _ in Ld.chunks("\n".join(text)) if b - a > 1]
+    assert {(a, b) for i, a, b in chunks if i == 0} >= {(a, b) for a, b in ends if not a <= 20 <= b}
+    copied = {(a, b) for i, a, b in chunks if i == 1}
+    assert copied and not any(a <= x and y <= b for a, b in copied for i, x, y in grown if i == 1)
+    assert {x for i, x, _ in grown if i == 0} == set(range(39)) - {19}  # the owner's pairs stay, as later texts may share them alone
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_chunks_with_blank_lines_equal_the_sql(spark, tmp_path, seed):
+    import duckdb
+
+    rnd = random.Random(seed)
+    lines = ["", " ", "", "a", "b c", "d", "e f g", " ".join("w" * i for i in range(1, 53))]
+    docs = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 14)))) for i in range(60)]
+    docs += [(100 + i, f"{rnd.choice(lines)}\n{docs[i][1]}\n{rnd.choice(lines)}") for i in range(0, 60, 3)] + [(200, None)]
+    spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, text, n_removed FROM ({queries.ORACLE['op2_line_dedup']})").fetchall()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want and sum(n for _, n in got.values()) > 50

@@ -1,10 +1,10 @@
 """Repeated passages of lines, removed after a comparison of their bytes.
 
-``dedup_runs`` removes every run of lines that stands earlier, whole: a run of several lines is the union of its pairs
-of neighbouring lines, and each of these stands earlier too, so pairs and single long lines are all that has to be looked up.
-
-``dedup_lines`` removes content-defined chunks. A rolling hash over the hashes of a line and the one before it chooses
+Both operators cut texts into content-defined chunks. A rolling hash over the hashes of a line and the one before it chooses
 the boundaries, so an insertion moves only the boundaries beside it. A long line is a chunk of its own.
+
+``dedup_lines`` removes the chunks that stand earlier. ``dedup_runs`` removes every run of lines that stands earlier, whole: the
+chunks first, then the runs grow line by line, over the pairs of neighbouring lines that no removed chunk holds.
 """
 
 from __future__ import annotations
@@ -22,23 +22,26 @@ from tidemark.session import write_through
 #: Words that make a line a chunk of its own, the rolling window in lines, and lines per boundary on average.
 LONG_LINE, WINDOW_LINES, EVERY = 50, 2, 2
 
-def chunks(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(first line, end line, hash, words) of the chunks of a text. Hashes are of the chunk's bytes."""
-    lines = text.split("\n")
-    hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    counts = [len(x.split()) for x in lines]
+def chunk_ranges(hashes: list[int], counts: list[int]) -> Iterator[tuple[int, int]]:
+    """(first line, end line) of the chunks of a text, from the hashes and word counts of its lines."""
     start = 0
     for i, n in enumerate(counts):
-        last = i + 1 == len(lines)
-        long = n >= LONG_LINE
         rolled = 0
         for j in range(max(0, i - WINDOW_LINES + 1), i + 1):
             rolled = (rolled * 0x9E3779B97F4A7C15 + hashes[j]) & 0xFFFFFFFFFFFFFFFF
-        if last or long or counts[i + 1] >= LONG_LINE or (rolled >> 32) % EVERY == 0:
-            yield start, i + 1, xxhash.xxh3_64_intdigest("\n".join(lines[start:i + 1])), sum(counts[start:i + 1])
+        if i + 1 == len(counts) or n >= LONG_LINE or counts[i + 1] >= LONG_LINE or (rolled >> 32) % EVERY == 0:
+            yield start, i + 1
             start = i + 1
 
 
+def chunks(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(first line, end line, hash, words) of the chunks of a text. Hashes are of the chunk's bytes."""
+    lines = text.split("\n")
+    counts = [len(x.split()) for x in lines]
+    for first, end in chunk_ranges([xxhash.xxh3_64_intdigest(x) for x in lines], counts):
+        yield first, end, xxhash.xxh3_64_intdigest("\n".join(lines[first:end])), sum(counts[first:end])
+
+
 def _counts(first: int, end: int, words: int) -> bool:
     """Whether a chunk may be removed: several lines with a word, or one long line."""
     return words > 0 and (end - first > 1 or words >= LONG_LINE)
@@ -98,33 +101,52 @@ def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
     return rows.join(owner, ["hash", "chunk"]).where(place != F.col("owner")).select("id", "body", "first", "last")
 
 
-def units(lines: list[str], hashed: Callable[[str], int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(first line, end line, hash, hash of the first line, hash of the lines after it or 0): pairs of neighbouring lines with a word, long lines,
-    and stretches of blank lines with the lines with words around them, as pairs leave out the middle of those."""
+def _cores(hashes: list[int], counts: list[int]) -> Iterator[tuple[int, int]]:
+    """(first line, end line) of the chunks that may be removed, without blank lines at their ends but the one beside a word:
+    what is left is the union of the units inside it, wherever the chunk stands."""
+    for first, end in chunk_ranges(hashes, counts):
+        words = [i for i in range(first, end) if counts[i]]
+        if words:
+            first, end = max(first, words[0] - 1), min(end, words[-1] + 2)
+            if _counts(first, end, sum(counts[first:end])):
+                yield first, end
+
+
+def units(lines: list[str], hashed: Callable[[str], int]) -> Iterator[tuple[int, int, int, int, int, int | None]]:
+    """(first line, end line, hash, hash of the first line, hash of the lines after it or 0, chunk): content-defined chunks (chunk is None), and
+    what runs grow over: pairs of neighbouring lines with a word, and stretches of blank lines with the lines with words around them, as
+    pairs leave out the middle of those; ``chunk`` is the first line of the chunk that holds them whole, or -1."""
     counts, hashes = [len(x.split()) for x in lines], [hashed(x) for x in lines]
+    own = [(-1, -1)] * len(lines)  # the chunk that holds a line
 
-    def unit(first: int, last: int, b: int) -> tuple[int, int, int, int, int]:
-        return first, last, _signed((hashes[first] * 0x9E3779B97F4A7C15 + b + last - first) & 0xFFFFFFFFFFFFFFFF), _signed(hashes[first]), _signed(b)
+    def unit(first: int, last: int, b: int, chunk: int | None) -> tuple[int, int, int, int, int, int | None]:
+        mixed = hashes[first] * 0x9E3779B97F4A7C15 + b + last - first + (chunk is None) * 0xD6E8FEB86659FD93
+        return first, last, _signed(mixed & 0xFFFFFFFFFFFFFFFF), _signed(hashes[first]), _signed(b), chunk
+
+    for first, end in _cores(hashes, counts):
+        own[first:end] = [(first, end)] * (end - first)
+        yield unit(first, end, 0 if end - first == 1 else hashes[first + 1] if end - first == 2 else hashed("\n".join(lines[first + 1:end])), None)
+
+    def grown(first: int, last: int, b: int) -> tuple[int, int, int, int, int, int | None]:
+        return unit(first, last, b, own[first][0] if last <= own[first][1] else -1)
 
     word = -1  # the last line with a word
     for i, n in enumerate(counts):
-        if n >= LONG_LINE:
-            yield unit(i, i + 1, 0)
         if i + 1 < len(counts) and n + counts[i + 1]:
-            yield unit(i, i + 2, hashes[i + 1])
+            yield grown(i, i + 2, hashes[i + 1])
         if n or i + 1 == len(counts) and word >= 0:
             if i - max(word, 0) > 1 + (n > 0 and word >= 0):
-                yield unit(max(word, 0), i + 1, hashed("\n".join(lines[max(word, 0) + 1:i + 1])))
+                yield grown(max(word, 0), i + 1, hashed("\n".join(lines[max(word, 0) + 1:i + 1])))
             word = i
 
 
 def unit_rows(docs: DataFrame, text: str, keep=None, ranks: dict[str, int] | None = None, hashed: Callable[[str], int] = xxhash.xxh3_64_intdigest) -> DataFrame:
     """Without ``keep``: the hash of every unit. With it, two kinds of rows for the units that it chooses: the columns of ``docs`` but the
-    text, first, last, the hashes of the lines and their ``ranks`` (0 if they have none); and, with ``line``, hash and text of those lines."""
+    text, first, last, chunk, the hashes of the lines and their ``ranks`` (0 if they have none); and, with ``line``, hash and text of those lines."""
     own_columns = [c for c in docs.columns if c != text] if keep else []
     src, ranks = docs.select(*own_columns, text), ranks or {}
-    schema = T.StructType([*src.schema.fields[:-1], *T._parse_datatype_string("first int, last int, a long, b long, c long, line string" if keep else "hash long").fields])
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    schema = T.StructType([*src.schema.fields[:-1], *T._parse_datatype_string("first int, last int, chunk int, a long, b long, c long, line string" if keep else "hash long").fields])
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,12 +158,12 @@ def unit_rows(docs: DataFrame, text: str, keep=None, ranks: dict[str, int] | Non
                     own = list(units(lines, hashed))
                     if keep is not None and own:
                         own = [r for r, ok in zip(own, keep(np.array([r[2] for r in own], np.int64))) if ok]
-                    for first, last, _, a, b in own if keep is not None else ():
+                    for first, last, _, a, b, chunk in own if keep is not None else ():
                         rest = "\n".join(lines[first + 1:last])
                         texts[lines[first]] = a
                         if last - first > 1:
                             texts[rest] = b
-                        rows.append((first, last, a, b, ranks.get(lines[first], 0) << 32 | ranks.get(rest, 0) if ranks else 0, None))
+                        rows.append((first, last, chunk, a, b, ranks.get(lines[first], 0) << 32 | ranks.get(rest, 0) if ranks else 0, None))
                     if keep is None:
                         rows.extend(r[2] for r in own)
                     at.extend([i] * len(own))
@@ -149,10 +171,10 @@ def unit_rows(docs: DataFrame, text: str, keep=None, ranks: dict[str, int] | Non
                 if rows and keep is None:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], ["hash"])
                 elif rows:
-                    made = rows + [(None, None, a, None, None, x) for x, a in texts.items()]
+                    made = rows + [(None, None, None, a, None, None, x) for x, a in texts.items()]
                     places = pa.array(at + at[-1:] * len(texts))
                     yield pa.RecordBatch.from_arrays([*[c.take(places) for c in batch.columns[:-1]], *[pa.array(c, k) for c, k in zip(zip(*made), kinds)]],
-                                                     [*own_columns, "first", "last", "a", "b", "c", "line"])
+                                                     [*own_columns, "first", "last", "chunk", "a", "b", "c", "line"])
 
     return src.mapInArrow(run, schema)
 
@@ -162,6 +184,7 @@ def repeated_runs(docs: DataFrame, text: str, hashed: Callable[[str], int] = xxh
 
     ``docs``: id, body (a hash of the text) and the text. Hashes of all units tell which may repeat. The texts of their lines are
     compared once for each slice of rows that holds them: lines with equal hashes have equal bytes, or else ranks that tell them apart.
+    A chunk that stands earlier is one range, and nothing inside it is looked up: what it holds stands in its owner, as early or earlier.
     """
     repeated = unit_rows(docs, text, hashed=hashed).groupBy("hash").count().where("count > 1").select("hash")
     keep = hash_filter(repeated)
@@ -172,12 +195,24 @@ def repeated_runs(docs: DataFrame, text: str, hashed: Callable[[str], int] = xxh
     if texts:
         rows = write_through(unit_rows(docs, text, keep, {x: i for i, x in enumerate(texts, 1)}, hashed), "units")
     rows = rows.where("line is null")
-    place, key = F.struct(F.col("id").isNull().alias("none"), "id", "body", "first"), ["a", "b", "c", "width"]
     rows = rows.withColumn("width", F.col("last") - F.col("first"))
+    copies = write_through(_later_places(rows.where("chunk is null")), "chunk-copies")
+    return copies.unionByName(_later_places(outside_copies(rows.where("chunk is not null"), copies)))
+
+
+def _later_places(rows: DataFrame) -> DataFrame:
+    """(id, body, first, last) of the units that stand earlier too."""
+    place, key = F.struct(F.col("id").isNull().alias("none"), "id", "body", "first"), ["a", "b", "c", "width"]
     owner = rows.groupBy(*key).agg(F.min(place).alias("owner"), F.max(place).alias("other")).where("owner <> other").drop("other")
     return rows.join(owner, key).where(place != F.col("owner")).select("id", "body", "first", "last")
 
 
+def outside_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The units that no copied chunk holds whole."""
+    c = copies.select(F.col("id").alias("_id"), F.col("body").alias("_body"), F.col("first").alias("_chunk"))
+    return rows.join(c, F.col("id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")) & (F.col("chunk") == F.col("_chunk")), "left_anti")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str | None = None) -> DataFrame:
     """``docs`` without the line chunks that repeat: the first occurrence stays, by id (NULL last) and line.
 
