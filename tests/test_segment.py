@@ -62,3 +62,22 @@ def test_weights_are_fitted_once(spark):
     later = spark.createDataFrame([("g", "red red new"), ("g", "blue"), ("h", "blue")], "grp string, text string")
     got = {(r.grp, r.word): (r.n, r.weight, r.known, r["rank"]) for r in Sg.weighted_keywords(later, "grp", "text", "[a-z]+", w, "v1", 2).collect()}
     assert got == {("g", "blue"): (1, math.floor(math.log(4) / 4 * 1e6), True, 1), ("g", "new"): (1, math.floor(math.log(4) / 4 * 1e6), False, 2), ("h", "blue"): (1, math.floor(math.log(4) * 1e6), True, 1)}
+
+
+def test_weighted_keywords_count_a_long_text_once(spark):
+    """Words of a text are not compared with all words of the text: no array is searched for each of them."""
+    text = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(300)) + " worda worda"
+    docs = spark.createDataFrame([("s", text), ("s", None), (None, "worda")], "source string, text string")
+    weights = spark.createDataFrame([("v", "worda", 1.0), ("v", "", 0.5)], "version string, word string, weight double")
+    out = Sg.weighted_keywords(docs, "source", "text", r"\p{L}{3,}", weights, "v", 1000)
+    got = {(r.source, r.word): r.n for r in out.where("source is not null").collect()}
+    assert got == {("s", w): text.split().count(w) for w in set(text.split())}
+
+
+def test_weighted_keywords_write_no_array_searches(spark, monkeypatch):
+    plans, write = [], Sg.write_through
+    monkeypatch.setattr(Sg, "write_through", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, label))[1])
+    docs = spark.createDataFrame([("s", "aaa bbb aaa")], "source string, text string")
+    weights = spark.createDataFrame([("v", "", 0.5)], "version string, word string, weight double")
+    Sg.weighted_keywords(docs, "source", "text", r"\p{L}{3,}", weights, "v").collect()
+    assert plans and not any("array_remove" in p or "filter(" in p for p in plans)

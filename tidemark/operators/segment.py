@@ -112,13 +112,12 @@ def fit_term_weights(df: DataFrame, text: str, pattern: str, version: str) -> Da
 def weighted_keywords(df: DataFrame, group: str, text: str, pattern: str, weights: DataFrame, version: str, k: int = 30) -> DataFrame:
     """Top ``k`` words per group by term share x fitted weight, in millionths; words that the table doesn't have weigh its median.
 
-    Words are counted inside a text before they are rows. ``weights`` may hold other versions too.
+    Words are rows at once, and a task adds them up before the shuffle. ``weights`` may hold other versions too.
     """
     own = weights.where(F.col("version") == version)
     unknown = own.where("word = ''").agg(F.max("weight").alias("w")).scalar()
-    listed = compute_once(df.select(group, text), _w=T.words(F.lower(F.col(text)), pattern)).select(group, "_w")
-    counted = listed.select(group, F.explode(F.transform(F.array_distinct("_w"), lambda w: F.struct(w.alias("word"), (F.size("_w") - F.size(F.array_remove("_w", w))).alias("n")))).alias("t"))
-    tf = write_through(counted.groupBy(group, F.col("t.word").alias("word")).agg(F.sum("t.n").alias("n")), "terms")
+    listed = df.select(group, F.explode(T.words(F.lower(F.col(text)), pattern)).alias("word"))
+    tf = write_through(listed.groupBy(group, "word").agg(F.count(F.lit(1)).alias("n")), "terms")
     size = tf.groupBy(group).agg(F.sum("n").alias("total"))
     known = own.where("word <> ''").select("word", "weight")
     scored = tf.join(size, group).join(known, "word", "left").withColumn("known", F.col("weight").isNotNull()).withColumn(
