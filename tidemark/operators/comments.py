@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions import rules as R, text as T
 from tidemark.functions.text import CommentRules
 from tidemark.operators.joins import contains_pairs
-from tidemark.operators.ordering import compute_once, top_per_group
+from tidemark.operators.ordering import compute_once, join_on, top_per_group
+from tidemark.session import write_through
 
 CJK_WORD = r"[一-鿿]{2,}|[a-zA-Z]{2,}"
 
@@ -42,17 +43,21 @@ def topic_assign(df: DataFrame, top_words: DataFrame, order: Sequence[str], k_wo
                  k_samples: int = 5, other: str = "other") -> DataFrame:
     """Each text goes to the most frequent of the top words it contains; counts and first samples.
 
-    The top words are at most ``k_words`` rows, so they travel as one sorted array. Texts with none
-    of the words all count as ``other``.
+    The top words are at most ``k_words`` rows, so they are read once and become constants. Texts with none
+    of the words all count as ``other``. Each text is looked at once; topic and order are written, and only the
+    texts of the samples are read again.
     """
-    ranked = (top_words.orderBy(F.desc("n"), "word").limit(k_words)
-              .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "word"))).alias("w")))
-    low = compute_once(df.withColumn("_w", ranked.scalar()), _low=F.lower("text"))
-    hit = F.get(F.filter("_w", lambda w: F.contains(F.col("_low"), w["word"])), F.lit(0))["word"]
-    found = compute_once(low, topic=F.coalesce(hit, F.lit(other))).drop("_w", "_low")
+    words = [r["word"] for r in top_words.orderBy(F.desc("n"), "word").limit(k_words).collect()]
+    hit = F.coalesce(*[F.when(F.contains(F.col("_low"), F.lit(w)), F.lit(w)) for w in words], F.lit(other))
+
+    def assigned(d: DataFrame) -> DataFrame:
+        return compute_once(compute_once(d, _low=F.lower("text")), topic=hit)
+
+    by = [F.col(c) for c in order]
+    found = write_through(assigned(df).select("topic", *order), "topics")
     sizes = found.groupBy("topic").agg(F.count(F.lit(1)).alias("n_texts"))
-    samples = top_per_group(found.select("topic", *order, "text"), ["topic"],
-                            [F.col(c) for c in order], k_samples, "sample_no")
+    first = top_per_group(found, ["topic"], by, k_samples).select(*order).distinct()
+    samples = top_per_group(assigned(join_on(df, first, order, how="left_semi")).select("topic", *order, "text"), ["topic"], by, k_samples, "sample_no")
     return samples.join(sizes, "topic").select("topic", "n_texts", "sample_no", "text")
 
 
