@@ -139,3 +139,51 @@ def test_original_sound_has_three_rules(spark):
     rows = [("@小王的歌", "", "小王", True), ("小王的歌", "", "小王", False), ("", "歌手小王", "小王", True), ("某人创作的原声", "", "小王", True), ("", "谁", "", True), (None, None, "小王", False)]
     df = spark.createDataFrame(rows, "t string, a string, n string, w boolean")
     assert all(r.g == r.w for r in df.select("w", A.original_sound(F.col("t"), F.col("a"), F.col("n")).alias("g")).collect())
+
+
+def test_strip_markdown_leaves_unmarked_texts_to_the_space_rule(spark):
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text as T
+
+    def whole(col):  # every pattern on every text
+        steps = ((r"```(?s:.*?)```", " "), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[[^\]]*\]\([^)]+\)", " "),
+                 (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"),
+                 (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"\s+", " "))
+        return T.strip(reduce(lambda c, s: F.regexp_replace(c, *s), steps, T.strip_front_matter(col)))
+
+    texts = ["plain  text\r\nof two", " \t a", "", None, "---\nx: y\n---\nbody", "# head", "- item", "1. one\n12.  two", "1.5 and 3", "a *b* **c** _d_ __e__",
+             "`x` ```y\nz```", "[a](b) ![c](d)", "![", "a + b", "+ b", "é  ü\n\n3 .", "\n\n  7.\t x"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = df.select(T.strip_markdown(F.col("x")).alias("a"), whole(F.col("x")).alias("b"))
+    assert all(r.a == r.b for r in got.collect())
+    assert "CASE WHEN" in got.select("a")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunk_collection_strips_each_part_once(spark):
+    from tidemark.operators import corpus as Co
+
+    long = "\n\n".join(f"paragraph {i} " + "with *many* words " * 5 for i in range(14))
+    docs = spark.createDataFrame([(1, long), (2, "a line of more than thirty characters\nshort\na line of more than thirty characters\nhttps://" + "x" * 40), (3, None)], "k int, text string")
+    out = Co.chunk_collection(docs, "k", "text", skip="^Of ")
+    rows = [(r.k, r.chunk_no, r.chunk) for r in out.orderBy("k", "chunk_no").collect()]
+    assert rows == [(1, i + 1, f"paragraph {i} " + " ".join(["with many words"] * 5)) for i in range(12)] + [(2, 1, docs.where("k = 2").first()["text"].replace("\n", " ")), (2, 2, "a line of more than thirty characters")]
+    plan = out.select("chunk")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__([^_]+)__") <= 3  # bodies, paragraphs, lines; twice as many when a part is stripped to be judged and again to be kept
+
+
+def test_topic_assign_reads_texts_of_samples_alone_again(spark):
+    from tidemark.operators import comments as C
+
+    rows = [(i, None if i % 7 == 3 else i, f"Text {'alpha' if i % 3 else 'beta'} {'gamma' if i % 5 == 0 else ''} {i}" if i % 4 else "none of them") for i in range(60)]
+    df = spark.createDataFrame(rows + [(None, 5, None)], "a int, b int, text string")
+    top = spark.createDataFrame([("alpha", 9), ("gamma", 9), ("beta", 3)], "word string, n long")
+    out = C.topic_assign(df, top, ["a", "b"], k_samples=3)
+    pick = lambda x: next((w for w in ("alpha", "gamma", "beta") if x and w in x.lower()), "other")
+    want = {}
+    for a, b, x in sorted(rows + [(None, 5, None)], key=lambda r: (r[0] is not None, r[0] or 0)):
+        want.setdefault(pick(x), []).append(x)
+    assert {(r.topic, r.n_texts, r.sample_no, r.text) for r in out.collect()} == {(t, len(v), i + 1, x) for t, v in want.items() for i, x in enumerate(v[:3])}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
