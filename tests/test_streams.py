@@ -228,3 +228,29 @@ def test_retried_batch_replaces_itself(spark):
     q = Me.write_batches(frame, f"{path}/out", f"{path}/check2", interval=None)  # the same batches once more
     q.awaitTermination()
     assert sorted(r["x"] for r in spark.read.parquet(f"{path}/out").collect()) == [1, 2]
+
+
+def test_replay_of_many_runs_is_one_walk():
+    """An account with 100,000 runs: equal to the rule run by run, without a frame for each run."""
+    import random
+    import time
+
+    import pandas as pd
+
+    from tidemark.operators import new_items as N
+
+    rnd = random.Random(3)
+    rows = sorted({(r, f"i{rnd.randrange(60_000)}") for r in range(100_000) for _ in range(2)})
+    pdf = pd.DataFrame([("a", i, r, rnd.randrange(9)) for r, i in rows], columns=["account", "item", "run", "pos"])
+    start = time.process_time()
+    got = N._release_in_order(2)(pdf.sample(frac=1, random_state=1))
+    assert time.process_time() - start < 4
+    gone, want = set(), []
+    per = {}
+    for i, r, p in zip(pdf["item"], pdf["run"], pdf["pos"]):
+        per.setdefault(r, []).append((p, i))
+    for r in sorted(per):
+        new = [i for _, i in sorted(per[r]) if i not in gone][:2]
+        gone.update(new)
+        want += [("a", i, r) for i in new]
+    assert [tuple(x) for x in got.itertuples(index=False)] == want

@@ -71,9 +71,13 @@ def retry_backlog(decided: DataFrame, done: DataFrame, runs: DataFrame) -> DataF
 def _release_in_order(limit: int):
     """Queued items of one account, released on a later sighting, at most ``limit`` per run."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, released = [], set()
-        for r, part in pdf.sort_values(["run", "pos", "item"]).groupby("run", sort=True):
-            for item in [i for i in part["item"] if i not in released][:limit]:
+        d = pdf.sort_values(["run", "pos", "item"])
+        out, released, now, used = [], set(), None, 0
+        for r, item in zip(d["run"], d["item"]):  # an item stands once in a run
+            if r != now:
+                now, used = r, 0
+            if used < limit and item not in released:
+                used += 1
                 released.add(item)
                 out.append((pdf["account"].iloc[0], item, r))
         return pd.DataFrame(out, columns=["account", "item", "released_run"])
