@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_odd_tables import differing
 from tidemark.operators import corpus as Co, entities as E, joins as J
+from tidemark.plans import all_queries
 
 
 def test_contains_pairs_is_brute_force(spark):
@@ -136,6 +138,40 @@ def test_counts_of_manual_pairs_are_those_of_the_pairs(spark, monkeypatch):
     assert len(want) > 4 and {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == len(want)
 
 
+def test_lists_in_several_blocks_meet_once(spark, monkeypatch):
+    # more than 64 characters, blocks of a few lists, a pair at a time, NULLs, and rows that come twice
+    rnd = random.Random(11)
+    signs = [chr(0x4E00 + i) for i in range(90)] + list("abcXYZ019")
+    pick = lambda words, p: [w for w in words if rnd.random() < p]
+    units = [(i, rnd.choice(["Q", "O", None]), "".join(rnd.choice(signs) for _ in range(rnd.choice([0, 3, 40, 120]))), pick(["t1", "t2", None], .3),
+              pick(["k1", "k2", "k3"], .3), pick(["s1", "s2", None], .3)) for i in range(70)]
+    df = spark.createDataFrame(units + units[:9], "unit_id long, type string, title string, themes array<string>, keywords array<string>, sources array<string>")
+    want = {}
+    for a, b in itertools.combinations(units, 2):
+        th, kw, so = ({*x} & {*y} - {None} for x, y in zip(a[3:], b[3:]))
+        ca, cb = set(a[2]), set(b[2])
+        sim = len(ca & cb) / max(len(ca), len(cb)) if ca and cb else 0.0
+        if a[1] == b[1] and ((th and kw) or (so and (th or kw)) or (sim >= 0.35 and (th or kw or so))):
+            label = "synonym" if so and th and (kw or sim >= 0.45) else "near"
+            want[a[0], b[0]] = (a[1], *(" | ".join(sorted(x)) for x in (th, kw, so)), sim, 3 * len(th) + 2 * len(kw) + 2 * len(so) + int(sim * 10 + 0.5), label)
+    monkeypatch.setattr(Co, "PAIR_CELLS", 64)
+    monkeypatch.setattr(Co, "PAIR_ROWS", 5)
+    got = [tuple(r) for r in Co.duplicate_candidates(df, labels=("near", "synonym"), block_bytes=3000).collect()]
+    assert {r[:2]: r[2:] for r in got} == want and len(got) == len(want) > 100
+
+
+#: Texts of one type whose first lines begin differently, with and without a shared source, theme and long word.
+DOCUMENTS = """SELECT i AS doc_id, 'en' AS lang, 'src' || (i % 3) AS source, 9::BIGINT AS n_chars,
+  ['Alpha ', 'beta and ', 'Of gamma the ', 'x'][1 + i % 4] || ['something else', 'License of shops', 'abc', 'qrstuvwxyz'][1 + i // 4 % 4] || chr(10) || ['GNU', 'plain', 'idiot', 'a | b'][1 + i // 5 % 4] AS text FROM range(40) t(i)"""
+
+
+def test_pairs_whose_titles_begin_differently(spark, tmp_path):
+    assert differing(spark, tmp_path, "duplicate_candidates", documents=DOCUMENTS) == []
+    titles = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    rows = all_queries()[0]["duplicate_candidates"](spark, str(tmp_path)).where("shared_sources <> '' and shared_themes <> ''").collect()
+    assert any(titles[r.a][:12] != titles[r.b][:12] for r in rows) and {r.shared_sources for r in rows} == {"src0", "src1", "src2"}
+
+
 def test_salted_pairs_lose_nothing(spark):
     d = spark.createDataFrame([("hot", i) for i in range(60)] + [("cold", i) for i in range(60, 64)], "key string, i long")
     got = {tuple(r) for r in Co.salted_pairs(d, "key", "i", most=7).collect()}
