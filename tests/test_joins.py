@@ -172,6 +172,15 @@ def test_pairs_whose_titles_begin_differently(spark, tmp_path):
     assert any(titles[r.a][:12] != titles[r.b][:12] for r in rows) and {r.shared_sources for r in rows} == {"src0", "src1", "src2"}
 
 
+def test_counted_pairs_whose_titles_begin_differently(spark, tmp_path):
+    tables = {"documents": DOCUMENTS, "conversations": "SELECT i % 20 AS conv_id, i AS turn, 'user' AS role, 't' AS text FROM range(50) t(i)",
+              "labels": "SELECT i AS doc_id, 1 AS quality, 0 AS toxic FROM range(0, 30, 3) t(i)"}
+    assert differing(spark, tmp_path, "manual_pairs", **tables) == []
+    pairs = all_queries()[0]["duplicate_candidates"](spark, str(tmp_path)).groupBy("candidate_type").count().collect()
+    counts = all_queries()[0]["manual_pairs"](spark, str(tmp_path)).where("candidate_type <> 'by hand'").groupBy("candidate_type").sum("n").collect()
+    assert {tuple(r) for r in counts} == {tuple(r) for r in pairs}
+
+
 def test_salted_pairs_lose_nothing(spark):
     d = spark.createDataFrame([("hot", i) for i in range(60)] + [("cold", i) for i in range(60, 64)], "key string, i long")
     got = {tuple(r) for r in Co.salted_pairs(d, "key", "i", most=7).collect()}
