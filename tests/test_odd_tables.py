@@ -34,6 +34,13 @@ def test_lines_with_numbers_and_brackets_keep_them_in_their_names(spark, tmp_pat
     assert differing(spark, tmp_path, "peer_leads", documents=documents, benchmark=benchmark) == []
 
 
+def test_ratios_of_empty_texts(spark, tmp_path):
+    # src0 has some empty texts, src1 no others
+    documents = """SELECT i AS doc_id, 'en' AS lang, 'src' || (i % 2) AS source, t AS text, length(t)::BIGINT AS n_chars FROM (
+      SELECT i, CASE WHEN i % 2 = 1 OR i % 6 = 0 THEN '' ELSE repeat('the way of ' || i || chr(10), 1 + i % 5) END AS t FROM range(40) r(i))"""
+    assert differing(spark, tmp_path, "opportunity_board", documents=documents) == []
+
+
 #: Events of users with even and odd numbers, small and large.
 EVENTS = """SELECT 3 + i AS event_id, TIMESTAMP '2024-01-05 10:00:00' + i * INTERVAL 7 MINUTE AS ts, [0, 12, 999, 1000, 1001, 1002, 1998, 2000, 4001, 90000][1 + i % 10]::BIGINT AS user_id,
   ['view', 'click', 'error'][1 + i % 3] AS event_type, (i * 13 % 97) + 0.5::DOUBLE AS value, '{"k": ' || (i % 50) || '}' AS props FROM range(40) t(i)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import metrics as M, rules as R, text as T
 from tidemark.operators import posts as P
 from tidemark.plans.registry import query
+from tidemark.session import write_through
 
 POSTS = """posts AS (SELECT event_id, user_id, event_type, ts, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
@@ -331,12 +332,13 @@ FROM v GROUP BY 1, 2""")
 def opportunity_board(t):
     from tidemark.operators.ordering import grouped_medians
 
-    d = structured(t)
+    d, blob = structured(t), F.concat_ws(" ", "title", "body")
+    # what the board needs of the texts is written, so they are read once and never shuffled
+    d = write_through(d.select("source", "n_chars", "paras", "hook", R.first_label(blob, INFO, "other").alias("info"), R.first_label(blob, MOTIF, "other").alias("motif")), "posts")
     base = grouped_medians(d, ["source"], ["n_chars"]).select("source", F.col("median_n_chars").alias("base"))
-    blob = F.concat_ws(" ", "title", "body")
-    d = (d.join(base, "source").withColumn("info", R.first_label(blob, INFO, "other"))
-         .withColumn("motif", R.first_label(blob, MOTIF, "other"))
-         .withColumn("multiple", F.col("n_chars") / F.col("base")).withColumn("save_ratio", F.col("paras") / F.col("n_chars")))
+    # a ratio of an empty text is NaN or infinite as in SQL, and no error
+    over = lambda x, y: F.when(F.col(y) == 0, F.col(x) * float("inf")).otherwise(F.try_divide(x, y))
+    d = d.join(base, "source").withColumns({"multiple": over("n_chars", "base"), "save_ratio": over("paras", "n_chars")})
     return rounded(P.opportunity_board(d, {"hook": ["hook"], "hook x info": ["hook", "info"],
                                       "motif x info x hook": ["motif", "info", "hook"]}, "multiple", "save_ratio"),
               "median_multiple", "median_save_ratio")
