@@ -180,6 +180,21 @@ def test_tree_equals_brute_force():
         assert Nj.linked([tuple(sorted(s, key=order.index)) for s in sets]) == brute.groups(len(sets), lambda i, j: brute.similar(sets[i], sets[j]))
 
 
+def test_grams_of_many_texts_are_their_sets():
+    rnd = random.Random(4)
+    texts = [None, b"", b" \x0b", b"a", b"A b", b"x" * 256, b"x" * 257 + b" y" * 3, b"\x00 \x00\x00 a"]
+    texts += [bytes(rnd.choice(b"abcB \n\x00\xc3") for _ in range(rnd.randrange(90))) for _ in range(400)]
+    texts += [b" ".join(rnd.choice([b"eightcha", b"ninechars", b"sixteen-sixteen-", b"seventeen-sevente"]) for _ in range(rnd.randrange(9))) for _ in range(200)]
+    for size in (1, 3, 5):
+        name, sets = {}, {}
+        for data, got in zip(texts, Nj.Grams(size).of_all(texts), strict=True):
+            w = Wd.spaced_words(data)
+            k = min(size, len(w))
+            want = frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1) if w)
+            assert len(got) == len(want) and got.tolist() == sorted(got.tolist()) == Nj.Grams(size).of(data).tolist()
+            assert name.setdefault(want, got.tobytes()) == got.tobytes() and sets.setdefault(got.tobytes(), want) == want
+
+
 def test_prefixes_and_size_classes_are_exact():
     for n in range(1, 700):
         for m in range(-(-90 * n // 100), n + 1):
